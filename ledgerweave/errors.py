@@ -73,11 +73,15 @@ def issue(
 
 
 def error_rows(df: DataFrame, issues: Column, stage: str, entity: str, row: str | None = "source_row") -> DataFrame:
-    """Explode an array of issues (null entries allowed) into error rows."""
+    """Explode an array of issues (null entries allowed) into error rows.
+
+    The outer explode keeps the optimizer from adding a size check on the array,
+    which would push a second copy of all rules below the projections.
+    """
     exploded = df.select(
         (F.col(row) if row else F.lit(None)).cast("long").alias("source_row"),
-        F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("issue"),
-    )
+        F.explode_outer(issues).alias("issue"),
+    ).filter(F.col("issue").isNotNull())
     return exploded.select(
         "issue.code",
         "issue.severity",

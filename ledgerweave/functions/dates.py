@@ -27,10 +27,8 @@ _PIVOT_YEAR = 69  # two-digit years below this belong to the 2000s
 
 
 def _year(text: Column) -> Column:
-    short = text.try_cast("int")
-    return F.when(F.length(text) == 2, F.when(short < _PIVOT_YEAR, short + 2000).otherwise(short + 1900)).otherwise(
-        short
-    )
+    century = F.when(F.length(text) == 4, F.lit("")).when(text < str(_PIVOT_YEAR), F.lit("20")).otherwise(F.lit("19"))
+    return F.concat(century, text)
 
 
 def _month(text: Column) -> Column:
@@ -39,19 +37,22 @@ def _month(text: Column) -> Column:
 
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month, day), "yyyy-M-d")
+    return F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d")
+
 
+def to_date_dayfirst(c: Column | str, clean: bool = False) -> Column:
+    """Date of a cell; null when blank or not a date. ISO and year-first win, then day-first.
 
-def to_date_dayfirst(c: Column | str) -> Column:
-    """Date of a cell; null when blank or not a date. ISO and year-first win, then day-first."""
-    text = strip(as_col(c))
+    `clean` says that the cell is already trimmed. Blank words never look like a date.
+    """
+    text = as_col(c) if clean else strip(c)
 
     def part(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
 
     first, second, year = part(_NUMERIC, 1), part(_NUMERIC, 3), _year(part(_NUMERIC, 4))
     numeric = F.coalesce(_ymd(year, second, first), _ymd(year, first, second))
-    parsed = (
+    return (
         F.when(text.rlike(_ISO), F.substring_index(F.substring_index(text, "T", 1), " ", 1).try_cast("date"))
         .when(text.rlike(_NUMERIC), numeric)
         .when(text.rlike(_COMPACT), F.try_to_date(text, "yyyyMMdd"))
@@ -63,8 +64,7 @@ def to_date_dayfirst(c: Column | str) -> Column:
             text.rlike(_MONTH_DAY), _ymd(_year(part(_MONTH_DAY, 3)), _month(part(_MONTH_DAY, 1)), part(_MONTH_DAY, 2))
         )
     )
-    return F.when(~is_blank(text), parsed)
 
 
-def is_bad_date(c: Column | str, parsed: Column) -> Column:
-    return parsed.isNull() & ~is_blank(c)
+def is_bad_date(c: Column | str, parsed: Column, clean: bool = False) -> Column:
+    return parsed.isNull() & (as_col(c).isNotNull() if clean else ~is_blank(c))

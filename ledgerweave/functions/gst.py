@@ -38,12 +38,16 @@ def _by_code(code: Column) -> Column:
 
 
 def norm_state(c: Column | str) -> Column:
-    """Canonical state of a name, two-letter code or number; other text in comparison form; '' if blank.
+    """Canonical state of a name, two-letter code or number; other text in comparison form; '' if blank."""
+    return state_of_key(norm_or_empty(c))
+
+
+def state_of_key(key: Column) -> Column:
+    """As norm_state, for text that is already in comparison form.
 
     Names are recognised by set membership and numbers by array position, so only
     two-letter cells pay for a map lookup.
     """
-    key = norm_or_empty(c)
     names = sorted({s.lower() for s in STATE_BY_CODE})
     letters = F.create_map(*[F.lit(x) for pair in STATE_BY_LETTERS.items() for x in pair])
     return (
@@ -54,9 +58,9 @@ def norm_state(c: Column | str) -> Column:
     )
 
 
-def state_of_gstin(c: Column | str) -> Column:
+def state_of_gstin(c: Column | str, clean: bool = False) -> Column:
     """State in the first two digits of a 15-character GSTIN, else ''."""
-    text = F.coalesce(strip(as_col(c)), F.lit(""))
+    text = as_col(c) if clean else strip(c)
     digits = F.substring(text, 1, 2)
     return F.when(
         (F.length(text) == GSTIN_LENGTH) & digits.rlike("^[0-9]{2}$"), F.coalesce(_by_code(digits), F.lit(""))

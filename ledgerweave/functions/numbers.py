@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.text import as_col, is_blank, strip, to_text
+from ledgerweave.functions.text import WHITESPACE, as_col, is_blank, strip, to_text
 
 WIDE = "decimal(38,6)"
 MONEY = "decimal(20,6)"
@@ -22,25 +22,30 @@ _SIGNED = r"(?s)^\+?(-?)\+?(.*?)(-?)$"
 _SYMBOLS_ONLY = r"^\+?-?\.?-?$"
 
 
-def _digits(c: Column | str) -> Column:
+def _digits(c: Column | str, clean: bool = False) -> Column:
     """The cell without brackets, currency, side words and separators; '(5)' becomes '-5'."""
-    text = F.regexp_replace(strip(c), r"(?s)^\((.*)\)$", "-$1")
+    text = F.regexp_replace(as_col(c) if clean else strip(c), r"(?s)^\((.*)\)$", "-$1")
     text = F.regexp_replace(text, CURRENCY_PATTERN, "")
     text = F.regexp_replace(text, SIDE_PATTERN, "")
-    return strip(F.translate(text, ",_ ", ""))
+    return F.btrim(F.translate(text, ",_ ", ""), F.lit(WHITESPACE))
 
 
-def to_decimal(c: Column | str) -> Column:
-    """decimal(38,6) of a messy number; null when blank or not a number."""
-    signed = F.regexp_replace(_digits(c), _SIGNED, "$1$3$2")
-    plain = F.regexp_replace(signed, r"^--(?!-)", "")  # two minus signs cancel out
-    return F.when(~is_blank(c), plain.try_cast(WIDE))
+def to_decimal(c: Column | str, clean: bool = False) -> Column:
+    """decimal(38,6) of a messy number; null when blank or not a number.
 
+    Cells that already are plain numbers take the cast alone. `clean` says that the
+    cell is trimmed and null when blank.
+    """
+    signed = F.regexp_replace(_digits(c, clean), _SIGNED, "$1$3$2")
+    plain = F.regexp_replace(signed, r"^--(?!-)", "").try_cast(WIDE)  # two minus signs cancel out
+    return F.coalesce(as_col(c).try_cast(WIDE), plain if clean else F.when(~is_blank(c), plain))
 
-def is_bad_decimal(c: Column | str, parsed: Column | None = None) -> Column:
+
+def is_bad_decimal(c: Column | str, parsed: Column | None = None, clean: bool = False) -> Column:
     """True when the cell holds something that is not a number. Bare symbols count as blank."""
-    parsed = to_decimal(c) if parsed is None else parsed
-    return parsed.isNull() & ~is_blank(c) & ~_digits(c).rlike(_SYMBOLS_ONLY)
+    parsed = to_decimal(c, clean) if parsed is None else parsed
+    present = as_col(c).isNotNull() if clean else ~is_blank(c)
+    return parsed.isNull() & present & ~_digits(c, clean).rlike(_SYMBOLS_ONLY)
 
 
 def is_numeric_text(c: Column | str) -> Column:
@@ -49,16 +54,16 @@ def is_numeric_text(c: Column | str) -> Column:
 
 
 def strict_decimal(c: Column | str) -> Column:
-    return strip(F.replace(as_col(c), F.lit(","), F.lit(""))).try_cast(WIDE)
+    return F.btrim(F.translate(as_col(c), ",", ""), F.lit(WHITESPACE)).try_cast(WIDE)
 
 
-def side_of(amount: Column | str, side: Column | str | None, parsed: Column) -> Column:
+def side_of(amount: Column | str, side: Column | str | None, parsed: Column, clean: bool = False) -> Column:
     """True for debit. The side cell decides, else a word inside the amount, else the sign."""
     inside = F.lower(F.regexp_extract(as_col(amount), SIDE_PATTERN, 1))
     choice = F.when(inside != "", inside.isin("dr", "debit")).otherwise(parsed >= 0)
     if side is None:
         return choice
-    word = F.lower(to_text(side))
+    word = F.lower(as_col(side) if clean else to_text(side))
     return (
         F.when(word.isin(*DEBIT_WORDS), F.lit(True))
         .when(word.isin(*CREDIT_WORDS), F.lit(False))

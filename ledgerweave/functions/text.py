@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space that counts as "empty" around or inside a cell.
-WHITESPACE = (
-    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0       "
-    "         　"
-)
-_SPACE_RUN = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+# Every character that Unicode calls white space.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+_SPACE_RUN = f"[{WHITESPACE}]+"
+# A cheap test that lets ordinary names skip the space collapse: it may match more than needed.
+_MAY_NEED_COLLAPSE = r"[^\x20-\x7e]|  "
 
 # Cells that mean "nothing here", and the yes/no spellings.
 BLANK_WORDS = ("", "na", "n/a", "nan", "none", "null", "nil", "-", "--")
@@ -29,8 +28,10 @@ def as_col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """Remove white space (any kind) at both ends."""
-    return F.btrim(as_col(c), F.lit(WHITESPACE))
+    """Remove white space (any kind) at both ends. Cells without any are passed through untouched."""
+    c = as_col(c)
+    edge = F.left(c, F.lit(1)).isin(*WHITESPACE) | F.right(c, F.lit(1)).isin(*WHITESPACE)
+    return F.when(edge, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def trimmed_or_null(c: Column | str) -> Column:
@@ -40,11 +41,18 @@ def trimmed_or_null(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     c = as_col(c)
-    return c.isNull() | F.lower(strip(c)).isin(*BLANK_WORDS)
+    return c.isNull() | _is_blank_word(strip(c))
+
+
+def _is_blank_word(stripped: Column) -> Column:
+    return (F.length(stripped) <= 4) & F.lower(stripped).isin(*BLANK_WORDS)
 
 
 def to_text(c: Column | str) -> Column:
-    """Trimmed text, or null when the cell is blank."""
+    """Trimmed text, or null when the cell is blank.
+
+    Stages apply this once per input column; later rules then test for null.
+    """
     return F.when(~is_blank(c), strip(c))
 
 
@@ -58,10 +66,20 @@ def is_bad_flag(c: Column | str) -> Column:
     return ~is_blank(c) & ~F.lower(strip(c)).isin(*YES_WORDS, *NO_WORDS)
 
 
-def norm(c: Column | str) -> Column:
-    """Comparison form of a name: trimmed, lower case, single spaces. Null stays null."""
-    return F.regexp_replace(strip(F.lower(as_col(c))), _SPACE_RUN, " ")
+def norm(c: Column | str, clean: bool = False) -> Column:
+    """Comparison form of a name: trimmed, lower case, single spaces. Null stays null.
+
+    `clean` says that the cell is already trimmed, which keeps the expression small.
+    """
+    text = F.lower(as_col(c)) if clean else strip(F.lower(as_col(c)))
+    return F.when(text.rlike(_MAY_NEED_COLLAPSE), F.regexp_replace(text, _SPACE_RUN, " ")).otherwise(text)
+
+
+def norm_or_empty(c: Column | str, clean: bool = False) -> Column:
+    return F.coalesce(norm(c, clean), F.lit(""))
 
 
-def norm_or_empty(c: Column | str) -> Column:
-    return F.coalesce(norm(c), F.lit(""))
+def clean_columns(df, columns) -> "DataFrame":  # noqa: F821
+    """Trim the columns and null their blanks, in two projections so each cell is trimmed once."""
+    stripped = df.withColumns({c: strip(c) for c in columns})
+    return stripped.withColumns({c: F.when(~_is_blank_word(F.col(c)), F.col(c)) for c in columns})
