@@ -16,7 +16,7 @@ from ledgerweave.functions.text import as_col
 _PREFIX_LIMIT, _PREFIX_WEIGHT, _BOOST_FROM = 4, 0.1, 0.7
 
 
-def _codes(texts) -> tuple[np.ndarray, np.ndarray]:
+def code_points(texts) -> tuple[np.ndarray, np.ndarray]:
     """Code points as a zero-padded matrix, with the lengths."""
     lengths = np.fromiter((len(t) for t in texts), dtype=np.int32, count=len(texts))
     width = int(lengths.max()) if len(texts) else 0
@@ -66,8 +66,8 @@ def jaro_winkler(left, right) -> np.ndarray:
     """Jaro-Winkler of equally long sequences of texts."""
     if not len(left):
         return np.zeros(0)
-    a, la = _codes(left)
-    b, lb = _codes(right)
+    a, la = code_points(left)
+    b, lb = code_points(right)
     return jaro_winkler_codes(a, la, b, lb)
 
 
