@@ -49,26 +49,44 @@ ERROR_SCHEMA = T.StructType(
 ERROR_COLUMNS = ERROR_SCHEMA.fieldNames()
 
 
-def _text(value: Column | str | None) -> Column:
-    return (value if isinstance(value, Column) else F.lit(value)).cast("string")
+def _quoted(value: str | None) -> str:
+    return "cast(null as string)" if value is None else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _part(value: Column | str | None) -> Column:
+    return value if isinstance(value, Column) else F.expr(_quoted(value))
 
 
 def issue(
     code: Column | str,
     column: Column | str | None,
     message: Column | str,
-    severity: Column | str = "error",
-    raw: Column | str | None = None,
-    suggestion: Column | str | None = None,
+    severity: str = "error",
+    raw: Column | None = None,
+    suggestion: Column | None = None,
 ) -> Column:
-    """The part of an error row that differs between rules."""
-    return F.struct(
-        _text(code).alias("code"),
-        _text(severity).alias("severity"),
-        _text(column).alias("source_column"),
-        _text(message).alias("message"),
-        _text(raw).alias("raw"),
-        _text(suggestion).alias("suggestion"),
+    """The part of an error row that differs between rules. Constants form one literal struct."""
+    if isinstance(code, Column) or isinstance(column, Column):
+        kind = F.struct(
+            _part(code).alias("code"), _part(severity).alias("severity"), _part(column).alias("source_column")
+        )
+    else:
+        kind = F.expr(
+            f"named_struct('code', {_quoted(code)}, 'severity', {_quoted(severity)}, 'source_column', {_quoted(column)})"
+        )
+    if raw is None and suggestion is None:
+        more = F.expr("named_struct('raw', cast(null as string), 'suggestion', cast(null as string))")
+    else:
+        more = F.struct(_part(raw).alias("raw"), _part(suggestion).alias("suggestion"))
+    return F.struct(kind.alias("kind"), _part(message).alias("message"), more.alias("more"))
+
+
+def issue_sql(code: str, column: str | None, message: str, severity: str = "error") -> str:
+    """As issue(), as SQL text for rules written in SQL; `message` is an SQL expression."""
+    return (
+        f"named_struct('kind', named_struct('code', {_quoted(code)}, 'severity', {_quoted(severity)}, "
+        f"'source_column', {_quoted(column)}), 'message', {message}, "
+        "'more', named_struct('raw', cast(null as string), 'suggestion', cast(null as string)))"
     )
 
 
@@ -83,16 +101,16 @@ def error_rows(df: DataFrame, issues: Column, stage: str, entity: str, row: str
         F.explode_outer(issues).alias("issue"),
     ).filter(F.col("issue").isNotNull())
     return exploded.select(
-        "issue.code",
-        "issue.severity",
+        "issue.kind.code",
+        "issue.kind.severity",
         F.lit(stage).alias("stage"),
         F.lit(entity).alias("entity"),
         "source_row",
-        "issue.source_column",
-        F.col("issue.source_column").alias("target_field"),
+        "issue.kind.source_column",
+        F.col("issue.kind.source_column").alias("target_field"),
         "issue.message",
-        "issue.raw",
-        "issue.suggestion",
+        "issue.more.raw",
+        "issue.more.suggestion",
     )
 
 

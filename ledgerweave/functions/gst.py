@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.numbers import CENTS, strict_decimal
-from ledgerweave.functions.text import as_col, norm_or_empty, strip
+from ledgerweave.functions.text import as_col, is_one_of, norm_or_empty, strip
 
 # GST state codes 01 to 38, in code order.
 STATE_BY_CODE = (
@@ -32,7 +32,7 @@ GSTIN_LENGTH = 15
 
 def _by_code(code: Column) -> Column:
     """State of a one- or two-digit code; null when there is none (codes start at 1)."""
-    states = F.array(*[F.lit(s) for s in STATE_BY_CODE])
+    states = F.expr("array(" + ", ".join(f"'{s}'" for s in STATE_BY_CODE) + ")")
     index = code.try_cast("int")
     return F.when((F.length(code) <= 2) & index.between(1, len(STATE_BY_CODE)), F.try_element_at(states, index))
 
@@ -45,15 +45,14 @@ def norm_state(c: Column | str) -> Column:
 def state_of_key(key: Column) -> Column:
     """As norm_state, for text that is already in comparison form.
 
-    Names are recognised by set membership and numbers by array position, so only
-    two-letter cells pay for a map lookup.
+    Numbers are found by array position; only two-letter cells pay for a map lookup.
     """
     names = sorted({s.lower() for s in STATE_BY_CODE})
-    letters = F.create_map(*[F.lit(x) for pair in STATE_BY_LETTERS.items() for x in pair])
+    letters = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in STATE_BY_LETTERS.items()) + ")")
     return (
         F.when(key.rlike("^[0-9]+$"), F.coalesce(_by_code(key), key))
-        .when((F.length(key) == 2) & key.isin(*STATE_BY_LETTERS), F.try_element_at(letters, key))
-        .when(key.isin(*names), F.replace(F.initcap(key), F.lit(" And "), F.lit(" and ")))
+        .when(F.length(key) == 2, F.coalesce(F.try_element_at(letters, key), key))
+        .when(is_one_of(key, names), F.replace(F.initcap(key), F.lit(" And "), F.lit(" and ")))
         .otherwise(key)
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.text import WHITESPACE, as_col, is_blank, strip, to_text
+from ledgerweave.functions.text import WHITESPACE, as_col, is_blank, is_one_of, strip, to_text
 
 WIDE = "decimal(38,6)"
 MONEY = "decimal(20,6)"
@@ -60,13 +60,13 @@ def strict_decimal(c: Column | str) -> Column:
 def side_of(amount: Column | str, side: Column | str | None, parsed: Column, clean: bool = False) -> Column:
     """True for debit. The side cell decides, else a word inside the amount, else the sign."""
     inside = F.lower(F.regexp_extract(as_col(amount), SIDE_PATTERN, 1))
-    choice = F.when(inside != "", inside.isin("dr", "debit")).otherwise(parsed >= 0)
+    choice = F.when(inside != "", inside.startswith("d")).otherwise(parsed >= 0)
     if side is None:
         return choice
     word = F.lower(as_col(side) if clean else to_text(side))
     return (
-        F.when(word.isin(*DEBIT_WORDS), F.lit(True))
-        .when(word.isin(*CREDIT_WORDS), F.lit(False))
+        F.when(is_one_of(word, DEBIT_WORDS), F.lit(True))
+        .when(is_one_of(word, CREDIT_WORDS), F.lit(False))
         .otherwise(choice)
     )
 

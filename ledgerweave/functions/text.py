@@ -23,6 +23,12 @@ NO_WORDS = ("no", "n", "false", "f", "0", "off")
 BOOLISH_WORDS = ("yes", "no", "true", "false", "1", "0", "y", "n")
 
 
+def is_one_of(c: Column, words) -> Column:
+    """Membership in a short fixed list, built as one constant array instead of a literal per word."""
+    listed = ", ".join("'" + w.replace("'", "\\'") + "'" for w in words)
+    return F.array_contains(F.expr(f"array({listed})"), c)
+
+
 def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -30,8 +36,9 @@ def as_col(c: Column | str) -> Column:
 def strip(c: Column | str) -> Column:
     """Remove white space (any kind) at both ends. Cells without any are passed through untouched."""
     c = as_col(c)
-    edge = F.left(c, F.lit(1)).isin(*WHITESPACE) | F.right(c, F.lit(1)).isin(*WHITESPACE)
-    return F.when(edge, F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
+    spaces, one = F.lit(WHITESPACE), F.lit(1)
+    edge = spaces.contains(F.left(c, one)) | spaces.contains(F.right(c, one))
+    return F.when(edge, F.btrim(c, spaces)).otherwise(c)
 
 
 def trimmed_or_null(c: Column | str) -> Column:
@@ -45,7 +52,7 @@ def is_blank(c: Column | str) -> Column:
 
 
 def _is_blank_word(stripped: Column) -> Column:
-    return (F.length(stripped) <= 4) & F.lower(stripped).isin(*BLANK_WORDS)
+    return (F.length(stripped) <= 4) & is_one_of(F.lower(stripped), BLANK_WORDS)
 
 
 def to_text(c: Column | str) -> Column:
@@ -59,11 +66,11 @@ def to_text(c: Column | str) -> Column:
 def to_flag(c: Column | str) -> Column:
     """Boolean of a yes/no cell; null when blank or not a yes/no word."""
     word = F.lower(strip(c))
-    return F.when(word.isin(*YES_WORDS), F.lit(True)).when(word.isin(*NO_WORDS), F.lit(False))
+    return F.when(is_one_of(word, YES_WORDS), F.lit(True)).when(is_one_of(word, NO_WORDS), F.lit(False))
 
 
 def is_bad_flag(c: Column | str) -> Column:
-    return ~is_blank(c) & ~F.lower(strip(c)).isin(*YES_WORDS, *NO_WORDS)
+    return ~is_blank(c) & ~is_one_of(F.lower(strip(c)), (*YES_WORDS, *NO_WORDS))
 
 
 def norm(c: Column | str, clean: bool = False) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerweave import errors as E
 from ledgerweave.errors import StageResult
 from ledgerweave.functions.numbers import is_bad_decimal, side_of, to_decimal
-from ledgerweave.functions.text import NO_WORDS, YES_WORDS, clean_columns
+from ledgerweave.functions.text import NO_WORDS, YES_WORDS, clean_columns, is_one_of
 
 # Defaults.
 PRIMARY = "Primary"
@@ -41,7 +41,7 @@ _EXTRA = ("affects_gross_profit", "country", "address", "pan", "category", "desc
 
 def _flag(c: str) -> Column:
     word = F.lower(F.col(c))
-    return F.when(word.isin(*YES_WORDS), F.lit(True)).when(word.isin(*NO_WORDS), F.lit(False))
+    return F.when(is_one_of(word, YES_WORDS), F.lit(True)).when(is_one_of(word, NO_WORDS), F.lit(False))
 
 
 def convert_masters(df: DataFrame, entity: str, extra_fields: bool = False) -> StageResult:
@@ -88,7 +88,7 @@ def convert_masters(df: DataFrame, entity: str, extra_fields: bool = False) -> S
     ]
     rows = rows.withColumn("fatal", fatal)
     # a row without its name or parent reports that alone; an unreadable balance reports the cells as well
-    lone = F.col("fatal.code") == E.REQUIRED_MISSING
+    lone = F.col("fatal.kind.code") == E.REQUIRED_MISSING
     issues = F.array(F.col("fatal"), *[F.when(~F.coalesce(lone, F.lit(False)), s) for s in soft])
     errors = E.error_rows(rows, issues, "convert", entity)
 

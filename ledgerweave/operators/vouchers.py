@@ -67,8 +67,12 @@ def with_input_columns(df: DataFrame, columns=INPUT_COLUMNS) -> DataFrame:
     return clean_columns(known, [c for c in columns if c in present])
 
 
-def _quoted(c: Column | str, tail: str) -> Column:
-    return F.concat(F.lit("'"), F.coalesce(c, F.lit("")), F.lit(f"' {tail}"))
+_rule = E.issue_sql
+
+
+def _says(column: str, tail: str) -> str:
+    """SQL text of a message that quotes a cell."""
+    return f"concat(\"'\", coalesce({column}, ''), \"' {tail}\")"
 
 
 def parse_amounts(df: DataFrame) -> DataFrame:
@@ -93,17 +97,21 @@ def parse_amounts(df: DataFrame) -> DataFrame:
     )
     staged = staged.withColumn("_parsed", to_decimal("_amount_text", clean=True))
     staged = staged.withColumn("_money", F.abs(F.col("_parsed")).try_cast(MONEY))
-    bad = is_bad_decimal("_amount_text", F.col("_parsed"), clean=True) | (F.col("_parsed").isNotNull() & F.col("_money").isNull())
-    issue = (
-        F.when(
-            F.col("_has_debit") & F.col("_has_credit"),
-            E.issue(E.VALIDATION_ERROR, "debit", "The line has a debit and a credit amount; give one of them."),
-        )
-        .when(bad, E.issue(E.BAD_DECIMAL, F.col("_amount_column"), _quoted("_amount_text", "is not a number.")))
-        .when(
-            F.col("_money").isNull() | (F.col("_money") == 0),
-            E.issue(E.REQUIRED_MISSING, F.col("_amount_column"), "The line needs an amount other than zero."),
-        )
+    bad = is_bad_decimal("_amount_text", F.col("_parsed"), clean=True) | (
+        F.col("_parsed").isNotNull() & F.col("_money").isNull()
+    )
+    both = "'The line has a debit and a credit amount; give one of them.'"
+    number = _says("_amount_text", "is not a number.")
+    staged = staged.withColumn("_bad", bad)
+    kind = "named_struct('code', '{}', 'severity', 'error', 'source_column', _amount_column)"
+    more = "named_struct('raw', cast(null as string), 'suggestion', cast(null as string))"
+    issue = F.expr(
+        f"""case
+        when _has_debit and _has_credit then {_rule(E.VALIDATION_ERROR, "debit", both)}
+        when _bad then named_struct('kind', {kind.format(E.BAD_DECIMAL)}, 'message', {number}, 'more', {more})
+        when _money is null or _money = 0 then named_struct('kind', {kind.format(E.REQUIRED_MISSING)},
+            'message', 'The line needs an amount other than zero.', 'more', {more})
+        end"""
     )
     side = (
         F.when(F.col("_has_debit"), F.lit(True))
@@ -111,7 +119,7 @@ def parse_amounts(df: DataFrame) -> DataFrame:
         .otherwise(side_of("amount", "dr_cr", F.col("_parsed"), clean=True))
     )
     return staged.withColumns({"amount_value": F.col("_money"), "is_debit": side, "amount_issue": issue}).drop(
-        "_has_debit", "_has_credit", "_amount_column", "_amount_text", "_parsed", "_money"
+        "_has_debit", "_has_credit", "_amount_column", "_amount_text", "_parsed", "_money", "_bad"
     )
 
 
@@ -153,70 +161,40 @@ def parse_rows(df: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("intra", gst.same_state(F.col("buyer"), F.col("home")))
 
-    has_item = F.col("item").isNotNull()
-    bad_qty = has_item & is_bad_decimal("quantity", F.col("qty"), clean=True)
-    bad_rate = has_item & is_bad_decimal("rate", F.col("unit_rate"), clean=True)
-    fatal = (
-        F.when(
-            F.col("vnum").isNull(),
-            F.array(E.issue(E.REQUIRED_MISSING, "voucher_number", "A voucher number or order id is needed.")),
-        )
-        .when(F.col("ledger").isNull(), F.array(E.issue(E.REQUIRED_MISSING, "ledger_name", "A ledger is needed.")))
-        .when(F.col("amount_issue").isNotNull(), F.array(F.col("amount_issue")))
-        .when(
-            bad_qty | bad_rate,
-            F.array(
-                F.when(bad_qty, E.issue(E.BAD_DECIMAL, "quantity", _quoted("quantity", "is not a number."))),
-                F.when(bad_rate, E.issue(E.BAD_DECIMAL, "rate", _quoted("rate", "is not a number."))),
-            ),
-        )
-        .when(
-            has_item & (F.col("qty").isNull() | (F.col("qty") <= 0)),
-            F.array(
-                E.issue(E.INVENTORY_MISMATCH, "quantity", _quoted("item", "needs a quantity above zero."))
-            ),
-        )
-    )
-    # quantity * rate is compared half-even; both factors are narrowed so the product stays exact
-    expected = F.bround(
-        F.abs(F.col("qty")).cast("decimal(18,6)") * F.abs(F.col("unit_rate")).cast("decimal(18,6)"), 2
-    )
-    unit_gap = F.abs(expected - F.col("amount_value")) > F.lit("0.01").cast(CENTS)
-    soft = F.array(
-        F.when(
-            has_item & F.col("unit_rate").isNotNull() & unit_gap,
-            E.issue(
-                E.INVENTORY_MISMATCH, "amount",
-                F.concat(F.lit("'"), "item", F.lit("': quantity times rate is "), expected.cast("string"),
-                         F.lit(", the line says "), F.col("amount_value").cast("string")),
-                severity="warning",
-            ),
-        ),
-        F.when(
-            dates.is_bad_date("date", F.col("day"), clean=True),
-            E.issue(E.BAD_DATE, "date", _quoted("date", "is not a date.")),
-        ),
-        F.when(
-            has_item & F.col("unit_name").isNull(),
-            E.issue(E.INVENTORY_MISMATCH, "unit", _quoted("item", "needs a unit.")),
-        ),
-        F.when(
-            F.col("has_rate") & F.col("intra").isNull(),
-            E.issue(
-                E.VALIDATION_ERROR, "gst_rate",
-                "A GST rate is given but the place of supply is unknown; no tax was added.", severity="warning",
-            ),
-        ).when(
-            F.col("has_rate") & F.col("percent").isNull(),
-            E.issue(E.BAD_DECIMAL, "gst_rate", _quoted("gst_rate", "is not a GST rate.")),
-        ),
+    rows = rows.withColumns(
+        {
+            "bad_qty": F.col("item").isNotNull() & is_bad_decimal("quantity", F.col("qty"), clean=True),
+            "bad_rate": F.col("item").isNotNull() & is_bad_decimal("rate", F.col("unit_rate"), clean=True),
+            # quantity * rate is compared half-even; both factors are narrowed so the product stays exact
+            "expected": F.expr("bround(cast(abs(qty) as decimal(18,6)) * cast(abs(unit_rate) as decimal(18,6)), 2)"),
+        }
     )
-    taxed = F.col("intra").isNotNull() & F.col("percent").isNotNull()
-    rows = rows.withColumns({"fatal": fatal, "taxed": taxed})
+    fatal = f"""case
+        when vnum is null then array({_rule(E.REQUIRED_MISSING, "voucher_number", "'A voucher number or order id is needed.'")})
+        when ledger is null then array({_rule(E.REQUIRED_MISSING, "ledger_name", "'A ledger is needed.'")})
+        when amount_issue is not null then array(amount_issue)
+        when bad_qty or bad_rate then array(
+            if(bad_qty, {_rule(E.BAD_DECIMAL, "quantity", _says("quantity", "is not a number."))}, null),
+            if(bad_rate, {_rule(E.BAD_DECIMAL, "rate", _says("rate", "is not a number."))}, null))
+        when item is not null and (qty is null or qty <= 0) then array(
+            {_rule(E.INVENTORY_MISMATCH, "quantity", _says("item", "needs a quantity above zero."))})
+        end"""
+    off = "concat(\"'\", item, \"': quantity times rate is \", expected, ', the line says ', amount_value)"
+    place = "'A GST rate is given but the place of supply is unknown; no tax was added.'"
+    soft = f"""array(
+        if(item is not null and abs(expected - amount_value) > 0.01,
+           {_rule(E.INVENTORY_MISMATCH, "amount", off, "warning")}, null),
+        if(day is null and date is not null, {_rule(E.BAD_DATE, "date", _says("date", "is not a date."))}, null),
+        if(item is not null and unit_name is null,
+           {_rule(E.INVENTORY_MISMATCH, "unit", _says("item", "needs a unit."))}, null),
+        case when has_rate and intra is null then {_rule(E.VALIDATION_ERROR, "gst_rate", place, "warning")}
+             when has_rate and percent is null then
+                  {_rule(E.BAD_DECIMAL, "gst_rate", _says("gst_rate", "is not a GST rate."))} end)"""
+    rows = rows.withColumns({"fatal": F.expr(fatal), "taxed": F.expr("intra is not null and percent is not null")})
     rows = rows.withColumns(
         {
             "kept": F.col("fatal").isNull(),
-            "issues": F.when(F.col("fatal").isNotNull(), F.col("fatal")).otherwise(soft),
+            "issues": F.expr(f"if(fatal is not null, fatal, {soft})"),
             "tax": F.when(F.col("taxed"), gst.total_tax(F.col("amount_value"), F.col("percent"))).otherwise(
                 F.lit(0).cast(CENTS)
             ),
@@ -231,123 +209,93 @@ def parse_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def _first(value: str, present: Column | None = None) -> Column:
-    """Value of the first kept row (by source_row) where it is present."""
-    present = F.col(value).isNotNull() if present is None else present
-    return F.min_by(F.col(value), F.when(F.col("kept") & present, F.col("source_row")))
-
-
-def _kept(value: Column | str) -> Column:
-    return F.when(F.col("kept"), F.col(value) if isinstance(value, str) else value)
-
-
 def headers_of(rows: DataFrame) -> DataFrame:
     """One row per voucher key with header candidates, totals and the verdict."""
-    amount, tax = F.col("amount_value"), F.col("tax")
-    side_total = (amount + tax).cast("decimal(21,6)")
-    sgst = F.when(F.col("intra"), tax - F.col("cgst")).otherwise(F.lit(0).cast(CENTS))
-    igst = F.when(F.col("taxed") & ~F.col("intra"), tax).otherwise(F.lit(0).cast(CENTS))
-    legs = F.lit(1) + sum(
-        F.when(x != 0, 1).otherwise(0) for x in (F.col("cgst"), sgst, igst)
-    )
+    own = "if(kept, source_row, null)"
+    first = "min_by({0}, if(kept and {0} is not null, source_row, null))"
+    side_total = "cast(amount_value + tax as decimal(21,6))"
+    cents = "cast(0 as decimal(21,6))"
     # Rows that are left out are ignored inside the aggregates. A filter on `kept` would be pushed
     # down through the projections and evaluate every parsing rule a second time.
-    grouped = (
-        rows.groupBy("voucher_key")
-        .agg(
-            F.min(_kept("source_row")).alias("first_row"),
-            _first("vnum").alias("reference"),
-            F.min(_kept("day")).alias("day_low"),
-            F.max(_kept("day")).alias("day_high"),
-            _first("vtype").alias("first_type"),
-            F.min(_kept(norm("vtype", clean=True))).alias("type_low"),
-            F.max(_kept(norm("vtype", clean=True))).alias("type_high"),
-            _first("party").alias("party_ledger"),
-            F.min(_kept(norm("party", clean=True))).alias("party_low"),
-            F.max(_kept(norm("party", clean=True))).alias("party_high"),
-            _first("note").alias("note"),
-            _first("gstin", F.length("gstin") == gst.GSTIN_LENGTH).alias("party_gstin"),
-            F.bool_or(_kept("refund")).alias("refund"),
-            F.bool_or(_kept("taxed")).alias("tax_mode"),
-            F.bool_or(_kept(F.col("item").isNotNull())).alias("has_inventory"),
-            F.sum(_kept(F.when(F.col("is_debit"), side_total).otherwise(F.lit(0)))).alias("dr"),
-            F.sum(_kept(F.when(~F.col("is_debit"), side_total).otherwise(F.lit(0)))).alias("cr"),
-            F.sum(_kept(legs)).alias("row_legs"),
-        )
-        .filter(F.col("first_row").isNotNull())
+    aggregates = {
+        "first_row": f"min({own})",
+        "reference": first.format("vnum"),
+        "day_low": "min(if(kept, day, null))",
+        "day_high": "max(if(kept, day, null))",
+        "first_type": first.format("vtype"),
+        "type_low": "min(if(kept, type_key, null))",
+        "type_high": "max(if(kept, type_key, null))",
+        "party_ledger": first.format("party"),
+        "party_low": "min(if(kept, party_key, null))",
+        "party_high": "max(if(kept, party_key, null))",
+        "note": first.format("note"),
+        "party_gstin": f"min_by(gstin, if(kept and length(gstin) = {gst.GSTIN_LENGTH}, source_row, null))",
+        "refund": "bool_or(if(kept, refund, null))",
+        "tax_mode": "bool_or(if(kept, taxed, null))",
+        "has_inventory": "bool_or(if(kept, item is not null, null))",
+        "dr": f"sum(if(kept, if(is_debit, {side_total}, {cents}), null))",
+        "cr": f"sum(if(kept, if(is_debit, {cents}, {side_total}), null))",
+        "row_legs": """sum(if(kept, 1 + if(cgst <> 0, 1, 0) + if(intra and tax <> cgst, 1, 0)
+            + if(taxed and not intra and tax <> 0, 1, 0), null))""",
+    }
+    keyed = rows.withColumns({"type_key": norm("vtype", clean=True), "party_key": norm("party", clean=True)})
+    grouped = keyed.groupBy("voucher_key").agg(*[F.expr(sql).alias(name) for name, sql in aggregates.items()])
+    steps = [
+        {
+            "gap": "cr - dr",
+            "party_leg": f"tax_mode and party_ledger is not null and abs(cr - dr) > {ROUND_OFF_LIMIT}",
+        },
+        {"round_leg": f"not party_leg and gap <> 0 and abs(gap) <= {ROUND_OFF_LIMIT}", "flip": "refund and tax_mode"},
+        {
+            "n_lines": "row_legs + int(party_leg) + int(round_leg)",
+            "debit": "dr + if((party_leg or round_leg) and gap > 0, gap, 0)",
+            "credit": "cr + if((party_leg or round_leg) and gap < 0, -gap, 0)",
+        },
+        {
+            "debit_total": "cast(if(flip, credit, debit) as decimal(38,6))",
+            "credit_total": "cast(if(flip, debit, credit) as decimal(38,6))",
+        },
+        {"balanced": "n_lines >= 2 and debit_total > 0 and debit_total = credit_total"},
+    ]
+    grouped = grouped.filter("first_row is not null")
+    for step in steps:
+        grouped = grouped.withColumns({name: F.expr(sql) for name, sql in step.items()})
+
+    def label(*parts: str) -> str:
+        return "concat(\"Voucher '\", reference, \"' \", " + ", ".join(parts) + ")"
+
+    blocking = f"""case
+        when day_low is null then {_rule(E.REQUIRED_MISSING, "date", label("'has no date.'"))}
+        when day_low <> day_high then
+            {_rule(E.VOUCHER_CONFLICT, "date", label("'has lines with different dates, from '", "day_low", "' to '", "day_high"))}
+        when type_low is null then {_rule(E.REQUIRED_MISSING, "voucher_type", label("'has no voucher type.'"))}
+        when type_low <> type_high then
+            {_rule(E.VOUCHER_CONFLICT, "voucher_type",
+                   label("'has lines with different voucher types, such as '", "type_low", "' and '", "type_high"))}
+        end"""
+    parties = _rule(
+        E.VOUCHER_CONFLICT, "party_ledger", label("\"names more than one party; using '\"", "party_ledger", "\"'.\""), "warning"
     )
-    limit = F.lit(ROUND_OFF_LIMIT).cast(CENTS)
-    gap = F.col("cr") - F.col("dr")
-    party_leg = F.col("tax_mode") & F.col("party_ledger").isNotNull() & (F.abs(gap) > limit)
-    grouped = grouped.withColumns({"gap": gap, "party_leg": party_leg})
-    grouped = grouped.withColumn(
-        "round_leg", ~F.col("party_leg") & (F.col("gap") != 0) & (F.abs(F.col("gap")) <= limit)
+    unbalanced = _rule(
+        E.VOUCHER_UNBALANCED, "amount", label("'does not balance: debit '", "debit_total", "', credit '", "credit_total")
     )
-    closing = F.when(F.col("party_leg") | F.col("round_leg"), F.abs(F.col("gap"))).otherwise(F.lit(0))
-    flip = F.col("refund") & F.col("tax_mode")
-    debit = F.col("dr") + F.when(F.col("gap") > 0, closing).otherwise(F.lit(0))
-    credit = F.col("cr") + F.when(F.col("gap") < 0, closing).otherwise(F.lit(0))
     grouped = grouped.withColumns(
         {
-            "flip": flip,
-            "n_lines": F.col("row_legs")
-            + F.col("party_leg").cast("int")
-            + F.col("round_leg").cast("int"),
-            "debit_total": F.when(flip, credit).otherwise(debit).cast("decimal(38,6)"),
-            "credit_total": F.when(flip, debit).otherwise(credit).cast("decimal(38,6)"),
-        }
-    )
-    tag = F.concat(F.lit("Refund of order "), "reference")
-    label = F.concat(F.lit("Voucher '"), "reference", F.lit("' "))
-    balanced = (F.col("n_lines") >= 2) & (F.col("debit_total") > 0) & (F.col("debit_total") == F.col("credit_total"))
-    blocking = (
-        F.when(F.col("day_low").isNull(), E.issue(E.REQUIRED_MISSING, "date", F.concat(label, F.lit("has no date."))))
-        .when(
-            F.col("day_low") != F.col("day_high"),
-            E.issue(
-                E.VOUCHER_CONFLICT, "date",
-                F.concat(label, F.lit("has lines with different dates, from "), F.col("day_low").cast("string"),
-                         F.lit(" to "), F.col("day_high").cast("string")),
-            ),
-        )
-        .when(
-            F.col("type_low").isNull(),
-            E.issue(E.REQUIRED_MISSING, "voucher_type", F.concat(label, F.lit("has no voucher type."))),
-        )
-        .when(
-            F.col("type_low") != F.col("type_high"),
-            E.issue(
-                E.VOUCHER_CONFLICT, "voucher_type",
-                F.concat(label, F.lit("has lines with different voucher types, such as "), "type_low",
-                         F.lit(" and "), "type_high"),
+            "blocking": F.expr(blocking),
+            "date": F.col("day_low"),
+            "voucher_type": F.expr(f"if(refund, '{CREDIT_NOTE}', first_type)"),
+            "narration": F.expr(
+                "if(refund, concat('Refund of order ', reference, coalesce(concat('. ', note), '')), note)"
             ),
-        )
-    )
-    unbalanced = F.when(
-        ~balanced,
-        E.issue(
-            E.VOUCHER_UNBALANCED, "amount",
-            F.concat(label, F.lit("does not balance: debit "), F.col("debit_total").cast("string"),
-                     F.lit(", credit "), F.col("credit_total").cast("string")),
-        ),
-    )
-    parties = F.when(
-        F.col("party_low") != F.col("party_high"),
-        E.issue(
-            E.VOUCHER_CONFLICT, "party_ledger",
-            F.concat(label, F.lit("names more than one party; using '"), "party_ledger", F.lit("'.")),
-            severity="warning",
-        ),
+        }
     )
     return grouped.withColumns(
         {
-            "date": F.col("day_low"),
-            "voucher_type": F.when(F.col("refund"), F.lit(CREDIT_NOTE)).otherwise(F.col("first_type")),
-            "narration": F.when(
-                F.col("refund"), F.when(F.col("note").isNull(), tag).otherwise(F.concat(tag, F.lit(". "), "note"))
-            ).otherwise(F.col("note")),
-            "issues": F.when(blocking.isNotNull(), F.array(blocking)).otherwise(F.array(parties, unbalanced)),
-            "ok": blocking.isNull() & balanced,
+            "issues": F.expr(
+                f"""if(blocking is not null, array(blocking), array(
+                    if(party_low <> party_high, {parties}, null), if(not balanced, {unbalanced}, null)))"""
+            ),
+            "ok": F.expr("blocking is null and balanced"),
         }
     )
 
@@ -367,19 +315,14 @@ LINE_COLUMNS = (
 )
 
 
-def _leg(section: int, seq: int, ledger: Column, debit: Column, amount: Column, item: bool = False) -> Column:
-    none = F.lit(None)
-    return F.struct(
-        F.lit(section).alias("section"),
-        F.lit(seq).alias("seq"),
-        ledger.alias("ledger_name"),
-        debit.alias("is_debit"),
-        amount.cast("decimal(38,6)").alias("amount"),
-        (F.col("item") if item else none.cast("string")).alias("stock_item"),
-        (F.col("qty") if item else none.cast("decimal(38,6)")).alias("quantity"),
-        (F.col("unit_rate") if item else none.cast("decimal(38,6)")).alias("rate"),
-        (F.col("unit_name") if item else none.cast("string")).alias("unit"),
+def _leg(section: int, seq: int, ledger: str, debit: str, amount: str, item: bool = False) -> str:
+    """SQL text of one leg; the field types are those of the line table."""
+    stock = ("item", "qty", "unit_rate", "unit_name") if item else (
+        "cast(null as string)", "cast(null as decimal(38,6))", "cast(null as decimal(38,6))", "cast(null as string)"
     )
+    names = ("section", "seq", "ledger_name", "is_debit", "amount", "stock_item", "quantity", "rate", "unit")
+    values = (section, seq, ledger, debit, f"cast({amount} as decimal(38,6))", *stock)
+    return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, values)) + ")"
 
 
 def _hot_safe_join(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -407,23 +350,18 @@ def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
         is_b2c("voucher_type", "party_gstin").alias("b2c"),
     )
     joined = _hot_safe_join(kept, facts)
-    side = F.col("is_debit") != F.col("flip")
-    lead = F.col("source_row") == F.col("first_row")
-    intra, taxed = F.coalesce("intra", F.lit(False)), F.col("taxed")
-    tax, cgst, sgst = F.col("tax"), F.col("cgst"), F.col("tax") - F.col("cgst")
-    legs = F.array(
-        F.when(F.col("kept"), _leg(ROW_SECTION, 0, F.col("ledger"), side, F.col("amount_value"), item=True)),
-        F.when(F.col("kept") & intra & (cgst != 0), _leg(ROW_SECTION, 1, F.lit("Output CGST"), side, cgst)),
-        F.when(F.col("kept") & intra & taxed & (sgst != 0), _leg(ROW_SECTION, 2, F.lit("Output SGST"), side, sgst)),
-        F.when(F.col("kept") & ~intra & taxed & (tax != 0), _leg(ROW_SECTION, 3, F.lit("Output IGST"), side, tax)),
-        F.when(
-            lead & F.col("party_leg"),
-            _leg(PARTY_SECTION, 0, F.col("party_ledger"), (F.col("gap") > 0) != F.col("flip"), F.abs(F.col("gap"))),
-        ),
-        F.when(
-            lead & F.col("round_leg"),
-            _leg(ROUND_OFF_SECTION, 0, F.lit(ROUND_OFF), (F.col("gap") > 0) != F.col("flip"), F.abs(F.col("gap"))),
-        ),
+    side, closing_side = "(is_debit <> flip)", "((gap > 0) <> flip)"
+    lead = "source_row = first_row"
+    party = _leg(PARTY_SECTION, 0, "party_ledger", closing_side, "abs(gap)")
+    rounding = _leg(ROUND_OFF_SECTION, 0, f"'{ROUND_OFF}'", closing_side, "abs(gap)")
+    legs = F.expr(
+        f"""array(
+            if(kept, {_leg(ROW_SECTION, 0, "ledger", side, "amount_value", item=True)}, null),
+            if(kept and taxed and intra and cgst <> 0, {_leg(ROW_SECTION, 1, "'Output CGST'", side, "cgst")}, null),
+            if(kept and taxed and intra and tax <> cgst, {_leg(ROW_SECTION, 2, "'Output SGST'", side, "tax - cgst")}, null),
+            if(kept and taxed and not intra and tax <> 0, {_leg(ROW_SECTION, 3, "'Output IGST'", side, "tax")}, null),
+            if({lead} and party_leg, {party}, null),
+            if({lead} and round_leg, {rounding}, null))"""
     )
     exploded = joined.select(
         "voucher_key", "first_row", "source_row", "date", "voucher_type", "party_ledger", "b2c",
