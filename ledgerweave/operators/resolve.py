@@ -27,6 +27,8 @@ PREFIX = 4
 
 _TILE = 2048  # incoming keys, and existing keys, of one tile
 _PAIRS = 200_000  # pairs scored in one array operation
+_PROBES = 8  # pairs per incoming key that set the score to beat
+_LETTERS = 64  # classes of letters in the bound
 _DIGITS = 10  # scores are compared to this many digits, so float noise cannot order them
 
 _PAIR_SCHEMA = "in_name string, in_parent string, ex_name string, ex_parent string, jw double, score double, ex_first long"
@@ -114,6 +116,52 @@ def _score_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _score(rest.reset_index(drop=True))
 
 
+def _letter_counts(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How often each letter occurs, with all letters folded into `_LETTERS` classes."""
+    counts = np.zeros((codes.shape[0], _LETTERS), dtype=np.uint16)
+    inside = np.arange(codes.shape[1])[None, :] < lengths[:, None]
+    rows, columns = np.nonzero(inside)
+    np.add.at(counts, (rows, codes[rows, columns] % _LETTERS), 1)
+    used = counts[:, counts.any(axis=0)]
+    return used.astype(np.uint8) if used.size and used.max() < 256 else used
+
+
+def _worth_scoring(left, right, fixed, codes, lengths, letters) -> np.ndarray:
+    """Mask of the pairs that can still be among the best three of their incoming key.
+
+    Two names cannot share more characters than their letter counts allow, which
+    bounds Jaro and, with the common prefix, Jaro-Winkler from above. The most
+    promising pairs of a key are scored; a pair whose bound is below their third
+    score cannot enter the list. Nothing that could win is left out.
+    """
+    la, lb = lengths[left], lengths[right]
+    shared = np.minimum(letters[left], letters[right]).sum(axis=1, dtype=np.int32).astype(np.float64)
+    jaro = np.where(shared > 0, (shared / la + shared / lb + 1.0) / 3.0, 0.0)
+    start = codes[:, :PREFIX]
+    alike, prefix = np.ones(len(left), dtype=bool), np.zeros(len(left))
+    for i in range(start.shape[1]):
+        alike &= (start[left, i] == start[right, i]) & (start[left, i] != 0)  # zero pads short names
+        prefix += alike
+    bound = fixed + W_SIMILAR * np.where(jaro > 0.7, jaro + 0.1 * prefix * (1.0 - jaro), jaro) + 1e-9
+    order = np.lexsort((-bound, left))
+    rank = np.empty(len(left), dtype=np.int64)
+    rank[order] = _rank_in_runs(left[order])
+    probe = np.flatnonzero(rank < _PROBES)
+    jw = jaro_winkler_codes(codes[left[probe]], la[probe], codes[right[probe]], lb[probe])
+    score = fixed[probe] + W_SIMILAR * jw
+    by_score = np.lexsort((-score, left[probe]))
+    third = by_score[_rank_in_runs(left[probe][by_score]) == TOP - 1]
+    floor = np.full(int(left.max()) + 1, -1.0)
+    floor[left[probe][third]] = score[third]
+    return bound >= floor[left]
+
+
+def _rank_in_runs(values: np.ndarray) -> np.ndarray:
+    """0, 1, 2, ... inside each run of equal values."""
+    begin = np.r_[True, values[1:] != values[:-1]]
+    return np.arange(len(values)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
+
+
 def _score(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Score all tiles in `data`: existing keys (side 0) come before incoming keys (side 1) in each tile."""
     tile = data.groupby(["block", "r", "c"], sort=False).ngroup().to_numpy()
@@ -127,6 +175,9 @@ def _score(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
     incoming = np.flatnonzero(side == 1)
     incoming = incoming[ex_count[tile[incoming]] > 0]
     codes, lengths = code_points(names)
+    letters = _letter_counts(codes, lengths)
+    name_ids, parent_ids = pd.factorize(names)[0], pd.factorize(parents)[0]
+    has_parent = parents != ""
     start = 0
     while start < len(incoming):
         sizes = ex_count[tile[incoming[start:]]]
@@ -139,19 +190,21 @@ def _score(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
         right = np.repeat(ex_start[tile[part]], n) + offset
         # a pair that shares its prefix was already scored in the prefix block
         k = min(PREFIX, codes.shape[1])
-        fresh = ~(sound[left] & (codes[left, :k] == codes[right, :k]).all(axis=1))
-        left, right = left[fresh], right[fresh]
+        if sound[part].any():
+            fresh = ~(sound[left] & (codes[left, :k] == codes[right, :k]).all(axis=1))
+            left, right = left[fresh], right[fresh]
         if not len(left):
             continue
+        same = name_ids[left] == name_ids[right]
+        parent = (parent_ids[left] == parent_ids[right]) & has_parent[left]
+        fixed = W_EXACT * same + W_PARENT * parent
+        need = _worth_scoring(left, right, fixed, codes, lengths, letters)
+        left, right, fixed = left[need], right[need], fixed[need]
         jw = jaro_winkler_codes(codes[left], lengths[left], codes[right], lengths[right])
-        same = (codes[left] == codes[right]).all(axis=1)
-        parent = (parents[left] == parents[right]) & (parents[left] != "")
-        score = np.round(W_EXACT * same + W_SIMILAR * jw + W_PARENT * parent, _DIGITS)
+        score = np.round(fixed + W_SIMILAR * jw, _DIGITS)
         order = np.lexsort((firsts[right], -score, left))
         left, right, jw, score = left[order], right[order], jw[order], score[order]
-        begin = np.r_[True, left[1:] != left[:-1]]
-        rank = np.arange(len(left)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
-        keep = rank < TOP
+        keep = _rank_in_runs(left) < TOP
         left, right = left[keep], right[keep]
         yield pd.DataFrame(
             {
@@ -166,7 +219,10 @@ def _top_rows(inc: DataFrame, ex: DataFrame, kinds) -> DataFrame:
     if set(kinds) == {"sound"}:
         raise ValueError("The sound block extends the prefix block; ask for both or for the prefix alone.")
     tiles = _tiles(inc, ex, kinds)
-    ordered = tiles.repartition("block", "r", "c").sortWithinPartitions("block", "r", "c", "side")
+    # a fixed number keeps adaptive execution from merging tasks by their bytes: tiles are small but costly
+    spark = inc.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    ordered = tiles.repartition(tasks, "block", "r", "c").sortWithinPartitions("block", "r", "c", "side")
     pairs = ordered.mapInPandas(_score_tiles, schema=_PAIR_SCHEMA)
     by_key = Window.partitionBy("in_name", "in_parent").orderBy(F.desc("score"), "ex_first")
     keys = pairs.withColumn("key_rank", F.row_number().over(by_key)).filter(F.col("key_rank") <= TOP)
