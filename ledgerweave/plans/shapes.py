@@ -22,10 +22,10 @@ def numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_parquet_numbered(spark, f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str = "source_row") -> DataFrame:
     """Use every core when the files give fewer splits than cores; large tables pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, "source_row") if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def money(c: str) -> Column:
@@ -236,7 +236,7 @@ def response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 5 == 0, F.concat(F.lit("<LINEERROR>Order "), key.cast("string"), F.lit(" &lt;refused&gt;</LINEERROR>"))).otherwise(F.lit("")),
     )
     whole = F.concat(F.lit("<ENVELOPE><BODY><DATA><IMPORTRESULT>"), body, F.lit("</IMPORTRESULT></DATA></BODY></ENVELOPE>"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(
         key.alias("job_id"),
         F.when(key % 41 == 1, F.lit("<ENVELOPE><UNCLOSED>"))
         .when(key % 43 == 2, F.concat(F.lit("<!DOCTYPE x>"), whole)).otherwise(whole).alias("xml"),

@@ -29,9 +29,14 @@ def is_well_formed(c: Column | str) -> Column:
     body = F.regexp_replace(text, r"(?s)^<\?xml.*?\?>|<!--.*?-->", "")
     body = strip(body)
     root = F.regexp_extract(body, r"^<([\w:.-]+)", 1)
-    closed = body.endswith(F.concat(F.lit("</"), root, F.lit(">"))) | body.rlike(r"^<[^<>]*/>$")
-    # a second root would open after the first one closed
-    single = ~body.rlike(r"(?s)^<([\w:.-]+)(?:\s[^>]*)?>(?:(?!<\1[\s>]).)*?</\1>\s*<")
+    close = F.concat(F.lit("</"), root, F.lit(">"))
+    closed = body.endswith(close) | body.rlike(r"^<[^<>]*/>$")
+    # A second root would open after the first one closed. Only documents whose root tag closes more than
+    # once need the long test.
+    once = F.position(close, body) + F.length(close) > F.length(body)
+    single = F.when(once, F.lit(True)).otherwise(
+        ~body.rlike(r"(?s)^<([\w:.-]+)(?:\s[^>]*)?>(?:(?!<\1[\s>]).)*?</\1>\s*<")
+    )
     return (root != "") & closed & single & parsed["_corrupt_record"].isNull()
 
 
