@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ledgerweave.functions.text import as_col
 
 
-def _references(text: Column) -> Column:
-    """Characters beyond ASCII as numeric references; plain ASCII text is passed through."""
+def ascii_only(text: Column) -> Column:
+    """Characters beyond ASCII as numeric references; plain ASCII text is passed through.
+
+    Markup is ASCII, so emitters apply this once to a finished row and not to every element.
+    """
     each = F.transform(
         F.split(text, ""),
         lambda ch: F.when(F.ascii(ch) > 127, F.concat(F.lit("&#"), F.ascii(ch).cast("string"), F.lit(";"))).otherwise(ch),
@@ -23,16 +26,21 @@ def _replaced(c: Column, pairs) -> Column:
     return c
 
 
-def xml_text(c: Column | str) -> Column:
-    """Escaped element text."""
-    return _references(_replaced(as_col(c), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;"))))
+def escaped(c: Column | str) -> Column:
+    """Element text with its markup characters escaped."""
+    return _replaced(as_col(c), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")))
 
 
-def xml_attribute(c: Column | str) -> Column:
-    """Escaped attribute value, without the quotes."""
+def escaped_attribute(c: Column | str) -> Column:
+    """Attribute value with its markup characters escaped, without the quotes."""
     pairs = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"),
              ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#9;"))
-    return _references(_replaced(as_col(c), pairs))
+    return _replaced(as_col(c), pairs)
+
+
+def xml_text(c: Column | str) -> Column:
+    """Complete element text: escaped and ASCII."""
+    return ascii_only(escaped(c))
 
 
 def element(tag: str, text: Column) -> Column:
@@ -41,7 +49,7 @@ def element(tag: str, text: Column) -> Column:
 
 
 def text_element(tag: str, c: Column | str) -> Column:
-    return element(tag, xml_text(c))
+    return element(tag, escaped(c))
 
 
 def optional(tag: str, c: Column | str) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import errors as E
 from ledgerweave.functions import dates, gst
-from ledgerweave.functions.numbers import CENTS, MONEY, SIDE_PATTERN, is_bad_decimal, side_of, to_decimal
+from ledgerweave.functions.numbers import CENTS, MONEY, is_bad_decimal, side_of, to_decimal
 from ledgerweave.functions.text import clean_columns, norm, norm_or_empty
 
 ENTITY = "voucher"
