@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ def over_batches(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema:
 
     The memory of a task follows one slice, not its partition.
     """
-    names = [part.split()[0] for part in schema.split(",")]
+    names = re.findall(r"(\w+) [^,<]+(?:<.*?>+)?(?:, |$)", schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
