@@ -39,8 +39,7 @@ class FmIndex:
     def __init__(self, sequence: np.ndarray, sigma: int):
         sequence = np.append(sequence, 0)
         self.n = n = len(sequence)
-        rank, width = sequence.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        rank, width = np.unique(sequence, return_inverse=True)[1].astype(np.int64), 1
         while True:  # doubling: ranks of 2 * width symbols from pairs of ranks of width
             after = np.full(n, -1, dtype=np.int64)
             after[: n - width] = rank[width:] if width < n else 0
