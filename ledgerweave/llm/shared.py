@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like `written`, as compressed columns: for tables of many rows."""
+    spark = df.sparkSession
+    path = posixpath.join(ensure_checkpoint_dir(spark) or "", f"table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hot_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys and their hash.
 
