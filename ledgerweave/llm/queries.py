@@ -60,7 +60,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_classifier, op8_lm_scoring, op9_substring_dedup, op10_benchmark_decontamination,
     )
 }
-
-#: SQL where it can express a whole result. Spans by leftmost matching, fingerprints, tokenizers and models cannot be
-#: expressed; those queries are tested against brute force.
-ORACLES: dict[str, str] = {}
