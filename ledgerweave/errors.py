@@ -44,6 +44,7 @@ ERROR_SCHEMA = T.StructType(
         T.StructField("message", T.StringType()),
         T.StructField("raw", T.StringType()),
         T.StructField("suggestion", T.StringType()),
+        T.StructField("upload", T.StringType()),
     ]
 )
 ERROR_COLUMNS = ERROR_SCHEMA.fieldNames()
@@ -91,13 +92,14 @@ def issue_sql(code: str, column: str | None, message: str, severity: str = "erro
 
 
 def error_rows(df: DataFrame, issues: Column, stage: str, entity: str, row: str | None = "source_row") -> DataFrame:
-    """Explode an array of issues (null entries allowed) into error rows.
+    """Explode an array of issues (null entries allowed) into error rows. A column `upload` says which file they are about.
 
     The outer explode keeps the optimizer from adding a size check on the array,
     which would push a second copy of all rules below the projections.
     """
     exploded = df.select(
         (F.col(row) if row else F.lit(None)).cast("long").alias("source_row"),
+        (F.col("upload") if "upload" in df.columns else F.lit(None)).cast("string").alias("upload"),
         F.explode_outer(issues).alias("issue"),
     ).filter(F.col("issue").isNotNull())
     return exploded.select(
@@ -111,6 +113,7 @@ def error_rows(df: DataFrame, issues: Column, stage: str, entity: str, row: str
         "issue.message",
         "issue.more.raw",
         "issue.more.suggestion",
+        "upload",
     )
 
 

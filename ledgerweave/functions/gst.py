@@ -82,9 +82,9 @@ def tax_rate(c: Column | str) -> Column:
 
 
 def total_tax(amount: Column, rate: Column) -> Column:
-    """round(amount * rate / 100, 2), half up. The product is exact before it is rounded once."""
+    """round(amount * rate / 100, 2), half up; null beyond decimal(20,2). The product is exact before it is rounded once."""
     product = F.abs(amount).cast("decimal(20,6)") * rate.cast("decimal(11,6)")
-    return F.round(product * F.lit("0.01").cast("decimal(2,2)"), 2).cast(CENTS)
+    return F.round(product * F.lit("0.01").cast("decimal(2,2)"), 2).try_cast(CENTS)
 
 
 def half_tax(total: Column) -> Column:

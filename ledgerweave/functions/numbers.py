@@ -82,7 +82,7 @@ def to_amount_side(amount: Column | str, side: Column | str | None = None) -> Co
 
 def fmt_amount(c: Column | str) -> Column:
     """Two decimals, half up, as text."""
-    return F.round(as_col(c), 2).cast(CENTS).cast("string")
+    return F.round(as_col(c).cast(WIDE), 2).cast("decimal(38,2)").cast("string")
 
 
 def fmt_number(c: Column | str) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ledgerweave.functions.text import as_col
 
 
+# Fixed value: characters that no XML 1.0 text may hold, escaped or not.
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
+
+
 def ascii_only(text: Column) -> Column:
     """Characters beyond ASCII as numeric references; plain ASCII text is passed through.
 

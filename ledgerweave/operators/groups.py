@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave import errors as E
 from ledgerweave.functions.text import norm_or_empty
 from ledgerweave.sources.shared_folder import ensure_checkpoint_dir
 
@@ -25,7 +26,7 @@ def _edges(df: DataFrame) -> DataFrame:
         .agg(F.min("source_row").alias("source_row"), F.min_by("parent_key", "source_row").alias("parent_key"))
     )
     known = groups.select(F.col("name_key").alias("parent_key"), F.lit(True).alias("inside"))
-    inside = groups.join(known, "parent_key", "left")
+    inside = hot_safe(groups, known, "parent_key", "left")
     root = F.col("inside").isNull() | (F.col("parent_key") == F.col("name_key"))
     return inside.select("name_key", "source_row", F.when(~root, F.col("parent_key")).alias("up"))
 
@@ -68,6 +69,23 @@ def order_groups(df: DataFrame) -> DataFrame:
     return closed.select("source_row", "name_key", (F.size("path") - 1).alias("depth"), "path")
 
 
+def unordered_groups(df: DataFrame) -> DataFrame:
+    """An error row for every group that `order_groups` cannot place: later copies of a name, and groups on or below a cycle."""
+    rows = df.select(F.col("source_row").cast("long").alias("source_row"), "name", norm_or_empty("name").alias("name_key")).filter(F.col("name_key") != "")
+    first = rows.groupBy("name_key").agg(F.min("source_row").alias("first_row"))
+    copies = hot_safe(rows, first, "name_key").filter(F.col("source_row") != F.col("first_row"))
+    said = F.concat(F.lit("Group '"), "name", F.lit("' occurs more than once."))
+    repeated = E.error_rows(copies, F.array(E.issue(E.DUPLICATE_IN_FILE, "name", said)), "convert", "group")
+    cycle = F.concat(F.lit("Group '"), "name_key", F.lit("' never reaches a root."))
+    return repeated.unionByName(E.error_rows(cyclic_groups(df), F.array(E.issue(E.GROUP_CYCLE, "parent", cycle)), "convert", "group"))
+
+
+def hot_safe(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on a key and its hash: an aggregated side gets a shuffle of its own, so a hot key can be split at run time."""
+    twin = F.xxhash64(key)
+    return left.withColumn("_twin", twin).join(right.withColumn("_twin", twin), [key, "_twin"], how).drop("_twin")
+
+
 def cyclic_groups(df: DataFrame) -> DataFrame:
     """Groups that never reach a root."""
     return _closed(df).filter(F.col("up").isNotNull()).select("source_row", "name_key")

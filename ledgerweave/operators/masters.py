@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerweave import errors as E
 from ledgerweave.errors import StageResult
 from ledgerweave.functions.numbers import is_bad_decimal, side_of, to_decimal
+from ledgerweave.functions.xml_text import NOT_XML
 from ledgerweave.functions.text import NO_WORDS, YES_WORDS, clean_columns, is_one_of
 
 # Defaults.
@@ -63,8 +64,12 @@ def convert_masters(df: DataFrame, entity: str, extra_fields: bool = False) -> S
     if entity == "ledger":
         parsed["opening_value"] = to_decimal("opening_balance", clean=True)
     rows = rows.withColumns(parsed) if parsed else rows
+    texts = [c for c in (*_COMMON, *_TEXT[entity]) if c in usable]
 
     fatal = F.when(F.col("name").isNull(), E.issue(E.REQUIRED_MISSING, "name", "A name is needed."))
+    fatal = fatal.when(
+        F.concat_ws("", *texts).rlike(NOT_XML), E.issue(E.VALUE_NOT_ALLOWED, None, "A cell holds a character that XML cannot carry.")
+    )
     for c in _REQUIRED[entity]:
         fatal = fatal.when(F.col(c).isNull(), E.issue(E.REQUIRED_MISSING, c, f"'{c}' is needed."))
     if entity == "ledger":
@@ -86,6 +91,12 @@ def convert_masters(df: DataFrame, entity: str, extra_fields: bool = False) -> S
         )
         for c in _FLAGS[entity]
     ]
+    if entity == "unit":
+        places = F.col("decimal_places_value")
+        soft.append(F.when(
+            places.isNotNull() & places.try_cast("int").isNull(),
+            E.issue(E.BAD_DECIMAL, "decimal_places", F.concat(F.lit("'"), "decimal_places", F.lit("' is too large a number of places."))),
+        ))
     rows = rows.withColumn("fatal", fatal)
     # a row without its name or parent reports that alone; an unreadable balance reports the cells as well
     lone = F.col("fatal.kind.code") == E.REQUIRED_MISSING
@@ -103,7 +114,7 @@ def _typed(entity: str) -> list[Column]:
     if entity == "unit":
         return [
             F.col("base_units").isNull().alias("is_simple"),
-            F.coalesce(F.col("decimal_places_value").cast("int"), F.lit(0)).alias("decimal_places"),
+            F.coalesce(F.col("decimal_places_value").try_cast("int"), F.lit(0)).alias("decimal_places"),
             F.col("base_units"),
             F.col("additional_units"),
             F.col("conversion_value").alias("conversion"),

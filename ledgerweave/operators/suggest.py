@@ -16,11 +16,11 @@ _BLOCK = 2000  # values of the set, and unknown values, that one task compares a
 _OUT = "value string, choice string, score double"
 
 
-def _best(values: list[str], choices: list[str]) -> Iterator[tuple[str, str, float]]:
+def _best(values: list[str], choices: list[str], cutoff: float) -> Iterator[tuple[str, str, float]]:
     for value in values:
         scored = [(weighted_ratio(value, choice), choice) for choice in choices]
-        top = max((s for s, _ in scored), default=0.0)
-        if top >= CUTOFF:
+        top = max((s for s, _ in scored), default=-1.0)
+        if top >= cutoff:
             yield value, min(c for s, c in scored if s == top), top
 
 
@@ -40,7 +40,7 @@ def suggestions(values: DataFrame, choices: DataFrame, cutoff: float = CUTOFF) -
 
         def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame(list(_best(batch["value"].tolist(), listed)), columns=["value", "choice", "score"])
+                yield pd.DataFrame(list(_best(batch["value"].tolist(), listed, cutoff)), columns=["value", "choice", "score"])
 
         found = unknown.mapInPandas(stream, schema=_OUT)
         return found.filter(F.col("score") >= cutoff).select("value", F.col("choice").alias("suggestion"), "score")
@@ -57,7 +57,7 @@ def suggestions(values: DataFrame, choices: DataFrame, cutoff: float = CUTOFF) -
     )
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_best(a["value"].tolist(), b["choice"].tolist())), columns=["value", "choice", "score"])
+        return pd.DataFrame(list(_best(a["value"].tolist(), b["choice"].tolist(), cutoff)), columns=["value", "choice", "score"])
 
     found = (
         left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(compare, schema=_OUT)

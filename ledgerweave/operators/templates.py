@@ -55,14 +55,23 @@ def list_templates(templates: DataFrame, org_id: str, entity: str) -> DataFrame:
 
 
 def upsert_templates(templates: DataFrame, changes: DataFrame) -> DataFrame:
-    """Insert or overwrite by (org_id, entity, name). Empty sources and blank constants are dropped."""
+    """Insert or overwrite by (org_id, entity, name). Empty sources and blank constants are dropped.
+
+    Several changes to one key in a batch: the last one counts, by `seq` where the changes have that column, else by
+    template_id.
+    """
+    order = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
     clean = changes.select(
         "template_id", "org_id", "entity", F.btrim("name").alias("name"),
         F.map_filter("mapping", lambda _, v: v.isNotNull() & (v != "")).alias("mapping"),
         F.map_filter("constants", lambda _, v: F.coalesce(F.btrim(v), F.lit("")) != "").alias("constants"),
-        F.coalesce("source_columns", F.array().cast("array<string>")).alias("source_columns"),
+        F.coalesce("source_columns", F.array().cast("array<string>")).alias("source_columns"), order.alias("seq"),
     )
     key = ["org_id", "entity", "name"]
+    rest = F.struct("template_id", "mapping", "constants", "source_columns")
+    # maps cannot be compared; their entries as text settle a tie
+    rank = F.struct("seq", F.coalesce("template_id", F.lit("")), F.to_json("mapping"), F.to_json("constants"))
+    clean = clean.groupBy(*key).agg(F.max_by(rest, rank).alias("last")).select(*key, "last.*")
     ids = templates.select(*key, F.col("template_id").alias("old_id"))
     kept_id = clean.join(ids, key, "left").withColumn("template_id", F.coalesce("old_id", "template_id"))
     return templates.join(clean.select(*key), key, "left_anti").select(*_COLUMNS).unionByName(kept_id.select(*_COLUMNS))

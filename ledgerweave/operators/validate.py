@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerweave import errors as E
 from ledgerweave.errors import StageResult
 from ledgerweave.functions.numbers import is_numeric_text
-from ledgerweave.functions.text import trimmed_or_null
+from ledgerweave.functions.text import norm_or_empty, trimmed_or_null
 from ledgerweave.operators.groups import cyclic_groups
 from ledgerweave.operators.suggest import suggestions
 from ledgerweave.operators.vouchers import build_vouchers
@@ -176,18 +176,18 @@ def validate(
 
 
 def duplicate_names(df: DataFrame, entity: str) -> DataFrame:
-    """An error for every copy of a name that occurs more than once (exact text after trimming).
+    """An error for every copy of a name that occurs more than once (exact text after trimming; groups in any case).
 
     Counting combines on the map side. The repeated names then meet the rows in a
     join whose right side has one row per name; adaptive execution broadcasts it
     when small and splits a name that fills many rows.
     """
-    repeated = (
-        df.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("_copies"))
-        .filter(F.col("_copies") > 1)
-    )
-    twin = F.xxhash64("name").alias("_twin")  # gives the aggregate side its own shuffle, see vouchers
-    rows = df.select("source_row", "name", twin).join(repeated.select("name", twin), ["name", "_twin"], "left_semi")
+    # groups are found by name in any case, so variants of one name are copies too
+    key = norm_or_empty("name") if entity == "group" else F.col("name")
+    keyed = df.filter(F.col("name").isNotNull()).select("source_row", "name", key.alias("_key"))
+    repeated = keyed.groupBy("_key").agg(F.count("*").alias("_copies")).filter(F.col("_copies") > 1)
+    twin = F.xxhash64("_key").alias("_twin")  # gives the aggregate side its own shuffle, see vouchers
+    rows = keyed.select("*", twin).join(repeated.select("_key", twin), ["_key", "_twin"], "left_semi")
     return E.error_rows(
         rows, F.array(E.issue(E.DUPLICATE_IN_FILE, "name", _say("name", "occurs more than once."))), "validate", entity
     )

@@ -22,6 +22,7 @@ from ledgerweave import errors as E
 from ledgerweave.functions import dates, gst
 from ledgerweave.functions.numbers import CENTS, MONEY, is_bad_decimal, side_of, to_decimal
 from ledgerweave.functions.text import clean_columns, norm, norm_or_empty
+from ledgerweave.functions.xml_text import NOT_XML
 
 ENTITY = "voucher"
 
@@ -39,6 +40,10 @@ INPUT_COLUMNS = (
     "home_state", "party_gstin", "transaction_type",
 )
 
+# Rows of several uploads keep apart if they carry this column: it is part of their vouchers' keys.
+UPLOAD = "upload"
+_UPLOAD_MARK = "\x1f"
+
 # Places of a line inside its voucher: rows first, then the party leg, then the round-off leg.
 ROW_SECTION, PARTY_SECTION, ROUND_OFF_SECTION = 0, 1, 2
 LINE_ORDER = ("section", "source_row", "seq")
@@ -62,6 +67,7 @@ def with_input_columns(df: DataFrame, columns=INPUT_COLUMNS) -> DataFrame:
     present = {c for c in df.columns}
     known = df.select(
         F.col("source_row").cast("long").alias("source_row"),
+        *[F.col(c).cast("string").alias(c) for c in (UPLOAD,) if c in present],
         *[(F.col(c) if c in present else F.lit(None)).cast("string").alias(c) for c in columns],
     )
     return clean_columns(known, [c for c in columns if c in present])
@@ -166,16 +172,26 @@ def parse_rows(df: DataFrame) -> DataFrame:
             "bad_qty": F.col("item").isNotNull() & is_bad_decimal("quantity", F.col("qty"), clean=True),
             "bad_rate": F.col("item").isNotNull() & is_bad_decimal("rate", F.col("unit_rate"), clean=True),
             # quantity * rate is compared half-even; both factors are narrowed so the product stays exact
-            "expected": F.expr("bround(cast(abs(qty) as decimal(18,6)) * cast(abs(unit_rate) as decimal(18,6)), 2)"),
+            "expected": F.expr("bround(try_cast(abs(qty) as decimal(18,6)) * try_cast(abs(unit_rate) as decimal(18,6)), 2)"),
+            "tax_due": F.when(F.expr("intra is not null and percent is not null"), gst.total_tax(F.col("amount_value"), F.col("percent"))),
         }
     )
+    cells = ("vnum", "ledger", "vtype", "party", "note", "item", "unit_name")
+    rows = rows.withColumn("unprintable", F.concat_ws("", *cells).rlike(NOT_XML))
     fatal = f"""case
+        when unprintable then array({_rule(E.VALUE_NOT_ALLOWED, None, "'A cell holds a character that XML cannot carry.'")})
         when vnum is null then array({_rule(E.REQUIRED_MISSING, "voucher_number", "'A voucher number or order id is needed.'")})
         when ledger is null then array({_rule(E.REQUIRED_MISSING, "ledger_name", "'A ledger is needed.'")})
         when amount_issue is not null then array(amount_issue)
         when bad_qty or bad_rate then array(
             if(bad_qty, {_rule(E.BAD_DECIMAL, "quantity", _says("quantity", "is not a number."))}, null),
             if(bad_rate, {_rule(E.BAD_DECIMAL, "rate", _says("rate", "is not a number."))}, null))
+        when item is not null and qty is not null and try_cast(abs(qty) as decimal(18,6)) is null then array(
+            {_rule(E.BAD_DECIMAL, "quantity", _says("quantity", "is too large a number."))})
+        when item is not null and unit_rate is not null and try_cast(abs(unit_rate) as decimal(18,6)) is null then array(
+            {_rule(E.BAD_DECIMAL, "rate", _says("rate", "is too large a number."))})
+        when percent is not null and intra is not null and (tax_due is null or try_cast(amount_value + tax_due as decimal(21,6)) is null)
+            then array({_rule(E.BAD_DECIMAL, "gst_rate", _says("gst_rate", "makes a tax too large to post."))})
         when item is not null and (qty is null or qty <= 0) then array(
             {_rule(E.INVENTORY_MISMATCH, "quantity", _says("item", "needs a quantity above zero."))})
         end"""
@@ -195,15 +211,13 @@ def parse_rows(df: DataFrame) -> DataFrame:
         {
             "kept": F.col("fatal").isNull(),
             "issues": F.expr(f"if(fatal is not null, fatal, {soft})"),
-            "tax": F.when(F.col("taxed"), gst.total_tax(F.col("amount_value"), F.col("percent"))).otherwise(
-                F.lit(0).cast(CENTS)
-            ),
+            "tax": F.when(F.col("taxed"), F.coalesce("tax_due", F.lit(0).cast(CENTS))).otherwise(F.lit(0).cast(CENTS)),
         }
     )
     return rows.withColumns(
         {
             "cgst": F.when(F.col("intra"), gst.half_tax(F.col("tax"))).otherwise(F.lit(0).cast(CENTS)),
-            "voucher_key": norm("vnum", clean=True),
+            "voucher_key": F.concat(F.col(UPLOAD), F.lit(_UPLOAD_MARK), norm("vnum", clean=True)) if UPLOAD in rows.columns else norm("vnum", clean=True),
             "refund": is_refund("transaction_type"),
         }
     )
@@ -213,7 +227,7 @@ def headers_of(rows: DataFrame) -> DataFrame:
     """One row per voucher key with header candidates, totals and the verdict."""
     own = "if(kept, source_row, null)"
     first = "min_by({0}, if(kept and {0} is not null, source_row, null))"
-    side_total = "cast(amount_value + tax as decimal(21,6))"
+    side_total = "try_cast(amount_value + tax as decimal(21,6))"
     cents = "cast(0 as decimal(21,6))"
     # Rows that are left out are ignored inside the aggregates. A filter on `kept` would be pushed
     # down through the projections and evaluate every parsing rule a second time.
@@ -238,6 +252,8 @@ def headers_of(rows: DataFrame) -> DataFrame:
         "row_legs": """sum(if(kept, 1 + if(cgst <> 0, 1, 0) + if(intra and tax <> cgst, 1, 0)
             + if(taxed and not intra and tax <> 0, 1, 0), null))""",
     }
+    if UPLOAD in rows.columns:
+        aggregates[UPLOAD] = f"min({UPLOAD})"
     keyed = rows.withColumns({"type_key": norm("vtype", clean=True), "party_key": norm("party", clean=True)})
     grouped = keyed.groupBy("voucher_key").agg(*[F.expr(sql).alias(name) for name, sql in aggregates.items()])
     steps = [
@@ -345,7 +361,9 @@ def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
         "voucher_key", "kept", "source_row", "ledger", "is_debit", "amount_value", "item", "qty", "unit_rate", "unit_name",
         "intra", "taxed", "tax", "cgst",
     )
+    own = [c for c in (UPLOAD,) if c in headers.columns]
     facts = headers.filter("ok").select(
+        *own,
         "voucher_key", "first_row", "flip", "gap", "party_leg", "round_leg", "date", "voucher_type", "party_ledger",
         is_b2c("voucher_type", "party_gstin").alias("b2c"),
     )
@@ -364,21 +382,24 @@ def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
             if({lead} and round_leg, {rounding}, null))"""
     )
     exploded = joined.select(
-        "voucher_key", "first_row", "source_row", "date", "voucher_type", "party_ledger", "b2c",
+        *own, "voucher_key", "first_row", "source_row", "date", "voucher_type", "party_ledger", "b2c",
         F.explode_outer(legs).alias("leg"),
     ).filter(F.col("leg").isNotNull())
     return exploded.select(
         "voucher_key", "first_row", "leg.section", "source_row", "leg.seq", "leg.ledger_name", "leg.is_debit",
         "leg.amount", "leg.stock_item", "leg.quantity", "leg.rate", "leg.unit", "date", "voucher_type",
-        "party_ledger", "b2c",
+        "party_ledger", "b2c", *own,
     )
 
 
 def build_vouchers(df: DataFrame, stage: str = "convert") -> VoucherResult:
-    """Group line-format rows (`source_row` plus any of INPUT_COLUMNS) into balanced vouchers."""
+    """Group line-format rows (`source_row` plus any of INPUT_COLUMNS) into balanced vouchers.
+
+    With a column `upload`, vouchers of different uploads never meet, and vouchers, lines and errors carry it.
+    """
     rows = parse_rows(df)
     headers = headers_of(rows)
     errors = E.error_rows(rows, F.col("issues"), stage, ENTITY).unionByName(
         E.error_rows(headers, F.col("issues"), stage, ENTITY, row="first_row")
     )
-    return VoucherResult(headers.filter("ok").select(*VOUCHER_COLUMNS), lines_of(rows, headers), errors)
+    return VoucherResult(headers.filter("ok").select(*VOUCHER_COLUMNS, *[c for c in (UPLOAD,) if c in headers.columns]), lines_of(rows, headers), errors)

@@ -8,7 +8,10 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.errors import StageResult
 from ledgerweave.operators import masters, resolve, rollups, vouchers
+from ledgerweave.operators.groups import order_groups, unordered_groups
+from ledgerweave.operators.validate import validate
 from ledgerweave.sources.envelopes import envelope_rows
 
 
@@ -22,21 +25,47 @@ class Import:
 
 
 def import_masters(
-    rows: DataFrame, entity: str, company: str, existing: DataFrame | None = None, extra_fields: bool = False
+    rows: DataFrame, entity: str, company: str, existing: DataFrame | None = None, extra_fields: bool = False,
+    gate: bool = True, **known,
 ) -> Import:
-    """Masters with create-or-update decisions against `existing`, if given. Conflicts are held back."""
-    held = rows.filter(F.lit(False))
-    usable = rows
+    """Masters with create-or-update decisions against `existing`, if given. Conflicts are held back.
+
+    With `gate`, rows are validated first (`known` holds the value sets, see `validate`): rows with an error are held back, and
+    an error about the table as a whole holds back all of them.
+    """
+    if "parent" not in rows.columns:
+        rows = rows.withColumn("parent", F.lit(None).cast("string"))
+    nothing = rows.filter(F.lit(False))
+    usable, stopped, problems = _gated(rows, entity, known) if gate else (rows, nothing, None)
+    held = nothing
     if existing is not None:
-        usable, held = resolve.apply_verdicts(rows, resolve.resolve(rows, existing))
+        usable, held = resolve.apply_verdicts(usable, resolve.resolve(usable, existing))
     converted = masters.convert_masters(usable, entity, extra_fields=extra_fields)
+    if entity == "group":
+        # only groups that can be ordered are written; the others say why
+        placed = converted.data.join(order_groups(converted.data).select("source_row"), "source_row", "left_semi")
+        converted = StageResult(placed, converted.errors.unionByName(unordered_groups(converted.data)))
+    errors = converted.errors if problems is None else problems.unionByName(converted.errors)
+    # rows that validation stopped count as skipped; `held` are conflicts
+    entered = usable.select("source_row").unionByName(stopped.select("source_row"))
     return Import(
         envelope_rows(company, {entity: converted.data}),
-        converted.errors,
-        masters.conversion_counts(usable, held, converted),
+        errors,
+        masters.conversion_counts(entered, held, StageResult(converted.data, errors)),
     )
 
 
+def _gated(rows: DataFrame, entity: str, known: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows that may be converted, rows held back, what validation found)."""
+    found = validate(rows, entity, **known).errors
+    blocking = found.filter(F.col("severity") == "error")
+    bad = blocking.filter("source_row is not null").groupBy("source_row").agg(F.lit(True).alias("_bad"))
+    whole = blocking.filter("source_row is null").agg((F.count("*") > 0).alias("_all"))  # one row
+    marked = rows.join(bad, "source_row", "left").crossJoin(F.broadcast(whole))
+    stop = F.col("_all") | F.coalesce("_bad", F.lit(False))
+    return marked.filter(~stop).select(*rows.columns), marked.filter(stop).select(*rows.columns), found
+
+
 def import_vouchers(
     rows: DataFrame,
     company: str,

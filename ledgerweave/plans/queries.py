@@ -293,7 +293,7 @@ def did_you_mean(spark: S, d: str) -> DataFrame:
     """Part names with a letter lost against the known part names."""
     parts = shapes.table(spark, d, "part")
     known = parts.select(F.col("p_name").alias("value")).distinct()
-    unknown = parts.select(F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 200)).alias("value"))
+    unknown = parts.select(F.concat(F.substring("p_name", 1, 2), F.substr("p_name", F.lit(4))).alias("value"))
     return suggestions(unknown, known).select("value", "suggestion", F.round("score", 4).alias("score"))
 
 

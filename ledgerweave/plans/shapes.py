@@ -220,7 +220,7 @@ def incoming_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("source_row"),
         F.when(key % 4 == 0, name)
         .when(key % 4 == 1, F.concat(F.lit("  "), F.upper(name), F.lit(" ")))
-        .when(key % 4 == 2, F.concat(F.substring(name, 1, 4), F.substring(name, 6, 100)))
+        .when(key % 4 == 2, F.concat(F.substring(name, 1, 4), F.substr(name, F.lit(6))))
         .otherwise(F.concat(F.lit("Vendor "), key.cast("string"))).alias("name"),
         F.col("c_mktsegment").alias("parent"),
     )

@@ -166,9 +166,9 @@ def clean_table(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def check_intake(
-    df: DataFrame, max_rows: int | None = MAX_ROWS, max_columns: int | None = MAX_COLUMNS
+    df: DataFrame, max_rows: int | None = None, max_columns: int | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """(error rows, notes) about an upload as a whole. Limits are optional; None switches one off."""
+    """(error rows, notes) about an upload as a whole. No limit holds unless the caller sets it (MAX_ROWS and MAX_COLUMNS are customary ones)."""
     columns = [c for c in df.columns if c != "source_row"]
     problems = []
     if not columns or df.isEmpty():
@@ -186,7 +186,7 @@ def check_intake(
     return E.literal_errors(df.sparkSession, problems, "parse", None), notes
 
 
-def read_upload(spark: SparkSession, paths: str | list[str], max_rows: int | None = MAX_ROWS, **options) -> Upload:
+def read_upload(spark: SparkSession, paths: str | list[str], max_rows: int | None = None, **options) -> Upload:
     """Scan, clean and check one upload."""
     scanned = read_delimited(spark, paths, **options)
     if scanned.data.columns == ["source_row"]:

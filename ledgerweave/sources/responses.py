@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
+from xml.parsers import expat
 
-from ledgerweave.functions.text import as_col, strip
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Counter tags of a response and the columns they become.
 COUNTERS = {
@@ -13,61 +15,63 @@ COUNTERS = {
     "ERRORS": "errors", "CANCELLED": "cancelled", "EXCEPTIONS": "exceptions", "LASTVCHID": "last_vch_id",
     "LASTMID": "last_master_id",
 }
-_OPEN = r"(?is)<(?:[\w.-]+:)?{tag}(?:\s[^>]*)?>([^<]*)"
-
-
-def _unescaped(c: Column) -> Column:
-    for old, new in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
-
-
-def is_well_formed(c: Column | str) -> Column:
-    """One root element, balanced tags, no undefined entity; read by Spark's XML parser."""
-    text = strip(c)
-    parsed = F.from_xml(text, "_corrupt_record string, _none string", {"mode": "PERMISSIVE"})
-    body = F.regexp_replace(text, r"(?s)^<\?xml.*?\?>|<!--.*?-->", "")
-    body = strip(body)
-    root = F.regexp_extract(body, r"^<([\w:.-]+)", 1)
-    close = F.concat(F.lit("</"), root, F.lit(">"))
-    closed = body.endswith(close) | body.rlike(r"^<[^<>]*/>$")
-    # A second root would open after the first one closed. Only documents whose root tag closes more than
-    # once need the long test.
-    once = F.position(close, body) + F.length(close) > F.length(body)
-    single = F.when(once, F.lit(True)).otherwise(
-        ~body.rlike(r"(?s)^<([\w:.-]+)(?:\s[^>]*)?>(?:(?!<\1[\s>]).)*?</\1>\s*<")
-    )
-    return (root != "") & closed & single & parsed["_corrupt_record"].isNull()
+_NUMBER = re.compile(r"[+-]?[0-9]+")
+_LARGEST = 2**63 - 1
+_PARSED = "rejected string, " + ", ".join(f"{name} long" for name in COUNTERS.values()) + ", line_errors array<string>"
+
+
+def _read(xml: str | None) -> tuple:
+    """(reason or None, the counters, line errors) of one response, in one pass of an XML parser."""
+    zeros = dict.fromkeys(COUNTERS, 0)
+    if xml is None:
+        return "malformed", *zeros.values(), []
+    if "<!DOCTYPE" in xml.upper():
+        return "doctype", *zeros.values(), []
+    counters, lines = dict(zeros), []
+    open_: list[list] = []  # [name, text before the first child, has a child]
+
+    def start(tag: str, _: dict) -> None:
+        if open_:
+            open_[-1][2] = True
+        open_.append([tag.rpartition(":")[2].upper(), [], False])
+
+    def text(data: str) -> None:
+        if open_ and not open_[-1][2]:
+            open_[-1][1].append(data)
+
+    def end(_: str) -> None:
+        name, parts, _ = open_.pop()
+        value = "".join(parts).strip()
+        if name in counters:
+            number = int(value) if _NUMBER.fullmatch(value) and len(value) < 21 else 0
+            counters[name] = number if abs(number) <= _LARGEST else 0
+        elif name == "LINEERROR" and value:
+            lines.append(value)
+
+    parser = expat.ParserCreate(encoding="utf-8")
+    parser.StartElementHandler, parser.CharacterDataHandler, parser.EndElementHandler = start, text, end
+    try:
+        parser.Parse(xml.strip().encode("utf-8", "replace"), True)
+    except expat.ExpatError:
+        return "malformed", *zeros.values(), []
+    return None, *counters.values(), lines
 
 
 def parse_responses(df: DataFrame, xml: str = "xml") -> DataFrame:
-    """Add the ten counters, `line_errors`, and `rejected` (the reason) to a table of responses.
+    """Add the ten counters (long), `line_errors`, and `rejected` (the reason) to a table of responses.
 
     A DOCTYPE or malformed text is rejected: its counters stay zero and the
-    outcome treats it as unreadable. Tag names match in any case; the last
-    occurrence of a counter counts. Everything is a row expression.
+    outcome treats it as unreadable. Tag names match in any case and prefix; the last
+    occurrence of a counter counts. CDATA and character references are read as text.
+    Each response is parsed once, in Arrow batches.
     """
-    text = as_col(xml)
-    rejected = (
-        F.when(text.isNull(), F.lit("malformed"))
-        .when(F.upper(text).contains("<!DOCTYPE"), F.lit("doctype"))
-        .when(~is_well_formed(text), F.lit("malformed"))
-    )
-    staged = df.withColumn("rejected", rejected)
-    readable = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
-    staged = staged.withColumn("_xml", F.when(F.col("rejected").isNull(), readable).otherwise(F.lit("")))
 
-    def counter(tag: str) -> Column:
-        hits = F.regexp_extract_all("_xml", F.lit(_OPEN.format(tag=tag)), F.lit(1))
-        last = F.try_element_at(hits, F.lit(-1))
-        return F.coalesce(strip(last).try_cast("int"), F.lit(0))
+    @F.pandas_udf(_PARSED)
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_read(t) for t in texts], columns=["rejected", *COUNTERS.values(), "line_errors"])
 
-    lines = F.transform(
-        F.regexp_extract_all("_xml", F.lit(_OPEN.format(tag="LINEERROR")), F.lit(1)), lambda x: _unescaped(strip(x))
-    )
-    return staged.withColumns(
-        {**{name: counter(tag) for tag, name in COUNTERS.items()}, "line_errors": F.filter(lines, lambda x: x != "")}
-    ).drop("_xml")
+    staged = df.withColumn("_parsed", parse(F.col(xml).cast("string")))
+    return staged.withColumns({c: F.col(f"_parsed.{c}") for c in ("rejected", *COUNTERS.values(), "line_errors")}).drop("_parsed")
 
 
 def import_outcome(parsed: DataFrame) -> DataFrame:

@@ -35,6 +35,23 @@ def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     )
 
 
+def with_file_row(df: DataFrame, file: str, block: str, name: str = "source_row") -> DataFrame:
+    """Number the rows of each file of a scan from 1, whatever other files are read beside it.
+
+    `file` and `block` name columns that hold `_metadata.file_path` and `_metadata.file_block_start`. The driver holds one
+    row per split.
+    """
+    numbered = df.withColumn("_id", F.monotonically_increasing_id())
+    splits = numbered.groupBy(file, block).agg(F.min("_id").alias("low"), F.count("*").alias("n")).collect()
+    offsets, start, last = [], 0, None
+    for r in sorted(splits, key=lambda r: (r[file], r[block])):
+        start = 0 if r[file] != last else start
+        offsets.append((r[file], r[block], start - r["low"]))
+        start, last = start + r["n"], r[file]
+    table = df.sparkSession.createDataFrame(offsets, f"{file} string, {block} long, _shift long")
+    return numbered.join(table, [file, block]).withColumn(name, F.col("_id") + F.col("_shift") + 1).drop("_id", "_shift", block)
+
+
 def read_parquet_numbered(spark: SparkSession, path: str, name: str = "source_row") -> DataFrame:
     """Read parquet with 1-based row numbers taken from the files' own row index.
 

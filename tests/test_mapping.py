@@ -119,3 +119,12 @@ def test_best_template_and_overlay(spark):
     over = {r.target_field: r for r in M.overlay_template(suggestions, best, columns).collect()}
     assert (over["name"].source_column, over["name"].method, over["name"].status) == ("Account Title", "template", "auto_accept")
     assert over["parent"].confidence >= 0.99 and over["pan"].method == "fuzzy" and not over["name"].shared
+
+
+def test_the_last_change_of_a_batch_counts(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    changes = spark.createDataFrame(
+        [("t1", "a", "ledger", "My", {"name": "X"}, {}, ["X"], 2), ("t2", "a", "ledger", " My", {"name": "Y"}, {}, ["Y"], 1)], SCHEMA + ", seq long")
+    rows = upsert_templates(empty, changes).collect()
+    assert [(r.template_id, r.mapping) for r in rows] == [("t1", {"name": "X"})]
+    assert upsert_templates(empty, changes.drop("seq")).first().template_id == "t2"

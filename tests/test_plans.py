@@ -63,3 +63,68 @@ def test_files_that_arrive(spark, tmp_path):
     (source / "b.csv").write_text(head + "3,2026-04-01,Journal,A,5,Dr\n3,2026-04-01,Journal,B,5,Cr\n")
     assert run() == ["1", "3"]
     assert [r.code for r in spark.read.parquet(str(tmp_path / "out/errors")).collect()] == ["voucher_unbalanced"]
+
+
+def test_batches_do_not_change_the_result(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    columns = ["voucher_number", "date", "voucher_type", "ledger_name", "amount", "dr_cr"]
+    for i in range(4):  # every file has a voucher 1 of its own, and a line that cannot be read
+        (source / f"f{i}.csv").write_text(",".join(columns) + f"\n1,2026-04-0{i + 1},Journal,A,{i + 5},Dr\n1,2026-04-0{i + 1},Journal,B,{i + 5},Cr\n9,2026-04-01,Journal,A,x{i},Dr\n")
+    seen = []
+    for n in (1, 10):
+        build_vouchers_from(spark, str(source), columns, str(tmp_path / f"out{n}"), str(tmp_path / f"ck{n}"), files_per_batch=n).awaitTermination(120)
+        read = lambda name: sorted(map(str, spark.read.parquet(str(tmp_path / f"out{n}/{name}")).drop("batch").collect()))  # noqa: B023, E731
+        seen.append([read(name) for name in ("vouchers", "lines", "errors")])
+    assert seen[0] == seen[1] and [len(x) for x in seen[0]] == [4, 8, 4]
+    assert {r.source_row for r in spark.read.parquet(str(tmp_path / "out10/errors")).collect()} == {3}
+
+
+def test_groups_that_cannot_be_ordered_are_reported(spark):
+    rows = frame(spark, [
+        dict(name="Alpha", parent="Primary"), dict(name="ALPHA", parent="Primary"), dict(name="Loop1", parent="Loop2"),
+        dict(name="Loop2", parent="Loop1"), dict(name="Child", parent="loop1"), dict(name="Beta", parent="alpha"),
+    ])
+    out = import_masters(rows, "group", "Co", gate=False)
+    assert [e.get("NAME") for e in tree(out.envelope).iter("GROUP")] == ["Alpha", "Beta"]
+    assert sorted((r.source_row, r.code) for r in out.errors.collect()) == [(2, "duplicate_in_file"), (3, "group_cycle"), (4, "group_cycle"), (5, "group_cycle")]
+    gated = import_masters(rows, "group", "Co")  # a cycle is an error of the whole table
+    assert not list(tree_or_none(gated.envelope)) and gated.counts.first().skipped == 6
+
+
+def tree_or_none(rows):
+    return rows.collect()
+
+
+def test_gate_holds_back_bad_rows(spark):
+    rows = frame(spark, [dict(name="A", parent="Bank"), dict(name="B", parent="Bnk"), dict(name="A", parent="Bank"), dict(name="C", parent="Bank")])
+    out = import_masters(rows, "ledger", "Co", known_groups=["Bank"])
+    assert [e.get("NAME") for e in tree(out.envelope).iter("LEDGER")] == ["C"]
+    assert sorted((r.source_row, r.code) for r in out.errors.collect()) == [(1, "duplicate_in_file"), (2, "unknown_group"), (3, "duplicate_in_file")]
+    assert out.counts.first().skipped == 3
+
+
+def test_units_without_a_parent_column(spark):
+    rows = frame(spark, [dict(name="Nos", decimal_places="2"), dict(name="Kg", decimal_places="99999999999")])
+    existing = spark.createDataFrame([(1, "nos", None, "g1")], "ex_id long, name string, parent string, guid string")
+    out = import_masters(rows, "unit", "Co", existing)
+    assert [(e.get("NAME"), e.get("ACTION"), e.findtext("DECIMALPLACES")) for e in tree(out.envelope).iter("UNIT")] == [("Nos", "Alter", "2"), ("Kg", "Create", "0")]
+    assert [(r.source_row, r.code) for r in out.errors.collect()] == [(2, "bad_decimal")]
+
+
+def test_oversized_and_unprintable_cells_are_error_rows(spark):
+    good = dict(date="2026-04-01", voucher_type="Sales", dr_cr="Cr", ledger_name="Sales")
+    rows = [
+        {**good, "order_id": "1", "amount": "10", "party_ledger": "P", "gst_rate": "18", "shipping_state": "MH", "home_state": "MH"},
+        {**good, "order_id": "2", "amount": "10", "stock_item": "X", "quantity": "9999999999999", "rate": "1", "unit": "Nos"},
+        {**good, "order_id": "3", "amount": "99999999999999", "party_ledger": "P", "gst_rate": "99999", "shipping_state": "MH", "home_state": "KA"},
+        {**good, "order_id": "4", "amount": "10", "party_ledger": "P\x0bQ", "gst_rate": "18", "shipping_state": "MH", "home_state": "MH"},
+    ]
+    out = import_vouchers(frame(spark, rows), "Co")
+    assert [v.findtext("VOUCHERNUMBER") for v in tree(out.envelope).iter("VOUCHER")] == ["1"]
+    assert sorted((r.source_row, r.code, r.source_column) for r in out.errors.collect() if r.severity == "error") == [
+        (2, "bad_decimal", "quantity"), (3, "bad_decimal", "gst_rate"), (4, "value_not_allowed", None)]
+    ledgers = frame(spark, [dict(name="A", parent="Bank", credit_limit="1" + "0" * 25), dict(name="B\x00", parent="Bank")])
+    made = import_masters(ledgers, "ledger", "Co")
+    assert [e.findtext("CREDITLIMIT") for e in tree(made.envelope).iter("LEDGER")] == ["1" + "0" * 25 + ".00"]
+    assert [(r.source_row, r.code) for r in made.errors.collect()] == [(2, "value_not_allowed")]

@@ -68,6 +68,7 @@ def test_upload_checks(spark, tmp_path):
     assert [e.code for e in empty.errors.collect()] == [E.EMPTY_FILE]
     only_header = read_upload(spark, put(tmp_path, "a,b\n", "h.csv")).result
     assert [e.code for e in only_header.errors.collect()] == [E.EMPTY_FILE]
+    assert read_upload(spark, put(tmp_path, "a,b\n" + "x,y\n" * 5, "n.csv")).result.ok()
     big = read_upload(spark, put(tmp_path, "a,b\n" + "x,y\n" * 5, "b.csv"), max_rows=2).result
     assert [e.code for e in big.errors.collect()] == [E.FILE_TOO_LARGE]
     errors, notes = check_intake(frame(spark, [{"Unnamed: 1": "x", "b": "y"}]), max_columns=1)
@@ -116,6 +117,10 @@ RESPONSES = [
     ("<ENVELOPE><UNCLOSED>", "malformed", 0, 0, 0, [], "push_failed"),
     ("<A><CREATED>1</CREATED></A><B></B>", "malformed", 0, 0, 0, [], "push_failed"),
     ("<A><CREATED>1</CREATED><!-- <CREATED>9</CREATED> --></A>", None, 1, 0, 0, [], "pushed"),
+    ("<A><CREATED>0</CREATED><LINEERROR><![CDATA[bad <ledger>]]></LINEERROR></A>", None, 0, 0, 0, ["bad <ledger>"], "push_failed"),
+    ("<A><CREATED>1</CREATED><LINEERROR>caf&#233; &#x41;</LINEERROR></A>", None, 1, 0, 0, ["caf\u00e9 A"], "pushed_partial"),
+    ("<A><CREATED>3000000000</CREATED><ns:ALTERED>2</ns:ALTERED></A>", None, 3000000000, 2, 0, [], "pushed"),
+    ('<?xml version="1.0" encoding="UTF-16"?><A><CREATED>1</CREATED></A>', None, 1, 0, 0, [], "pushed"),
     ("plain", "malformed", 0, 0, 0, [], "push_failed"), (None, "malformed", 0, 0, 0, [], "push_failed"),
 ]
 
