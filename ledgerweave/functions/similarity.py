@@ -173,6 +173,7 @@ _METAPHONE_RULES = (
     (r"^wh", "w"),
     (r"(?<!^)(?<=m)b$", ""), (r"b", "B"),
     (r"(?<=c)k", ""),
+    (r"(?<=s)ch", "k"), (r"(?<=s)c(?=[iey])", ""),
     (r"ci(?=a)|ch", "X"), (r"c[iey]", "S"), (r"c", "K"),
     (r"dg[iey]", "J"), (r"d", "T"),
     (r"gh(?![aeiou]|$)", "h"), (r"gn$", "n"), (r"g(?=[iey])", "J"), (r"g", "K"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import errors as E
 from ledgerweave.functions.text import norm_or_empty
+from ledgerweave.operators.joins import hot_safe_join
 from ledgerweave.sources.shared_folder import ensure_checkpoint_dir
 
 _MAX_ROUNDS = 64  # 2**64 levels; the loop ends long before
@@ -26,66 +27,82 @@ def _edges(df: DataFrame) -> DataFrame:
         .agg(F.min("source_row").alias("source_row"), F.min_by("parent_key", "source_row").alias("parent_key"))
     )
     known = groups.select(F.col("name_key").alias("parent_key"), F.lit(True).alias("inside"))
-    inside = hot_safe(groups, known, "parent_key", "left")
+    inside = hot_safe_join(groups, known, ["parent_key"], "left")
     root = F.col("inside").isNull() | (F.col("parent_key") == F.col("name_key"))
     return inside.select("name_key", "source_row", F.when(~root, F.col("parent_key")).alias("up"))
 
 
-def _closed(df: DataFrame) -> DataFrame:
-    """Groups with `path` (root first) and `up`: null once the root is reached, still set inside cycles."""
+def _depths(df: DataFrame) -> DataFrame:
+    """Every group with its `parent_key` (null at a root) and `depth`: null on and below a cycle.
+
+    A row holds one ancestor and the steps to it, never a path. Groups whose depth is known are set aside and are only looked up;
+    each round at least halves the steps that the others still have to go.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    state = _edges(df).withColumn("path", F.array("name_key")).checkpoint()
-    left = state.filter(F.col("up").isNotNull()).count()
+    edges = _edges(df).checkpoint()
+    root = F.col("up").isNull()
+    done = edges.filter(root).select("name_key", F.lit(0).cast("long").alias("depth"))
+    open_ = edges.filter(~root).select("name_key", F.col("up").alias("ancestor"), F.lit(1).cast("long").alias("hops")).checkpoint()
+    left = open_.count()
     for _ in range(_MAX_ROUNDS):
         if left == 0:
             break
-        above = state.select(
-            F.col("name_key").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("head")
-        )
-        # the open groups jump to their ancestor; its path goes in front of theirs
-        state = (
-            state.join(above, "up", "left")
-            .select(
-                "name_key", "source_row", F.col("next_up").alias("up"),
-                F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path"),
-            )
-            .checkpoint()
+        known = done.select("name_key", F.lit(None).cast("string").alias("next"), F.lit(0).cast("long").alias("more"), "depth").unionByName(
+            open_.select("name_key", F.col("ancestor").alias("next"), F.col("hops").alias("more"), F.lit(None).cast("long").alias("depth"))
         )
+        moved = hot_safe_join(open_, known.withColumnRenamed("name_key", "ancestor"), ["ancestor"]).select(
+            "name_key", F.col("next").alias("ancestor"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("hops") + F.col("depth")).alias("depth")
+        ).checkpoint()
+        done = done.unionByName(moved.filter("depth is not null").select("name_key", "depth"))
+        open_ = moved.filter("depth is null").select("name_key", "ancestor", "hops")
         # a round that closes no group proves that the open ones are on or below a cycle
-        now = state.filter(F.col("up").isNotNull()).count()
+        now = open_.count()
         if now == left:
             break
         left = now
-    return state
+    return edges.withColumnRenamed("up", "parent_key").join(done, "name_key", "left")
+
+
+def group_depths(df: DataFrame) -> DataFrame:
+    """Groups outside cycles with `depth`: sorted by it, parents come before their children."""
+    return _depths(df).filter(F.col("depth").isNotNull()).select("source_row", "name_key", "depth")
 
 
 def order_groups(df: DataFrame) -> DataFrame:
     """Groups outside cycles with `depth` and `path`; sort by (depth, path) for parents first.
 
     Breadth-first with siblings in name order is the same as ordering by depth and
-    then by the path from the root.
+    then by the path from the root. A path is as long as the group is deep; where parents first is enough,
+    `group_depths` does without.
     """
-    closed = _closed(df).filter(F.col("up").isNull())
-    return closed.select("source_row", "name_key", (F.size("path") - 1).alias("depth"), "path")
+    placed = _depths(df).filter(F.col("depth").isNotNull())
+    state = placed.select("source_row", "name_key", "depth", F.col("parent_key").alias("up"), F.array("name_key").alias("path")).checkpoint()
+    deepest = state.agg(F.max("depth")).first()[0] or 0
+    for _ in range(int(deepest).bit_length()):
+        above = state.select(F.col("name_key").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("head"))
+        # the ancestor's path goes in front
+        state = (
+            state.join(above, "up", "left")
+            .select(
+                "source_row", "name_key", "depth", F.col("next_up").alias("up"),
+                F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path"),
+            )
+            .checkpoint()
+        )
+    return state.select("source_row", "name_key", F.col("depth").cast("int").alias("depth"), "path")
 
 
 def unordered_groups(df: DataFrame) -> DataFrame:
     """An error row for every group that `order_groups` cannot place: later copies of a name, and groups on or below a cycle."""
     rows = df.select(F.col("source_row").cast("long").alias("source_row"), "name", norm_or_empty("name").alias("name_key")).filter(F.col("name_key") != "")
     first = rows.groupBy("name_key").agg(F.min("source_row").alias("first_row"))
-    copies = hot_safe(rows, first, "name_key").filter(F.col("source_row") != F.col("first_row"))
+    copies = hot_safe_join(rows, first, ["name_key"]).filter(F.col("source_row") != F.col("first_row"))
     said = F.concat(F.lit("Group '"), "name", F.lit("' occurs more than once."))
     repeated = E.error_rows(copies, F.array(E.issue(E.DUPLICATE_IN_FILE, "name", said)), "convert", "group")
     cycle = F.concat(F.lit("Group '"), "name_key", F.lit("' never reaches a root."))
     return repeated.unionByName(E.error_rows(cyclic_groups(df), F.array(E.issue(E.GROUP_CYCLE, "parent", cycle)), "convert", "group"))
 
 
-def hot_safe(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on a key and its hash: an aggregated side gets a shuffle of its own, so a hot key can be split at run time."""
-    twin = F.xxhash64(key)
-    return left.withColumn("_twin", twin).join(right.withColumn("_twin", twin), [key, "_twin"], how).drop("_twin")
-
-
 def cyclic_groups(df: DataFrame) -> DataFrame:
     """Groups that never reach a root."""
-    return _closed(df).filter(F.col("up").isNotNull()).select("source_row", "name_key")
+    return _depths(df).filter(F.col("depth").isNull()).select("source_row", "name_key")

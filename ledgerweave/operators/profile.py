@@ -29,11 +29,11 @@ def _unpivoted(df: DataFrame, columns: list[str], row: str) -> DataFrame:
     return df.select(F.col(row).alias("source_row"), cells.alias("cell")).select("source_row", "cell.column", "cell.value")
 
 
-def profile(df: DataFrame, row: str = "source_row", approx: bool = False) -> DataFrame:
+def profile(df: DataFrame, row: str = "source_row", approx: bool = False, samples: bool = True) -> DataFrame:
     """Profile every column but `row`: counts, distinct share, type, samples, candidate key.
 
     `approx` replaces the exact distinct count by a sketch, which needs no shuffle
-    of the distinct values.
+    of the distinct values. Without `samples` the table is read once.
     """
     columns = [c for c in df.columns if c != row]
     total = df.agg(F.count("*").alias("total"))
@@ -47,12 +47,19 @@ def profile(df: DataFrame, row: str = "source_row", approx: bool = False) -> Dat
             F.count_if(F.col("key").isin(*BOOLISH_WORDS)).alias("n_boolish"),
         )
     else:
-        values = cells.groupBy("column", "key").agg(F.count("*").alias("n"), F.min("source_row").alias("first_row"))
+        # a value travels as its digest, with the marks that its type is told by: its length does not matter
+        marked = cells.select(
+            "column", "source_row", F.unhex(F.md5("key")).alias("digest"), is_numeric_text("key").cast("int").alias("numeric"),
+            F.col("key").isin(*BOOLISH_WORDS).cast("int").alias("boolish"),
+        )
+        values = marked.groupBy("column", "digest").agg(
+            F.count("*").alias("n"), F.min("source_row").alias("first_row"), F.max("numeric").alias("numeric"), F.max("boolish").alias("boolish")
+        )
         per_column = values.groupBy("column").agg(
             F.sum("n").alias("n"),
             F.count("*").alias("n_distinct"),
-            F.sum(F.when(is_numeric_text("key"), F.col("n")).otherwise(F.lit(0))).alias("n_numeric"),
-            F.sum(F.when(F.col("key").isin(*BOOLISH_WORDS), F.col("n")).otherwise(F.lit(0))).alias("n_boolish"),
+            F.sum(F.col("n") * F.col("numeric")).alias("n_numeric"),
+            F.sum(F.col("n") * F.col("boolish")).alias("n_boolish"),
         )
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "position int, column string")
     # one row per column on both sides here; the table size is a single row
@@ -84,7 +91,7 @@ def profile(df: DataFrame, row: str = "source_row", approx: bool = False) -> Dat
         distinct_share.alias("distinct_share"),
         null_share.alias("null_share"),
     )
-    if approx:
+    if approx or not samples:
         return signals
     return signals.join(_samples(values, df, row, columns), "column", "left").withColumn(
         "samples", F.coalesce("samples", F.array().cast("array<string>"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions.similarity import code_points, jaro_winkler_codes, metaphone
 from ledgerweave.functions.text import norm_or_empty
+from ledgerweave.operators.joins import hot_safe_join
 
 # Weights and thresholds of the match score.
 W_EXACT, W_SIMILAR, W_PARENT = 0.60, 0.30, 0.10
@@ -87,7 +88,7 @@ def _tiles(inc: DataFrame, ex: DataFrame, kinds) -> DataFrame:
 
     def placed(side: DataFrame, tag: int) -> DataFrame:
         # a big block is rare but holds many keys: the broadcast or the skew split of adaptive execution serves both
-        sized = side.join(big, "block", "left")
+        sized = hot_safe_join(side, big, ["block"], "left")
         rows, cols = F.coalesce("rows", F.lit(1)), F.coalesce("cols", F.lit(1))
         spot = F.pmod(F.xxhash64("name", "parent"), rows if tag else cols).cast("int")
         other = F.explode(F.sequence(F.lit(0), (cols if tag else rows) - 1))
@@ -227,7 +228,7 @@ def _top_rows(inc: DataFrame, ex: DataFrame, kinds) -> DataFrame:
     by_key = Window.partitionBy("in_name", "in_parent").orderBy(F.desc("score"), "ex_first")
     keys = pairs.withColumn("key_rank", F.row_number().over(by_key)).filter(F.col("key_rank") <= TOP)
     ids = ex.select(F.col("name").alias("ex_name"), F.col("parent").alias("ex_parent"), "ex_ids")
-    rows = keys.join(ids, ["ex_name", "ex_parent"]).withColumn("ex_id", F.explode("ex_ids"))
+    rows = hot_safe_join(keys, ids, ["ex_name", "ex_parent"]).withColumn("ex_id", F.explode("ex_ids"))
     by_row = Window.partitionBy("in_name", "in_parent").orderBy(F.desc("score"), "ex_id")
     return rows.withColumn("rank", F.row_number().over(by_row)).filter(F.col("rank") <= TOP)
 

@@ -16,6 +16,7 @@ from ledgerweave.errors import StageResult
 from ledgerweave.functions.numbers import is_numeric_text
 from ledgerweave.functions.text import norm_or_empty, trimmed_or_null
 from ledgerweave.operators.groups import cyclic_groups
+from ledgerweave.operators.joins import hot_safe_join
 from ledgerweave.operators.suggest import suggestions
 from ledgerweave.operators.vouchers import build_vouchers
 
@@ -74,7 +75,7 @@ def _with_known(df: DataFrame, column: str, values: ValueSet) -> tuple[DataFrame
             return df, F.col(column).isNotNull() & ~F.col(column).isin(*listed)
     mark = f"_known_{column}"
     table = _value_set(df, values).select(F.col("value").alias(column), F.lit(True).alias(mark))
-    return df.join(table, column, "left"), F.col(column).isNotNull() & F.col(mark).isNull()
+    return hot_safe_join(df, table, [column], "left"), F.col(column).isNotNull() & F.col(mark).isNull()
 
 
 def validate(
@@ -144,7 +145,7 @@ def validate(
         hints = suggestions(work.filter(F.col(column).isNotNull()).select(F.col(column).alias("value")),
                             _value_set(df, values))
         hints = hints.select(F.col("value").alias(column), F.col("suggestion").alias(f"_hint_{column}"))
-        checked = checked.join(hints, column, "left")
+        checked = hot_safe_join(checked, hints, [column], "left")
         hint = F.col(f"_hint_{column}")
         rules.append(
             F.when(

@@ -23,6 +23,7 @@ from ledgerweave.functions import dates, gst
 from ledgerweave.functions.numbers import CENTS, MONEY, is_bad_decimal, side_of, to_decimal
 from ledgerweave.functions.text import clean_columns, norm, norm_or_empty
 from ledgerweave.functions.xml_text import NOT_XML
+from ledgerweave.sources.shared_folder import stored
 
 ENTITY = "voucher"
 
@@ -392,13 +393,15 @@ def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def build_vouchers(df: DataFrame, stage: str = "convert") -> VoucherResult:
+def build_vouchers(df: DataFrame, stage: str = "convert", store: bool = False) -> VoucherResult:
     """Group line-format rows (`source_row` plus any of INPUT_COLUMNS) into balanced vouchers.
 
     With a column `upload`, vouchers of different uploads never meet, and vouchers, lines and errors carry it.
+    With `store`, parsed rows and headers are written to the shared folder once, and lines, headers and errors read them there;
+    otherwise everything is lazy and each output evaluates the input for itself.
     """
-    rows = parse_rows(df)
-    headers = headers_of(rows)
+    rows = stored(parse_rows(df)) if store else parse_rows(df)
+    headers = stored(headers_of(rows)) if store else headers_of(rows)
     errors = E.error_rows(rows, F.col("issues"), stage, ENTITY).unionByName(
         E.error_rows(headers, F.col("issues"), stage, ENTITY, row="first_row")
     )

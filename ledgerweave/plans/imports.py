@@ -1,4 +1,4 @@
-"""Whole imports: from mapped rows to envelope rows. Everything stays lazy until a sink writes."""
+"""Whole imports: from mapped rows to envelope rows. The input of a voucher import is evaluated once, into the shared folder."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ledgerweave.operators import masters, resolve, rollups, vouchers
 from ledgerweave.operators.groups import order_groups, unordered_groups
 from ledgerweave.operators.validate import validate
 from ledgerweave.sources.envelopes import envelope_rows
+from ledgerweave.sources.shared_folder import stored
 
 
 @dataclass
@@ -75,12 +76,13 @@ def import_vouchers(
     chunk: int | None = None,
 ) -> Import:
     """Vouchers, with opening balances for rows before the cutover and daily retail summaries if asked for."""
+    rows = stored(rows)
     opening, problems = None, None
     if cutover is not None and not settlement_mode:
         balances, problems = rollups.opening_balances(rows, cutover)
         _, rows = rollups.split_cutover(rows, cutover)
         opening = _opening_ledgers(balances)
-    built = rollups.settlements(rows) if settlement_mode else vouchers.build_vouchers(rows)
+    built = rollups.settlements(rows) if settlement_mode else vouchers.build_vouchers(rows, store=True)
     heads, lines = built.vouchers, built.lines
     if b2c_summary:
         heads, lines = rollups.b2c_daily(heads, lines)

@@ -176,9 +176,9 @@ def gst_components(spark: S, d: str) -> DataFrame:
 
 
 # --- profile and mapping ------------------------------------------------------------------------
-def _profile(df: DataFrame) -> DataFrame:
-    return profile(df).select("column", "row_count", "column_count", "n", "n_distinct", "inferred_type", "null_pct", "distinct_pct",
-                              "is_candidate_key", "samples")
+def _profile(df: DataFrame, samples: bool = True) -> DataFrame:
+    return profile(df, samples=samples).select("column", "row_count", "column_count", "n", "n_distinct", "inferred_type", "null_pct", "distinct_pct",
+                                               "is_candidate_key", *["samples"] * samples)
 
 
 def _customer_upload(spark: S, d: str) -> DataFrame:
@@ -195,7 +195,7 @@ def profile_customer(spark: S, d: str) -> DataFrame:
 
 def profile_documents(spark: S, d: str) -> DataFrame:
     docs = shapes.numbered(spark, d, "documents").select("source_row", *[F.col(c).cast("string").alias(c) for c in ("doc_id", "text", "lang", "source", "n_chars")])
-    return _profile(docs).drop("samples")
+    return _profile(docs, samples=False)
 
 
 def suggest_mapping(spark: S, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ledgerweave import errors as E
 from ledgerweave.errors import StageResult
-from ledgerweave.sources.row_numbers import with_source_row
+from ledgerweave.sources.row_numbers import with_file_row, with_source_row
 
 # Separators that are tried (earlier wins a tie), texts read as null, limits.
 DELIMITERS = (",", ";", "\t", "|")
@@ -99,6 +100,9 @@ class Upload:
     dropped: list[str]
 
 
+META = ("source_row", "upload")
+
+
 def read_delimited(
     spark: SparkSession,
     paths: str | list[str],
@@ -106,20 +110,36 @@ def read_delimited(
     encoding: str | None = None,
     multi_line: bool = True,
 ) -> StageResult:
-    """All-string table with `source_row`, and an error row for each record with too many fields.
+    """All-string table with `source_row`, and an error row for each record with too many fields and each empty file.
+
+    Every file is read by its own encoding, delimiter and header; files that agree in them are read together, and
+    columns of all files are aligned by name (null where a file lacks one). With more than one file the table and the
+    errors have `upload`, the path, and rows are numbered per file. The driver sees one row per file.
 
-    Files of one call share a header. `multi_line` allows line breaks in quoted
-    cells and reads each file in one task; turn it off for large files, which then
+    `multi_line` allows line breaks in quoted cells and reads each file in one task; turn it off for large files, which then
     split. Records with too few fields are padded with null.
     """
-    if delimiter is None or encoding is None:
-        first = sniff(spark, paths, encoding).orderBy("empty", "file").first()
-        if first is None or first["empty"]:
-            return StageResult(
-                spark.createDataFrame([], "source_row long"),
-                E.literal_errors(spark, [{"code": E.EMPTY_FILE, "message": "The file is empty."}], "parse", None),
-            )
-        delimiter, encoding = delimiter or first["delimiter"], encoding or first["encoding"]
+    files = sniff(spark, paths, encoding).orderBy("file").collect()
+    many = len(files) > 1
+    empty = [f["file"] for f in files if f["empty"]]
+    variants: dict[tuple, list[str]] = {}
+    for f in files:
+        if not f["empty"]:
+            variants.setdefault((delimiter or f["delimiter"], f["encoding"], f["header"]), []).append(f["file"])
+    problems = [{"code": E.EMPTY_FILE, "message": "The file is empty.", "upload": f if many else None} for f in empty or ([] if files else [None])]
+    nothing = spark.createDataFrame([], "source_row long, upload string" if many else "source_row long")
+    data, errors = [], [E.literal_errors(spark, problems, "parse", None)]
+    for (separator, kind, _), own in variants.items():
+        one = _read_alike(spark, own, separator, kind, multi_line, many)
+        data.append(one.data)
+        errors.append(one.errors)
+    if len(data) == 1:
+        return StageResult(data[0], reduce(DataFrame.unionByName, errors))
+    return StageResult(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), data, nothing), reduce(DataFrame.unionByName, errors))
+
+
+def _read_alike(spark: SparkSession, paths: list[str], delimiter: str, encoding: str, multi_line: bool, by_file: bool) -> StageResult:
+    """Files with one encoding, delimiter and header."""
     options = {
         "sep": delimiter, "encoding": encoding, "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE",
         "quote": '"', "escape": '"', "inferSchema": "false", "nullValue": "", "emptyValue": "",
@@ -134,17 +154,19 @@ def read_delimited(
     cells = [
         F.when(~F.col(f"c{i}").isin(*NULL_TEXTS), F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))
     ]
-    filled = table.select(*cells, _OVERFLOW).filter(
+    place = [F.col("_metadata.file_path").alias("upload"), F.col("_metadata.file_block_start").alias("_block")] if by_file else []
+    filled = table.select(*cells, _OVERFLOW, *place).filter(
         F.coalesce(*[F.col(f"c{i}") for i in range(len(names))], F.col(_OVERFLOW)).isNotNull()
     )
-    numbered = with_source_row(filled)
+    numbered = with_file_row(filled, "upload", "_block") if by_file else with_source_row(filled)
     ragged = F.when(
         F.col(_OVERFLOW).isNotNull(),
         E.issue(E.PARSE_FAILED, None, "The record has more fields than the header.", raw=F.col(_OVERFLOW)),
     )
     errors = E.error_rows(numbered, F.array(ragged), "parse", None)
     good = numbered.filter(F.col(_OVERFLOW).isNull())
-    data = good.select("source_row", *[F.col(f"c{i}") for i in range(len(names))]).toDF("source_row", *names)
+    lead = ["source_row", *["upload"] * by_file]
+    data = good.select(*lead, *[F.col(f"c{i}") for i in range(len(names))]).toDF(*lead, *names)
     return StageResult(data, errors)
 
 
@@ -155,11 +177,11 @@ def clean_table(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """
     names = [c.strip() for c in df.columns]
     df = df.toDF(*names)
-    columns = [c for c in names if c != "source_row"]
+    columns = [c for c in names if c not in META]
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     kept = [c for i, c in enumerate(columns) if counts[f"n{i}"]]
     dropped = [c for c in columns if c not in kept and c and not c.startswith("Unnamed:")]
-    chosen = df.select(*[c for c in names if c == "source_row"], *[F.col(f"`{c}`") for c in kept])
+    chosen = df.select(*[c for c in names if c in META], *[F.col(f"`{c}`") for c in kept])
     if not kept:
         return chosen.limit(0), dropped
     return chosen.filter(F.coalesce(*[F.col(f"`{c}`") for c in kept]).isNotNull()), dropped
@@ -169,7 +191,7 @@ def check_intake(
     df: DataFrame, max_rows: int | None = None, max_columns: int | None = None
 ) -> tuple[DataFrame, list[str]]:
     """(error rows, notes) about an upload as a whole. No limit holds unless the caller sets it (MAX_ROWS and MAX_COLUMNS are customary ones)."""
-    columns = [c for c in df.columns if c != "source_row"]
+    columns = [c for c in df.columns if c not in META]
     problems = []
     if not columns or df.isEmpty():
         problems.append({"code": E.EMPTY_FILE, "message": "The file has no data rows."})
@@ -189,7 +211,7 @@ def check_intake(
 def read_upload(spark: SparkSession, paths: str | list[str], max_rows: int | None = None, **options) -> Upload:
     """Scan, clean and check one upload."""
     scanned = read_delimited(spark, paths, **options)
-    if scanned.data.columns == ["source_row"]:
+    if not set(scanned.data.columns) - set(META):
         return Upload(scanned, [], [])
     data, dropped = clean_table(scanned.data)
     problems, notes = check_intake(data, max_rows)

@@ -16,7 +16,7 @@ from ledgerweave.operators.emit import (
     master_fragments,
     voucher_fragments,
 )
-from ledgerweave.operators.groups import order_groups
+from ledgerweave.operators.groups import group_depths
 
 _LAST = 99
 
@@ -41,17 +41,16 @@ def masters_body(masters: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for entity, df in masters.items():
         if entity == "group":
-            position = order_groups(df).select(
-                "source_row", F.concat(F.lpad(F.col("depth").cast("string"), 6, "0"), F.array_join("path", "\x01")).alias("place")
-            )
+            # parents first: a child is one level deeper
+            position = group_depths(df).select("source_row", F.concat(F.lpad(F.col("depth").cast("string"), 12, "0"), "name_key").alias("place"))
             parts.append(master_fragments(df.join(position, "source_row"), "group", F.col("place")))
         else:
             parts.append(master_fragments(df, entity))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _frame_rows(df: DataFrame, section: int, opening: str, closing: str) -> DataFrame:
-    """Opening and closing rows of one section, present only where the section has rows."""
+def _frame_rows(chunks: DataFrame, section: int, opening: str, closing: str) -> DataFrame:
+    """Opening and closing rows of one section in each chunk. `chunks` names chunks, not their text."""
     ends = F.explode(
         F.array(
             F.struct(F.lit(section).alias("section"), F.lit("").alias("place"), F.lit(-9).alias("part"), F.lit(opening).alias("xml")),
@@ -59,7 +58,7 @@ def _frame_rows(df: DataFrame, section: int, opening: str, closing: str) -> Data
                      F.lit(closing).alias("xml")),
         )
     )
-    return df.select("chunk").distinct().select("chunk", ends.alias("e")).select(
+    return chunks.select("chunk").distinct().select("chunk", ends.alias("e")).select(
         "chunk", "e.section", "e.place", "e.part", F.lit(0).cast("long").alias("row"), F.lit(0).alias("seq"), "e.xml"
     )
 
@@ -79,22 +78,28 @@ def envelope_rows(
     by hashing into as many chunks as needed, so no global numbering is required.
     """
     parts = []
-    section_open = 0
+    section_open, filled = 0, []
     if masters:
+        # one row tells that there are masters; their text is not needed for the tags
+        some = reduce(DataFrame.unionByName, [df.select(F.lit(0).alias("chunk")).limit(1) for df in masters.values()])
+        filled.append(some)
         body = masters_body(masters).withColumn("chunk", F.lit(0))
-        parts += [body, _frame_rows(body, section_open, _open("All Masters", company, import_dups), "").filter("part < 0"),
-                  _frame_rows(body, 5, "", _CLOSE).filter("part > 0")]
+        parts += [body, _frame_rows(some, section_open, _open("All Masters", company, import_dups), "").filter("part < 0"),
+                  _frame_rows(some, 5, "", _CLOSE).filter("part > 0")]
     if vouchers:
         heads, lines = vouchers
         chunks = 1 if chunk is None else max(1, -(-heads.count() // chunk))
         number = F.pmod(F.xxhash64("voucher_key"), F.lit(chunks)).cast("int")
         body = voucher_fragments(heads, lines).withColumn("chunk", number).drop("voucher_key")
-        frame = _frame_rows(heads.select(number.alias("chunk")), VOUCHER_SECTION, _open("Vouchers", company, None), _CLOSE)
+        numbers = heads.select(number.alias("chunk")).distinct()
+        filled.append(numbers)
+        frame = _frame_rows(numbers, VOUCHER_SECTION, _open("Vouchers", company, None), _CLOSE)
         parts += [body, frame]
     columns = ["chunk", *POSITION, "xml"]
     body = reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
-    outer = _frame_rows(body, -1, f"<ENVELOPE>{HEADER}<BODY>", "").filter("part < 0").unionByName(
-        _frame_rows(body, _LAST, "", "</BODY></ENVELOPE>").filter("part > 0")
+    chunks = reduce(DataFrame.unionByName, filled)
+    outer = _frame_rows(chunks, -1, f"<ENVELOPE>{HEADER}<BODY>", "").filter("part < 0").unionByName(
+        _frame_rows(chunks, _LAST, "", "</BODY></ENVELOPE>").filter("part > 0")
     )
     return body.unionByName(outer.select(*columns))
 

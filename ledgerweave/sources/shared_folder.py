@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -20,3 +22,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="run-")
     context.setCheckpointDir(named)
     return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Compute once, write compressed columns to the shared folder, and go on from the files."""
+    spark = df.sparkSession
+    path = posixpath.join(ensure_checkpoint_dir(spark), f"table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -128,3 +128,27 @@ def test_oversized_and_unprintable_cells_are_error_rows(spark):
     made = import_masters(ledgers, "ledger", "Co")
     assert [e.findtext("CREDITLIMIT") for e in tree(made.envelope).iter("LEDGER")] == ["1" + "0" * 25 + ".00"]
     assert [(r.source_row, r.code) for r in made.errors.collect()] == [(2, "value_not_allowed")]
+
+
+def test_long_chains_hot_parents_and_cycles(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerweave.operators.groups import cyclic_groups, group_depths
+
+    n = 20_000
+    chain = spark.range(n).select(F.col("id").alias("source_row"), F.concat(F.lit("c"), "id").alias("name"), F.when(F.col("id") == 0, F.lit("Primary")).otherwise(F.concat(F.lit("c"), F.col("id") - 1)).alias("parent"))
+    hot = spark.range(n).select((F.col("id") + n).alias("source_row"), F.concat(F.lit("h"), "id").alias("name"), F.lit("c0").alias("parent"))
+    loop = spark.createDataFrame([(10 * n, "l1", "l2"), (10 * n + 1, "l2", "l1"), (10 * n + 2, "below", "l1")], "source_row long, name string, parent string")
+    rows = chain.union(hot).union(loop)
+    depths = group_depths(rows).agg(F.count("*"), F.max("depth"), F.sum("depth")).first()
+    assert tuple(depths) == (2 * n, n - 1, n * (n - 1) // 2 + n)
+    assert sorted(r.name_key for r in cyclic_groups(rows).collect()) == ["below", "l1", "l2"]
+
+
+def test_an_import_reads_its_input_once(spark, tmp_path):
+    rows = frame(spark, [sale(order_id=str(i), date="2026-04-01") for i in range(4)] + [sale(order_id="9", date="2026-03-01", gst_rate=None)])
+    path = str(tmp_path / "rows")
+    rows.write.parquet(path)
+    out = import_vouchers(spark.read.parquet(path), "Co", cutover="2026-04-01", b2c_summary=True)
+    for df in (out.envelope, out.errors, out.counts):
+        assert path not in df._jdf.queryExecution().optimizedPlan().toString() and "/rows" not in str(df.inputFiles())

@@ -56,7 +56,7 @@ def test_many_files_and_large_file_mode(spark, tmp_path):
     found = sniff(spark, str(tmp_path), encoding="UTF-8").orderBy("file").collect()
     assert [(r.delimiter, r.header) for r in found] == [("|", "a|b")] * 2
     result = read_delimited(spark, str(tmp_path), encoding="UTF-8", multi_line=False)
-    assert sorted(rows(result.data)) == [("1", "2"), ("3", "4"), ("5", "6")]
+    assert sorted(rows(result.data.drop("upload"))) == [("1", "2"), ("3", "4"), ("5", "6")]
     assert sorted(r.source_row for r in result.data.collect()) == [1, 2, 3]
 
 
@@ -140,3 +140,23 @@ def test_pending(spark):
     done = spark.createDataFrame([("4",), ("4",)], "job_id string")
     got = {r.job_id: r.intact for r in pending_artifacts(artifacts, done).collect()}
     assert got == {"1": True, "2": False, "3": True}
+
+
+def test_files_of_one_call_are_read_by_their_own_rules(spark, tmp_path):
+    one = put(tmp_path, "Name,Under\nA,Bank\nB,Cash,extra\n", "1.csv")
+    put(tmp_path, "Under;Name;Pan\nBank;C;x\n", "2.csv")
+    (tmp_path / "3.csv").write_bytes("Name\tUnder\nD\u00e9\tBank\nE\tBank\n".encode("latin-1"))
+    put(tmp_path, "", "4.csv")
+    import os
+    made = read_delimited(spark, os.path.dirname(one) + "/*.csv")
+    rows = sorted((r.upload[-5:], r.source_row, r.Name, r.Under, r.Pan) for r in made.data.collect())
+    assert rows == [("1.csv", 1, "A", "Bank", None), ("2.csv", 1, "C", "Bank", "x"), ("3.csv", 1, "D\u00e9", "Bank", None), ("3.csv", 2, "E", "Bank", None)]
+    assert sorted((r.upload[-5:], r.source_row or 0, r.code) for r in made.errors.collect()) == [("1.csv", 2, "parse_failed"), ("4.csv", 0, "empty_file")]
+
+
+def test_profile_reads_long_values(spark):
+    from ledgerweave.operators.profile import profile
+    df = spark.createDataFrame([(1, "x" * 50000, "1"), (2, "x" * 50000, "2"), (3, "y", "a")], "source_row long, a string, b string")
+    got = {r.column: (r.n_distinct, r.inferred_type, [s[:1] for s in r.samples]) for r in profile(df).collect()}
+    assert got == {"a": (2, "string", ["x", "y"]), "b": (3, "string", ["1", "2", "a"])}
+    assert "samples" not in profile(df, samples=False).columns
