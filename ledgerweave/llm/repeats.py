@@ -224,7 +224,7 @@ def ranges_in_groups(open_: DataFrame, unit: Unit, repeated: Callable[[Group], n
         hit = repeated(group)
         starts, owner = starts[hit], owner[hit]
         known, first = np.unique(owner, return_index=True)
-        last = np.append(first[1:], len(owner)) - 1
+        last = np.searchsorted(owner, known, side="right") - 1
         place = group.begin[known] + group.before[known]
         return pa.RecordBatch.from_arrays(
             [pa.array(group.key[known]), pa.array(group.s[known]), pa.array(starts[first] - place), pa.array(starts[last] - place + unit.length)],

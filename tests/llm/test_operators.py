@@ -158,6 +158,17 @@ def test_suffix_trees(docs, length, key, group):
     plain.same(suffix_trees.remove(docs, length, key, group), ["doc_id", "n_words", "n_removed", "kept_sha256"], plain.removed_words(ROWS, length))
 
 
+def test_groups_without_a_repeated_window(spark):
+    """Texts share their synchronising strings, but no window."""
+    core = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{i} " * 30 + core + f" {i}" * 30, "en") for i in range(6)]
+    df = plain.table(spark, rows, 2)
+    plain.same(suffix_trees.remove(df), ["doc_id", "n_words", "n_removed", "kept_sha256"], plain.removed_words(rows, 50))
+    core = "".join(chr(97 + (i * 7 + i // 5) % 26) for i in range(380))
+    rows = [(i, chr(65 + i) * 300 + core + chr(70 + i) * 300, "en") for i in range(4)]
+    plain.same(suffix_dedup.remove(plain.table(spark, rows, 2)), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], plain.repeated_bytes(rows, 400))
+
+
 def test_texts_longer_than_a_piece(spark, monkeypatch):
     from ledgerweave.llm import synchronise
 
