@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm.batches import id_and_text, over_batches, row_key, texts_of
+from ledgerweave.llm.shared import stored
 from ledgerweave.llm.tokens import spread
 from ledgerweave.llm.words import ALPHANUMERIC, Words, words_of
 
@@ -212,17 +213,24 @@ def hits(texts: list[bytes], benchmark: Benchmark | None) -> tuple[np.ndarray, l
     return counts, spans, items
 
 
-def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text"):
-    """The benchmark as prepared blocks, none of which holds much more than `block_bytes` of text (one item at least).
+@dataclass
+class Blocks:
+    """A benchmark cut into blocks, none of which holds much more than `block_bytes` of text (one item at least)."""
+
+    source: DataFrame
+    count: int
+    window: int
+
+    def __getitem__(self, block: int) -> Benchmark | None:
+        """Collect and prepare one block."""
+        part = self.source.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.count)) == block)
+        return prepare([(row["item"], row["text"].encode()) for row in part.collect()], self.window)
+
 
-    Each block is collected by itself and only when it is its turn.
-    """
+def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "item_id", text_col: str = "text") -> Blocks:
     source = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    count = -(-total // block_bytes) or 1
-    for block in range(count):
-        part = source.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == block)
-        yield prepare([(row["item"], row["text"].encode()) for row in part.collect()], window)
+    return Blocks(source, -(-total // block_bytes) or 1, window)
 
 
 _SPANS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
@@ -249,11 +257,12 @@ def _one_block(source: DataFrame, block: Benchmark | None, keyed: bool) -> DataF
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
          block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: words, merged spans of hit words, and the ids of the items that occur."""
-    source, made = id_and_text(docs, id_col, text_col), list(blocks_of(benchmark, window, block_bytes))
-    if len(made) == 1:
-        return _one_block(source, made[0], False)
+    source, blocks = id_and_text(docs, id_col, text_col), blocks_of(benchmark, window, block_bytes)
+    if blocks.count == 1:
+        return _one_block(source, blocks[0], False)
+    # one pass for each block; its rows are written, so the driver holds one block at a time
     source = source.select("doc_id", "text", *row_key())
-    parts = [_one_block(source, block, True) for block in made]
+    parts = [stored(_one_block(source, blocks[k], True)) for k in range(blocks.count)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -287,13 +296,13 @@ def digest(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows whose texts are not contaminated, unchanged. Several blocks add up only inside `find`; then it decides."""
-    made, names = list(blocks_of(benchmark, window, block_bytes)), docs.columns
-    if len(made) > 1:
+    blocks, names = blocks_of(benchmark, window, block_bytes), docs.columns
+    if blocks.count > 1:
         id_col = "doc_id"
         bad = find(docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(id_col), text_col), benchmark, window, id_col, text_col, block_bytes)
         bad = digest(bad).where("contaminated").select(F.col(id_col).alias("_hash")).distinct()
         return docs.join(bad, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"), "left_anti")
-    sent = _send(docs, made[0])
+    sent = _send(docs, blocks[0])
 
     def run(batches):
         for whole in batches:

@@ -153,6 +153,13 @@ def pack(table: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     return every.select(*result)
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int | bool]:
+    """Sequences of a packing, the bound on any packing of its pieces, and whether they meet."""
+    used = packed.where("offset = 0").count()
+    least = bound(*_histogram(packed), capacity)
+    return {"sequences": used, "bound": least, "certified": used == least}
+
+
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID, group: int = GROUP,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with their places in sequences."""

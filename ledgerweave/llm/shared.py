@@ -1,36 +1,16 @@
-"""Tables that later steps read again, in the folder all executors share."""
+"""Tables that later steps read again, in the folder all executors share, and joins that survive hot keys."""
 
 from __future__ import annotations
 
-import posixpath
-import uuid
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ledgerweave.sources.shared_folder import ensure_checkpoint_dir
+from ledgerweave.operators.joins import hot_safe_join
+from ledgerweave.sources.shared_folder import ensure_checkpoint_dir, stored
+
+__all__ = ["hot_safe_join", "stored", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Compute once, write to the checkpoint folder, and go on from the files."""
+    """Compute once, write to the checkpoint folder, and go on from the files: for tables of few columns."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like `written`, as compressed columns: for tables of many rows."""
-    spark = df.sparkSession
-    path = posixpath.join(ensure_checkpoint_dir(spark) or "", f"table-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def hot_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on keys and their hash.
-
-    A side that has been aggregated by the keys is dealt anew by (keys, hash), so both sides have an exchange of the
-    join's own, and adaptive execution can split a key that holds a large part of the rows.
-    """
-    name = "_deal"
-    mark = F.xxhash64(*keys)
-    return left.withColumn(name, mark).join(right.withColumn(name, mark), [*keys, name], how).drop(name)

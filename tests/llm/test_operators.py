@@ -228,6 +228,8 @@ def test_packing(docs, capacity, group):
             at += length
         assert at <= capacity
     total = sum(p[3] for p in plain.pieces(ROWS, capacity))
+    shown = packing.certificate(made, capacity)
+    assert shown["sequences"] == len(bins) >= shown["bound"] >= -(-total // capacity)
     assert len(bins) <= -(-total // capacity) * 1.03 + 2
 
 
