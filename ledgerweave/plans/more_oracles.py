@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from ledgerweave.plans.oracles import _INVOICE, _JOURNAL, _MESSAGE
+from ledgerweave.plans.oracles import _INVOICE, _JOURNAL, _MESSAGE, _RESOLVE
 
 _NUMBER = r"regexp_replace(CAST(CAST({} AS DECIMAL(18,6)) AS VARCHAR), '\.?0+$', '')"
 _ENTRY = """'<LEDGERNAME>' || {0} || '</LEDGERNAME><ISDEEMEDPOSITIVE>' || CASE WHEN {1} THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE><AMOUNT>' ||
   CASE WHEN {1} THEN '-' ELSE '' END || CAST(CAST({2} AS DECIMAL(18,2)) AS VARCHAR) || '</AMOUNT>'"""
 
 ORACLES: dict[str, str] = {
+    # a name of n letters that lost one shares 2n - 2 of 2n - 1 letters with itself, and no other part name comes closer
+    "did_you_mean": """
+WITH k AS (SELECT DISTINCT p_name, substr(p_name, 1, 2) || substr(p_name, 4) AS value FROM part)
+SELECT value, min(p_name) AS suggestion, any_value(round(200.0::DOUBLE * (length(p_name) - 1) / (2 * length(p_name) - 1), 4)) AS score
+FROM k WHERE value NOT IN (SELECT p_name FROM k) GROUP BY value""",
+    # all customers share the first four letters, so the sound block adds no pair
+    "resolve_summary": _RESOLVE + "SELECT decision, count(*) AS n FROM verdict GROUP BY decision",
     "delimited_customers": """
 SELECT CAST(c_custkey AS VARCHAR) AS "Key", CASE WHEN c_custkey % 3 <> 1 THEN c_name END AS "Name", c_mktsegment AS "Under",
   CASE WHEN c_custkey % 3 <> 0 THEN 'say "' || c_name || '", or; not' END AS "Note" FROM customer""",

@@ -17,14 +17,16 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 CHECKED = [
     "voucher_lines_gst", "b2c_daily", "journal_errors", "settlements", "cutover_opening_balances", "coerce_amounts",
     "coerce_dates", "profile_customer", "best_template", "upsert_templates", "validate_ledgers", "resolve_customers",
-    "ordered_groups", "convert_ledgers", "emit_stock_item_xml", "parse_responses", "stage_records",
+    "ordered_groups", "convert_ledgers", "emit_stock_item_xml", "parse_responses", "stage_records", "did_you_mean", "resolve_summary",
+    "delimited_customers", "validate_stock_items", "validate_units", "validate_suppliers", "emit_unit_xml", "emit_group_xml", "emit_renamed_xml",
+    "emit_invoice_xml", "voucher_envelope", "unreadable_cells", "vouchers_beside_unreadable_cells", "responses_with_cdata", "profile_shares",
 ]
 
 
 def test_registry():
     assert set(oracle_sql()) <= set(queries())
     own = {name for name in queries() if not re.match(r"op\d+_|pipeline$", name)}
-    assert own - set(oracle_sql()) == {"suggest_mapping", "overlay_template", "did_you_mean", "resolve_summary"}
+    assert own - set(oracle_sql()) == {"suggest_mapping", "overlay_template"}
 
 
 @needs_data
@@ -37,6 +39,21 @@ def test_query(spark, name):
     assert state == "ok", detail
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["voucher_lines_gst", "validate_ledgers", "emit_invoice_xml"])
+def test_query_with_compiled_code(spark, name):
+    """Most tests run interpreted; production compiles."""
+    settings = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        test_query(spark, name)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 @needs_data
 def test_entry(spark):
     df = entry(spark)
