@@ -16,6 +16,8 @@ from ledgerweave.operators.vouchers import (
     ENTITY,
     INPUT_COLUMNS,
     LINE_COLUMNS,
+    UPLOAD,
+    UPLOAD_MARK,
     LINE_ORDER,
     PARTY_SECTION,
     ROW_SECTION,
@@ -89,6 +91,7 @@ def b2c_daily(vouchers: DataFrame, lines: DataFrame, ledger: str = B2C_LEDGER) -
         F.lit("Sales").alias("voucher_type"),
         F.lit(ledger).alias("party_ledger"),
         F.lit(False).alias("b2c"),
+        F.lit(False).alias("invoice"),
     )
     kept = vouchers.filter(~is_b2c("voucher_type", "party_gstin"))
     return (
@@ -159,7 +162,8 @@ def settlements(df: DataFrame, bank: str = BANK, stage: str = "convert") -> Vouc
     )
     # the one remaining way to be refused: gross alone, with nothing on the debit side, cannot occur here
     rows = rows.withColumn("kept", F.col("issue").isNull())
-    rows = rows.withColumn("voucher_key", F.concat(norm("sid", clean=True), F.lit("@"), F.col("source_row")))
+    own_file = [F.col(UPLOAD), F.lit(UPLOAD_MARK)] if UPLOAD in rows.columns else []
+    rows = rows.withColumn("voucher_key", F.concat(*own_file, norm("sid", clean=True), F.lit("@"), F.col("source_row")))
     legs = [
         (F.col("party"), False, "gross"), (F.col("deposit"), True, "net"), (F.lit(COMMISSION), True, "fee_a"),
         (F.lit(FEES), True, "fee_b"), (F.lit(TCS), True, "fee_c"),
@@ -210,6 +214,7 @@ def settlements(df: DataFrame, bank: str = BANK, stage: str = "convert") -> Vouc
             F.col("kind").alias("voucher_type"),
             F.col("party").alias("party_ledger"),
             (norm("kind", clean=True) == "sales").alias("b2c"),
+            F.lit(False).alias("invoice"),
         )
     )
     return VoucherResult(headers, lines, E.error_rows(rows, F.array("issue"), stage, ENTITY))

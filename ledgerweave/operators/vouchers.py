@@ -43,7 +43,7 @@ INPUT_COLUMNS = (
 
 # Rows of several uploads keep apart if they carry this column: it is part of their vouchers' keys.
 UPLOAD = "upload"
-_UPLOAD_MARK = "\x1f"
+UPLOAD_MARK = "\x1f"
 
 # Places of a line inside its voucher: rows first, then the party leg, then the round-off leg.
 ROW_SECTION, PARTY_SECTION, ROUND_OFF_SECTION = 0, 1, 2
@@ -218,7 +218,7 @@ def parse_rows(df: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
             "cgst": F.when(F.col("intra"), gst.half_tax(F.col("tax"))).otherwise(F.lit(0).cast(CENTS)),
-            "voucher_key": F.concat(F.col(UPLOAD), F.lit(_UPLOAD_MARK), norm("vnum", clean=True)) if UPLOAD in rows.columns else norm("vnum", clean=True),
+            "voucher_key": F.concat(F.col(UPLOAD), F.lit(UPLOAD_MARK), norm("vnum", clean=True)) if UPLOAD in rows.columns else norm("vnum", clean=True),
             "refund": is_refund("transaction_type"),
         }
     )
@@ -328,7 +328,7 @@ VOUCHER_COLUMNS = (
 )
 LINE_COLUMNS = (
     "voucher_key", "first_row", "section", "source_row", "seq", "ledger_name", "is_debit", "amount", "stock_item",
-    "quantity", "rate", "unit", "date", "voucher_type", "party_ledger", "b2c",
+    "quantity", "rate", "unit", "date", "voucher_type", "party_ledger", "b2c", "invoice",
 )
 
 
@@ -366,7 +366,7 @@ def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
     facts = headers.filter("ok").select(
         *own,
         "voucher_key", "first_row", "flip", "gap", "party_leg", "round_leg", "date", "voucher_type", "party_ledger",
-        is_b2c("voucher_type", "party_gstin").alias("b2c"),
+        is_b2c("voucher_type", "party_gstin").alias("b2c"), F.col("has_inventory").alias("invoice"),
     )
     joined = _hot_safe_join(kept, facts)
     side, closing_side = "(is_debit <> flip)", "((gap > 0) <> flip)"
@@ -383,13 +383,13 @@ def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
             if({lead} and round_leg, {rounding}, null))"""
     )
     exploded = joined.select(
-        *own, "voucher_key", "first_row", "source_row", "date", "voucher_type", "party_ledger", "b2c",
+        *own, "voucher_key", "first_row", "source_row", "date", "voucher_type", "party_ledger", "b2c", "invoice",
         F.explode_outer(legs).alias("leg"),
     ).filter(F.col("leg").isNotNull())
     return exploded.select(
         "voucher_key", "first_row", "leg.section", "source_row", "leg.seq", "leg.ledger_name", "leg.is_debit",
         "leg.amount", "leg.stock_item", "leg.quantity", "leg.rate", "leg.unit", "date", "voucher_type",
-        "party_ledger", "b2c", *own,
+        "party_ledger", "b2c", "invoice", *own,
     )
 
 
