@@ -277,6 +277,20 @@ def test_rule_ensemble_on_held_out(spark):
     assert np.mean([(x.predicted == 1) == (x.doc_id % 4 != 0) for x in held]) > 0.97
 
 
+def test_the_sample_is_bounded_and_spread(spark):
+    rows = [(i, "good words here " * (3 + i % 7) if i % 2 else "bad### words### " * (2 + i % 5), "en") for i in range(600)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    stats = rule_ensemble.statistics(plain.table(spark, rows))
+    seen = []
+    keep, rule_ensemble.fit = rule_ensemble.fit, lambda x, y: seen.append((len(y), y.mean()))
+    try:
+        rule_ensemble.train(stats, lab, sample=100)
+        rule_ensemble.train(stats.repartition(7), lab, sample=100)
+    finally:
+        rule_ensemble.fit = keep
+    assert seen[0] == seen[1] and 60 <= seen[0][0] <= 100 and 0.3 < seen[0][1] < 0.7
+
+
 def test_compiled_rules_equal_numpy(spark, docs):
     stats = rule_ensemble.statistics(docs).where("doc_id is not null").cache()
     rows = stats.toPandas()
