@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerweave.sources.shared_folder import stored
+
 # Columns that may hold the order id, and the retention.
 ORDER_COLUMNS = ("order_id", "voucher_number", "Name")
 RETENTION_DAYS = 30
@@ -35,11 +37,14 @@ def for_org(df: DataFrame, org_id: str) -> DataFrame:
     return df.filter(F.col("org_id") == org_id)
 
 
+def _expired(now: Column | str, days: int) -> Column:
+    at = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+    return F.coalesce(F.col("created_at") < at - F.make_dt_interval(F.lit(days)), F.lit(False))
+
+
 def expire_staged(df: DataFrame, now: Column | str, days: int = RETENTION_DAYS) -> tuple[DataFrame, DataFrame]:
     """(rows to keep, one row with the number of rows to delete)."""
-    at = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
-    old = F.col("created_at") < at - F.make_dt_interval(F.lit(days))
-    expired = F.coalesce(old, F.lit(False))
+    expired = _expired(now, days)
     return df.filter(~expired), df.agg(F.count_if(expired).alias("deleted"))
 
 
@@ -51,3 +56,25 @@ def rewrite_staged(spark: SparkSession, path: str, target: str, now: Column | st
     kept, deleted = expire_staged(spark.read.parquet(path), now, days)
     kept.write.partitionBy("org_id", "job_id").parquet(target)
     return deleted.first()["deleted"]
+
+
+def expire_in_place(spark: SparkSession, path: str, now: Column | str, days: int = RETENTION_DAYS) -> int:
+    """Drop expired rows from the table itself and return their number. Only folders that hold one are written or removed.
+
+    Survivors of those folders are first written to the shared folder, so a job that is lost can be run again.
+    """
+    table = spark.read.parquet(path)
+    expired, keys = _expired(now, days), ["org_id", "job_id"]
+    folder = F.regexp_extract("_metadata.file_path", r"^(.*)/[^/]+$", 1).alias("folder")
+    counted = table.select(*keys, folder, expired.alias("old")).groupBy(*keys, "folder").agg(
+        F.count_if("old").alias("n_old"), F.count_if(~F.col("old")).alias("n_kept")
+    )
+    touched = stored(counted.filter("n_old > 0"))
+    partly = touched.filter("n_kept > 0").select(*keys)
+    survivors = stored(table.join(partly, keys).filter(~expired).select(*table.columns))
+    survivors.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for row in touched.filter("n_kept = 0").select("folder").toLocalIterator():
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["folder"])
+        place.getFileSystem(configuration).delete(place, True)
+    return touched.agg(F.coalesce(F.sum("n_old"), F.lit(0)).alias("n")).first()["n"]

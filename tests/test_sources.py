@@ -160,3 +160,18 @@ def test_profile_reads_long_values(spark):
     got = {r.column: (r.n_distinct, r.inferred_type, [s[:1] for s in r.samples]) for r in profile(df).collect()}
     assert got == {"a": (2, "string", ["x", "y"]), "b": (3, "string", ["1", "2", "a"])}
     assert "samples" not in profile(df, samples=False).columns
+
+
+def test_retention_touches_only_folders_with_expired_rows(spark, tmp_path):
+    import glob
+    from ledgerweave.sources.staging import expire_in_place, write_staged
+    path = str(tmp_path / "staged")
+    rows = [("a", "j1", "1", "2024-01-01 00:00:00"), ("a", "j1", "2", "2024-03-01 00:00:00"), ("a", "j2", "3", "2024-01-01 00:00:00"), ("b", "j1", "4", "2024-03-01 00:00:00")]
+    df = spark.createDataFrame(rows, "org_id string, job_id string, order_id string, at string").selectExpr("org_id", "job_id", "order_id", "'{}' as data", "cast(at as timestamp) as created_at")
+    write_staged(df, path)
+    before = set(glob.glob(path + "/org_id=b/*/*.parquet"))
+    assert expire_in_place(spark, path, "2024-03-02 00:00:00") == 2
+    left = spark.read.parquet(path)
+    assert sorted((r.org_id, r.job_id, r.order_id) for r in left.collect()) == [("a", "j1", "2"), ("b", "j1", "4")]
+    assert set(glob.glob(path + "/org_id=b/*/*.parquet")) == before and not glob.glob(path + "/org_id=a/job_id=j2")
+    assert expire_in_place(spark, path, "2024-03-02 00:00:00") == 0
