@@ -33,7 +33,7 @@ from ledgerweave.llm.synchronise import Prefix
 
 LENGTH, KEY = 400, 64
 #: Classes of one key that a task ranks together.
-GROUP = 512
+GROUP = 4096
 
 
 def shared_ranks(names: list[np.ndarray]) -> np.ndarray:

@@ -29,7 +29,7 @@ from ledgerweave.llm.shared import stored
 
 LENGTH, KEY = 50, 8
 #: Classes of one prefix that make up a subtree.
-GROUP = 512
+GROUP = 4096
 
 
 def deep_nodes(group: repeats.Group, starts: np.ndarray, length: int) -> np.ndarray:
