@@ -34,7 +34,7 @@ from ledgerweave.llm.words import NOT_SPACE, words_of
 
 LAST_ID = 2**63 - 1
 #: Units of content that a task works on at once; groups stay whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
