@@ -235,9 +235,10 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", sampl
     usable = stats.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("_id"))
     count = usable.count()
     if count > sample:
-        # a cut through the hashes of the ids that leaves nearly `sample` rows: no task sends more than its share
-        part = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-        usable = usable.where(part < int((2**63 - 1) * (sample / count) * 0.95))
+        # a cut through the hashes of the ids: no task sends more than its share, and six deviations keep the rows below
+        # `sample`, so that the limit behind it, which takes any rows, has nothing to do
+        part, wanted = F.shiftrightunsigned(F.xxhash64("doc_id"), 1), max(sample - 6 * sample**0.5, 0.0)
+        usable = usable.where(part < int((2**63 - 1) * (wanted / count)))
     rows = usable.select("doc_id", *STATISTICS, "_y").limit(sample).toPandas()
     rows = rows.sort_values(["doc_id", *STATISTICS, "_y"], kind="stable")
     return fit(rows[list(STATISTICS)].to_numpy(dtype=np.float64), (rows["_y"].to_numpy() == 1).astype(np.float64))
