@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,8 +121,11 @@ def read_delimited(
     split. Records with too few fields are padded with null.
     """
     files = sniff(spark, paths, encoding).orderBy("file").collect()
-    many = len(files) > 1
-    empty = [f["file"] for f in files if f["empty"]]
+    # files without a byte yield no row; the listing has them
+    seen = {_plain_path(f["file"]) for f in files}
+    bare = [f for f in spark.read.format("binaryFile").load(paths).inputFiles() if _plain_path(f) not in seen]
+    many = len(files) + len(bare) > 1
+    empty = [f["file"] for f in files if f["empty"]] + bare
     variants: dict[tuple, list[str]] = {}
     for f in files:
         if not f["empty"]:
@@ -138,6 +142,11 @@ def read_delimited(
     return StageResult(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), data, nothing), reduce(DataFrame.unionByName, errors))
 
 
+def _plain_path(path: str) -> str:
+    """A path as listings and rows agree on it: one slash behind the scheme, nothing quoted."""
+    return re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
+
+
 def _read_alike(spark: SparkSession, paths: list[str], delimiter: str, encoding: str, multi_line: bool, by_file: bool) -> StageResult:
     """Files with one encoding, delimiter and header."""
     options = {

@@ -57,7 +57,7 @@ def test_many_files_and_large_file_mode(spark, tmp_path):
     assert [(r.delimiter, r.header) for r in found] == [("|", "a|b")] * 2
     result = read_delimited(spark, str(tmp_path), encoding="UTF-8", multi_line=False)
     assert sorted(rows(result.data.drop("upload"))) == [("1", "2"), ("3", "4"), ("5", "6")]
-    assert sorted(r.source_row for r in result.data.collect()) == [1, 2, 3]
+    assert sorted((r.upload[-5:], r.source_row) for r in result.data.collect()) == [("1.csv", 1), ("2.csv", 1), ("2.csv", 2)]
 
 
 def test_upload_checks(spark, tmp_path):
