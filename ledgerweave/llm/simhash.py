@@ -199,13 +199,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, i
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, unchanged: the one with the smallest doc_id (then the smallest hash of the text)."""
-    prints = written(fingerprints(docs, shingle, SEED, id_col, text_col))
-    named = groups(prints, most).select("fp", "root")
+def first_of_each(docs: DataFrame, rooted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, unchanged, that have the smallest doc_id (then the smallest hash of the text) of their root."""
     # rows without an id come last
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "row_id", "row_hash")
-    kept = prints.join(named, "fp").groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.row_id").alias("_row_id"), F.col("k.row_hash").alias("_row_hash"))
+    kept = rooted.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.row_id").alias("_row_id"), F.col("k.row_hash").alias("_row_hash"))
     row_id, row_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     keyed = docs.withColumn("_row_id", row_id).withColumn("_row_hash", row_hash)
     return keyed.join(written(kept), ["_row_id", "_row_hash"], "left_semi").dropDuplicates(["_row_id", "_row_hash"]).select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, unchanged: the one with the smallest doc_id (then the smallest hash of the text)."""
+    prints = written(fingerprints(docs, shingle, SEED, id_col, text_col))
+    return first_of_each(docs, prints.join(groups(prints, most).select("fp", "root"), "fp"), id_col, text_col)
