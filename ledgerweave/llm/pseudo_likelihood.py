@@ -9,7 +9,7 @@ looks at `SIDE` tokens on either side:
 Classes come from counts over the whole corpus: frequent tokens have one of their own, the rest share classes
 by their id; the last factor is the token's share of its class (one count is added to each token, so all
 have a probability). Training: in each round every task walks all its documents once, takes every `STRIDE`-th
-token as a target (another remainder in each round), and makes minibatch steps from the shared weights; the tasks'
+token as a target (another remainder in each round, so that the rounds cover every position), and makes minibatch steps from the shared weights; the tasks'
 weights are averaged by Spark, parameter by parameter, weighted by targets. The driver sees the vocabulary's counts and one
 set of weights, both of fixed size.
 
@@ -29,7 +29,7 @@ from ledgerweave.llm.tokens import word_bpe
 
 VOCABULARY, TOKENS = "word_bpe_49k.json", 49_408
 SIDE, WIDTH, GROUPS, MEMBERS = 3, 16, 32, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 4096, 0.1
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 4096, 0.1
 EDGE = GROUPS * MEMBERS  # the class of places before and behind a text
 OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 
@@ -238,7 +238,7 @@ def fit(table: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: floa
     which, share = classes(token_counts(table))
     w = initial()
     for number in range(rounds):
-        w = train_round(table, which, w, number * (stride // 2) + 1, stride, rate)
+        w = train_round(table, which, w, number, stride, rate)
     return which, share, w
 
 
