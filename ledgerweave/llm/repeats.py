@@ -263,7 +263,8 @@ def spans(found: DataFrame, classes: DataFrame, ranges: DataFrame, unit: Unit, s
     all_of_it = F.col("row_id") > F.col("least") if smaller_only else F.col("whole")
     low, high = F.when(all_of_it, at - before).otherwise(at + F.col("a")), F.when(all_of_it, at + after + unit.length).otherwise(at + F.col("b"))
     each = met.select("row_id", "row_hash", low.alias("low"), high.alias("high")).where("low is not null")
-    return each.groupBy("row_id", "row_hash").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    # copies share id and text and would each add the same ranges
+    return each.groupBy("row_id", "row_hash").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
 
 
 def covered(spans_: list[dict] | None, n: int) -> np.ndarray:

@@ -3,10 +3,12 @@
 import os
 import sys
 
+import pytest
+
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import plain
 
-from ledgerweave.llm import pseudo_likelihood
+from ledgerweave.llm import pseudo_likelihood, secret_scans, suffix_dedup, suffix_trees
 
 
 def test_every_position_is_a_target(spark, monkeypatch):
@@ -14,3 +16,21 @@ def test_every_position_is_a_target(spark, monkeypatch):
     monkeypatch.setattr(pseudo_likelihood, "train_round", lambda table, which, w, number, stride, rate: taken.append((number % stride, stride)) or w)
     pseudo_likelihood.fit(pseudo_likelihood.token_table(plain.table(spark, [(1, "one two", "en")], 1)))
     assert {p for remainder, stride in taken for p in range(remainder, 64, stride)} == set(range(64))
+
+
+def test_names_added_to_themselves():
+    doubled = 'a = "k3Jd92mZq81xPw"\n' + "a = a + a\n" * 60 + "api_secret = a\n"
+    assert secret_scans.pair_spans(doubled) == [(5, 19)]
+    grown = 's = "k3Jd92mZq81xPw"\n' + 't = s + "x"\ns = t + "y"\n' * 20000 + "api_secret = s\n"
+    assert secret_scans.pair_spans(grown) == [(5, 19)]
+
+
+@pytest.mark.parametrize(("operator", "args"), [(suffix_dedup, (100, 20)), (suffix_trees, (12, 3))])
+def test_ranges_of_copies_are_listed_once(spark, operator, args):
+    text = " ".join(f"word{k * k % 977}" for k in range(300))
+    sizes = []
+    for copies in (2, 30):
+        rows = [(1, text, "en")] + [(None, text, "en")] * copies
+        _, spans = operator.repeated_spans(plain.table(spark, rows), *args)
+        sizes.append(sorted(len(r.spans) for r in spans.collect()))
+    assert sizes[0] == sizes[1] and sizes[0]
