@@ -107,17 +107,29 @@ def pairs(text: str):
 
 def pair_spans(text: str) -> list[tuple[int, int]]:
     """Literals whose own score and that of the most sensitive name they reach make up the threshold."""
-    values: dict[str, list[tuple[int, int, str]]] = {}
+    # what a name stands for: its own literals, what other names stood for then, and the weight it was reached with
+    values: dict[str, tuple[list, list, list[float]]] = {}
     score: dict[tuple[int, int, str], float] = {}
     for name, literals, references in pairs(text):
-        reach = list(literals)
+        own, below = list(literals), []
         for start, end, bare in references:
             # a known constant stands for its literals; another bare word is a literal of a configuration file
-            reach += values.get(bare) or ([(start, end, bare)] if any(c.isdigit() for c in bare) else [])
-        values[name] = reach
-        weight = name_score(name)
-        for literal in reach if weight else ():
-            score[literal] = max(score.get(literal, 0.0), weight)
+            if bare in values:
+                below.append(values[bare])
+            elif any(c.isdigit() for c in bare):
+                own.append((start, end, bare))
+        if not own and not below:
+            values.pop(name, None)
+            continue
+        values[name] = (own, below, [0.0])
+        weight, waiting = name_score(name), [values[name]]
+        while waiting:
+            own, below, reached = waiting.pop()
+            if reached[0] < weight:  # else all below has that weight already
+                reached[0] = weight
+                for literal in own:
+                    score[literal] = max(score.get(literal, 0.0), weight)
+                waiting += below
     return sorted((start, end) for (start, end, value), weight in score.items() if weight + literal_score(value) >= THRESHOLD)
 
 
