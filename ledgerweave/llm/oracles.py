@@ -37,4 +37,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hits ON d.r = hits.r LEFT JOIN items ON d.r = items.r
 """
 
-ORACLES: dict[str, str] = {"op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10}
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (SELECT *, {_LOWER.replace("coalesce(text, '')", "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+low AS (SELECT key, min(id) AS low FROM k WHERE length(key) >= 10 GROUP BY key),
+kept AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS t FROM k LEFT JOIN low ON k.key = low.key WHERE low.low IS NULL OR low.low >= id GROUP BY r)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+"""
+
+ORACLES: dict[str, str] = {"op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10, "op11_line_dedup": OP11}

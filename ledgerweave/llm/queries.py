@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerweave.llm import fm_decontam, packing, pseudo_likelihood, quality_rules, rule_ensemble, secret_scans, simhash, suffix_dedup, suffix_trees, token_files
+from ledgerweave.llm import fm_decontam, line_dedup, packing, pseudo_likelihood, quality_rules, rule_ensemble, secret_scans, simhash, suffix_dedup, suffix_trees, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +54,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return fm_decontam.digest(fm_decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.remove(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_secret_scans, op2_token_counts, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_quality_rules, op6_best_fit_packing,
-        op7_quality_classifier, op8_lm_scoring, op9_substring_dedup, op10_benchmark_decontamination,
+        op7_quality_classifier, op8_lm_scoring, op9_substring_dedup, op10_benchmark_decontamination, op11_line_dedup,
     )
 }
