@@ -47,4 +47,21 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept ON d.r = kept.r
 """
 
-ORACLES: dict[str, str] = {"op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10, "op11_line_dedup": OP11}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERMS}') AS w FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, list_distinct(regexp_extract_all({_LOWER}, '{_TERMS}')) AS w FROM benchmark),
+s AS (SELECT (count(*) FILTER (WHERE len(w) > 0))::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d),
+qt AS (SELECT i, item_id, unnest(w) AS t FROM q),
+dt AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) AS x WHERE t IN (SELECT t FROM qt) GROUP BY r, t),
+wt AS (SELECT t, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*)::BIGINT AS df FROM dt GROUP BY t) AS x, s),
+m AS (SELECT r, doc_id, 50 + (50 * len(w)::BIGINT * s.n) // s.l AS m FROM d, s WHERE len(w) > 0),
+sc AS (SELECT qt.i, qt.item_id, dt.r, sum(wt.w * ((1000000000 * dt.tf) // (1000 * dt.tf + 20 * m.m)))::BIGINT AS score
+  FROM qt JOIN dt ON qt.t = dt.t JOIN wt ON wt.t = qt.t JOIN m ON m.r = dt.r GROUP BY qt.i, qt.item_id, dt.r),
+k AS (SELECT sc.item_id, m.doc_id, sc.score, row_number() OVER (PARTITION BY sc.i ORDER BY sc.score DESC, m.doc_id NULLS LAST) AS k
+  FROM sc JOIN m ON m.r = sc.r WHERE sc.score > 0)
+SELECT item_id, k::INTEGER AS rank, doc_id, score FROM k WHERE k <= 50
+"""
+
+ORACLES: dict[str, str] = {"op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10, "op11_line_dedup": OP11, "op12_ranked_lexical_search": OP12}
