@@ -64,4 +64,22 @@ k AS (SELECT sc.item_id, m.doc_id, sc.score, row_number() OVER (PARTITION BY sc.
 SELECT item_id, k::INTEGER AS rank, doc_id, score FROM k WHERE k <= 50
 """
 
-ORACLES: dict[str, str] = {"op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10, "op11_line_dedup": OP11, "op12_ranked_lexical_search": OP12}
+OP13 = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT r, id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM e),
+a AS (SELECT * FROM c WHERE id % 100 = 0),
+s AS (SELECT a.r AS a, a.id AS anchor_id, a.label AS a_label, c.r, c.id, c.label, sum(a.x * c.x)::BIGINT AS score
+  FROM a JOIN c ON a.i = c.i GROUP BY a.r, a.id, a.label, c.r, c.id, c.label),
+p AS (SELECT a, anchor_id, r AS p, id AS positive_id, score AS positive_score FROM
+  (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, r) AS k FROM s WHERE a_label = label AND a <> r) AS x WHERE k <= 5),
+g AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.id NULLS LAST, s.r) AS k
+  FROM p JOIN s ON p.a = s.a WHERE s.a_label <> s.label AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, k::INTEGER AS rank, negative_id, positive_score, negative_score FROM g WHERE k <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_substring_dedup": OP9, "op10_benchmark_decontamination": OP10, "op11_line_dedup": OP11, "op12_ranked_lexical_search": OP12,
+    "op13_hard_negative_mining": OP13,
+}

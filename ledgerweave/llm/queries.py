@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import bloom_search, fm_decontam, line_dedup, packing, pseudo_likelihood, quality_rules, rule_ensemble, secret_scans, simhash, suffix_dedup, suffix_trees, token_files
+from ledgerweave.llm import bloom_search, fm_decontam, line_dedup, packing, pseudo_likelihood, quality_rules, rule_ensemble, secret_scans, simhash, suffix_dedup, suffix_trees, threshold_mining, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +63,15 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold_mining.mine(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         op1_secret_scans, op2_token_counts, op3_simhash_near_dedup, op4_suffix_array_dedup, op5_quality_rules, op6_best_fit_packing,
         op7_quality_classifier, op8_lm_scoring, op9_substring_dedup, op10_benchmark_decontamination, op11_line_dedup,
-        op12_ranked_lexical_search,
+        op12_ranked_lexical_search, op13_hard_negative_mining,
     )
 }
