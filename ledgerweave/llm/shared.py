@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ledgerweave.operators.joins import hot_safe_join
 from ledgerweave.sources.shared_folder import ensure_checkpoint_dir, stored
 
-__all__ = ["hot_safe_join", "stored", "written"]
+__all__ = ["ensure_checkpoint_dir", "hot_safe_join", "stored", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -11,11 +11,13 @@ import plain
 from ledgerweave.llm import pseudo_likelihood, secret_scans, suffix_dedup, suffix_trees
 
 
-def test_every_position_is_a_target(spark, monkeypatch):
+def test_every_position_is_a_target_once(spark, monkeypatch):
+    table = pseudo_likelihood.token_table(plain.table(spark), slices=4)
     taken = []
-    monkeypatch.setattr(pseudo_likelihood, "train_round", lambda table, which, w, number, stride, rate: taken.append((number % stride, stride)) or w)
-    pseudo_likelihood.fit(pseudo_likelihood.token_table(plain.table(spark, [(1, "one two", "en")], 1)))
-    assert {p for remainder, stride in taken for p in range(remainder, 64, stride)} == set(range(64))
+    whole = pseudo_likelihood.gradient
+    monkeypatch.setattr(pseudo_likelihood, "gradient", lambda *args: (lambda made: (taken.append(made[1]), made)[1])(whole(*args)))
+    pseudo_likelihood.fit(table, slices=4)
+    assert len(taken) == 4 and all(taken) and sum(taken) == sum(map(len, plain.token_ids(plain.documents())))
 
 
 def test_names_added_to_themselves():
