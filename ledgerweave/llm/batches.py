@@ -42,6 +42,14 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A column name like `name` that none of the taken ones equals, in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def row_key() -> list[Column]:
     """Names a row by its id and its text, both without null: rows that agree in both get equal results."""
     return [

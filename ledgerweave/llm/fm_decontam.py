@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.batches import id_and_text, over_batches, row_key, texts_of
+from ledgerweave.llm.batches import free_name, id_and_text, over_batches, row_key, texts_of
 from ledgerweave.llm.shared import stored
 from ledgerweave.llm.tokens import spread
 from ledgerweave.llm.words import ALPHANUMERIC, Words, words_of
@@ -300,8 +300,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     if blocks.count > 1:
         id_col = "doc_id"
         bad = find(docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(id_col), text_col), benchmark, window, id_col, text_col, block_bytes)
-        bad = digest(bad).where("contaminated").select(F.col(id_col).alias("_hash")).distinct()
-        return docs.join(bad, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_hash"), "left_anti")
+        name = free_name(names, "_hash")
+        bad = digest(bad).where("contaminated").select(F.col(id_col).alias(name)).distinct()
+        return docs.join(bad, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad[name], "left_anti")
     sent = _send(docs, blocks[0])
 
     def run(batches):

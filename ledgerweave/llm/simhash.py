@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.batches import id_and_text, over_batches, row_key, texts_of
+from ledgerweave.llm.batches import free_name, id_and_text, over_batches, row_key, texts_of
 from ledgerweave.llm.components import components
 from ledgerweave.llm.shared import hot_safe_join, written
 
@@ -203,10 +203,11 @@ def first_of_each(docs: DataFrame, rooted: DataFrame, id_col: str = "doc_id", te
     """The rows of `docs`, unchanged, that have the smallest doc_id (then the smallest hash of the text) of their root."""
     # rows without an id come last
     first = F.struct(F.col("doc_id").isNull().alias("absent"), "row_id", "row_hash")
-    kept = rooted.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.row_id").alias("_row_id"), F.col("k.row_hash").alias("_row_hash"))
+    keys = [free_name(docs.columns, "_row_id"), free_name(docs.columns, "_row_hash")]
+    kept = rooted.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.row_id").alias(keys[0]), F.col("k.row_hash").alias(keys[1]))
     row_id, row_hash = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keyed = docs.withColumn("_row_id", row_id).withColumn("_row_hash", row_hash)
-    return keyed.join(written(kept), ["_row_id", "_row_hash"], "left_semi").dropDuplicates(["_row_id", "_row_hash"]).select(*docs.columns)
+    keyed = docs.withColumn(keys[0], row_id).withColumn(keys[1], row_hash)
+    return keyed.join(written(kept), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -309,38 +309,81 @@ def test_labels_of_one_class(spark, docs):
 
 # 8: pseudo-likelihood
 
-def test_scores_are_sums_of_log_probabilities(docs):
-    table = pseudo_likelihood.token_table(docs)
-    which, share, w = pseudo_likelihood.fit(table, rounds=1)
+def plain_log_probability(w, near, target):
+    """The formula of the network for one place, in doubles."""
+    h = np.tanh(w["bias"] + sum(w["mix"][k] * w["embed"][c] for k, c in enumerate(near)).astype(float))
+    logs = 0.0
+    for weights, goal in ((w["group"], target // pseudo_likelihood.MEMBERS), (w["member"][target // pseudo_likelihood.MEMBERS], target % pseudo_likelihood.MEMBERS)):
+        x = weights[:, :-1].astype(float) @ h + weights[:, -1]
+        logs += x[goal] - np.log(np.exp(x - x.max()).sum()) - x.max()
+    return logs
+
+
+def near_of(of, k):
+    return [of[k + o] if 0 <= k + o < len(of) else pseudo_likelihood.EDGE for o in pseudo_likelihood.OFFSETS]
+
+
+def test_scores_are_sums_of_log_probabilities(docs, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "CHUNK", 200)
+    monkeypatch.setattr(pseudo_likelihood, "WINDOW", 100)
+    table = pseudo_likelihood.token_table(docs, slices=3)
+    which, share, w = pseudo_likelihood.fit(table, slices=3)
     ids = plain.token_ids(ROWS)
     counts = np.bincount(np.concatenate([np.array(i, dtype=int) for i in ids]), minlength=pseudo_likelihood.TOKENS)
     assert (pseudo_likelihood.token_counts(table) == counts).all()
-    made = sorted((str(r.doc_id), r.n_tokens, round(r.log_likelihood, 2)) for r in pseudo_likelihood.score_table(table, which, share, w).collect())
-    want = []
+    made = sorted((str(r.doc_id), r.n_tokens, r.log_likelihood, r.mean_log_likelihood) for r in pseudo_likelihood.score_table(table, which, share, w).collect())
+    assert sorted((d, n) for d, n, _, _ in made) == sorted((str(d), len(own)) for (d, _, _), own in zip(ROWS, ids))
+    want = {}
     for (doc, _, _), own in zip(ROWS, ids):
-        total = 0.0
-        for k, token in enumerate(own):
-            near = np.array([[which[own[k + o]] if 0 <= k + o < len(own) else pseudo_likelihood.EDGE for o in pseudo_likelihood.OFFSETS]])
-            total += float(pseudo_likelihood.log_probabilities(w, near, np.array([which[token]]))[0]) + share[token]
-            if k > 60:
-                break
-        want.append((str(doc), len(own), total))
-    short = {(d, n): t for d, n, t in want if n <= 60}
-    checked = 0
-    for d, n, t in made:
-        if (d, n) in short and n:
-            assert t == pytest.approx(short[(d, n)], abs=0.05)
-            checked += 1
-    assert checked > 5
+        if len(own) <= 300:
+            of = which[np.array(own, dtype=int)]
+            want.setdefault((str(doc), len(own)), []).append(sum(plain_log_probability(w, near_of(of, k), of[k]) + share[token] for k, token in enumerate(own)))
+    assert sum(map(len, want.values())) > 10
+    for doc, n, total, mean in made:
+        if (doc, n) in want:
+            assert min(abs(total - t) for t in want[doc, n]) < 1e-3 * max(n, 1)
+            assert mean is None if n == 0 else mean == pytest.approx(total / n)
 
 
 def test_probabilities_sum_to_one():
     w = pseudo_likelihood.initial()
-    context = np.full((1, len(pseudo_likelihood.OFFSETS)), 3)
-    total = sum(np.exp(pseudo_likelihood.log_probabilities(w, context, np.array([c]))[0]) for c in range(pseudo_likelihood.EDGE))
+    total = 0.0
+    for low in range(0, pseudo_likelihood.EDGE, 64):
+        texts = np.stack([np.array([3, 3, 3, c, 3, 3, 3]) for c in range(low, low + 64)])
+        total += np.exp(pseudo_likelihood.log_probabilities(w, texts.ravel(), np.full(64, 7)).reshape(64, 7)[:, 3]).sum()
     assert total == pytest.approx(1, abs=1e-4)
     which, share = pseudo_likelihood.classes(np.arange(pseudo_likelihood.TOKENS))
     assert np.bincount(which, np.exp(share)).sum() == pytest.approx(pseudo_likelihood.EDGE)
+    counts = np.arange(pseudo_likelihood.EDGE) % 50
+    start = pseudo_likelihood.log_probabilities(pseudo_likelihood.initial(counts), np.arange(pseudo_likelihood.EDGE), np.array([pseudo_likelihood.EDGE]))
+    assert np.allclose(np.exp(start), (counts + 1) / (counts + 1).sum(), rtol=1e-4)
+
+
+def test_unsteady_weights_are_exact_too():
+    w = pseudo_likelihood.initial()
+    w["group"] *= 400
+    assert not pseudo_likelihood._steady(w)
+    of = np.random.default_rng(5).integers(0, pseudo_likelihood.EDGE, 40)
+    found = pseudo_likelihood.log_probabilities(w, of, np.array([15, 0, 25]))
+    want = [plain_log_probability(w, near_of(part, k), part[k]) for part in (of[:15], of[15:]) for k in range(len(part))]
+    assert np.allclose(found, want, rtol=1e-3, atol=1e-2)
+
+
+def test_gradient_against_differences():
+    random = np.random.default_rng(6)
+    w = pseudo_likelihood.initial()
+    of, lengths = random.integers(0, 40, 60), np.array([20, 1, 39])
+    places, _ = pseudo_likelihood._places(of, lengths)
+    made = pseudo_likelihood._Window(w, places, True).gradient()
+    loss = lambda: -pseudo_likelihood.log_probabilities(w, of, lengths).sum()
+    for name, at in (("embed", (of[3], 2)), ("embed", (pseudo_likelihood.EDGE, 5)), ("mix", (1, 4)), ("bias", (7,)), ("group", (0, 3)), ("member", (1, of[25] % 32, 16)), ("member", (0, 5, 6))):
+        old = w[name][at]
+        w[name][at] = old + 0.02
+        up = loss()
+        w[name][at] = old - 0.02
+        down = loss()
+        w[name][at] = old
+        assert (up - down) / 0.04 == pytest.approx(made[name][at], rel=0.05, abs=0.02)
 
 
 def test_training_learns(spark):
@@ -348,8 +391,19 @@ def test_training_learns(spark):
     df = plain.table(spark, [(i, text * (3 + i % 5), "en") for i in range(400)], 2)
     table = pseudo_likelihood.token_table(df)
     which, share, w = pseudo_likelihood.fit(table)
+    start = pseudo_likelihood.initial(np.bincount(which, pseudo_likelihood.token_counts(table), minlength=pseudo_likelihood.EDGE))
     mean = lambda weights: pseudo_likelihood.score_table(table, which, share, weights).agg({"mean_log_likelihood": "avg"}).first()[0]
-    assert mean(w) > mean(pseudo_likelihood.initial()) + 1
+    assert mean(w) > mean(start) + 1
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    made = []
+    for parts in (1, 7):
+        rows = [r for r in ROWS if r[0] is not None]
+        scored = pseudo_likelihood.score(plain.table(spark, rows if parts == 1 else rows[::-1], parts))
+        made.append(sorted((r.doc_id, r.n_tokens, r.log_likelihood) for r in scored.collect()))
+    assert [m[:2] for m in made[0]] == [m[:2] for m in made[1]]
+    assert all(a[2] == pytest.approx(b[2], rel=1e-6) for a, b in zip(*made))
 
 
 # 10: decontamination
@@ -423,6 +477,16 @@ def test_empty_tables(spark, empty):
         assert made.count() == 0
 
 
+def test_names_that_clash_with_keys(spark):
+    text = " ".join(f"word{k * k % 977}" for k in range(40))
+    clash = [(1, text, 77, 88, 5, 6), (2, text, 78, 89, 6, 7), (3, "another text of its own that nobody else has written down", 79, 90, 7, 8)]
+    df = spark.createDataFrame(clash, "doc_id long, text string, _row_id long, _ROW_HASH long, _hash long, _twin long")
+    assert sorted(tuple(r) for r in simhash.keep_one(df).collect()) == [clash[0], clash[2]]
+    bench = spark.createDataFrame([(1, text, "w"), (2, "some other phrase of the benchmark", "w")], BENCH)
+    for block in (1 << 24, 40):
+        assert [tuple(r) for r in fm_decontam.drop_contaminated(df, bench, block_bytes=block).collect()] == clash[2:]
+
+
 def test_empty_benchmark(spark, docs):
     bench = spark.createDataFrame([], BENCH)
     assert fm_decontam.digest(fm_decontam.find(docs, bench)).where("contaminated or n_hit > 0").count() == 0

@@ -7,6 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import plain
+from test_near_copies import kept_ids
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -18,7 +19,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "secret_scans", "best_fit_packing"]
 
 
@@ -29,11 +30,8 @@ def test_pipeline_against_plain_versions(spark):
     rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
     verdict = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
     rows = [r for r in rows if verdict[r[0]]]
-    _, roots = plain.simhash_rows(rows)
-    least = {}
-    for k, (d, _, _) in zip(roots, rows):
-        least[k] = min(d, least.get(k, d))
-    rows = [r for k, r in zip(roots, rows) if r[0] == least[k]]
+    stays = set(kept_ids(rows))
+    rows = [r for r in rows if (r[0] is None, r[0] or 0) in stays]
     rows = [r for r, c in zip(rows, plain.contamination(rows, items, 13)) if not c[-1]]
     hidden = []
     for d, t, lang in rows:
@@ -56,12 +54,12 @@ def test_stages_keep_the_columns(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["op9_substring_dedup", "op10_benchmark_decontamination"])
+@pytest.mark.parametrize("name", ["op9_substring_dedup", "op10_benchmark_decontamination", "op11_line_dedup", "op12_ranked_lexical_search", "op13_hard_negative_mining"])
 def test_against_sql(spark, name):
     import duckdb
 
     connection = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     cursor = connection.execute(oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
