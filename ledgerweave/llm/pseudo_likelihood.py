@@ -41,7 +41,7 @@ OFFSETS = [o for o in range(-SIDE, SIDE + 1) if o]
 #: Steps of training, one for each slice of the corpus; the first step's length, and that of the last as a share of it.
 SLICES, RATE, LAST = 16, 0.3, 0.2
 #: Bytes of text in a shard; tokens of a chunk, and of what is computed at once; tasks that add up what all others send.
-SHARD, CHUNK, WINDOW, FAN = 4 << 20, 1 << 17, 1 << 13, 8
+SHARD, CHUNK, WINDOW, FAN = 4 << 20, 1 << 17, 1 << 15, 8
 
 
 def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, slices: int = SLICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
