@@ -13,5 +13,8 @@ def hot_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     aggregated by the keys has none; the second key (a hash of the others) adds it. Small sides still become
     a broadcast at run time, after their size is known.
     """
-    twin = F.xxhash64(*keys)
-    return left.withColumn("_twin", twin).join(right.withColumn("_twin", twin), [*keys, "_twin"], how).drop("_twin")
+    taken, twin = {c.lower() for c in (*left.columns, *right.columns)}, "_twin"
+    while twin in taken:
+        twin += "_"
+    both = (side.withColumn(twin, F.xxhash64(*keys)) for side in (left, right))
+    return next(both).join(next(both), [*keys, twin], how).drop(twin)

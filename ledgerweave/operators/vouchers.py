@@ -23,6 +23,7 @@ from ledgerweave.functions import dates, gst
 from ledgerweave.functions.numbers import CENTS, MONEY, is_bad_decimal, side_of, to_decimal
 from ledgerweave.functions.text import clean_columns, norm, norm_or_empty
 from ledgerweave.functions.xml_text import NOT_XML
+from ledgerweave.operators.joins import hot_safe_join
 from ledgerweave.sources.shared_folder import stored
 
 ENTITY = "voucher"
@@ -342,20 +343,6 @@ def _leg(section: int, seq: int, ledger: str, debit: str, amount: str, item: boo
     return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, values)) + ")"
 
 
-def _hot_safe_join(rows: DataFrame, headers: DataFrame) -> DataFrame:
-    """Join rows to their header so that a hot voucher can be split.
-
-    Adaptive execution splits a skewed side only when a shuffle sits directly
-    under the join's sort. The header side is the output of an aggregate that is
-    already partitioned by the key, so a join on the key alone would have no
-    shuffle there. The second key (a hash of the first) adds it. Small header
-    sides still become a broadcast join at run time, after their size is known.
-    """
-    left = rows.withColumn("_twin", F.xxhash64("voucher_key"))
-    right = headers.withColumn("_twin", F.xxhash64("voucher_key"))
-    return left.join(right, ["voucher_key", "_twin"]).drop("_twin")
-
-
 def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """All lines of the accepted vouchers, one output row per leg."""
     kept = rows.select(
@@ -368,7 +355,7 @@ def lines_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
         "voucher_key", "first_row", "flip", "gap", "party_leg", "round_leg", "date", "voucher_type", "party_ledger",
         is_b2c("voucher_type", "party_gstin").alias("b2c"), F.col("has_inventory").alias("invoice"),
     )
-    joined = _hot_safe_join(kept, facts)
+    joined = hot_safe_join(kept, facts, ["voucher_key"])
     side, closing_side = "(is_debit <> flip)", "((gap > 0) <> flip)"
     lead = "source_row = first_row"
     party = _leg(PARTY_SECTION, 0, "party_ledger", closing_side, "abs(gap)")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.errors import StageResult
 from ledgerweave.operators import masters, resolve, rollups, vouchers
-from ledgerweave.operators.groups import order_groups, unordered_groups
+from ledgerweave.operators.groups import group_depths, unordered_groups
 from ledgerweave.operators.validate import validate
 from ledgerweave.sources.envelopes import envelope_rows
 from ledgerweave.sources.shared_folder import stored
@@ -44,7 +44,7 @@ def import_masters(
     converted = masters.convert_masters(usable, entity, extra_fields=extra_fields)
     if entity == "group":
         # only groups that can be ordered are written; the others say why
-        placed = converted.data.join(order_groups(converted.data).select("source_row"), "source_row", "left_semi")
+        placed = converted.data.join(group_depths(converted.data).select("source_row"), "source_row", "left_semi")
         converted = StageResult(placed, converted.errors.unionByName(unordered_groups(converted.data)))
     errors = converted.errors if problems is None else problems.unionByName(converted.errors)
     # rows that validation stopped count as skipped; `held` are conflicts

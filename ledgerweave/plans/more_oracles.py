@@ -99,4 +99,68 @@ v(col, x) AS (SELECT 'c_name', lower(c_name) FROM c UNION ALL SELECT 'flag', 'ye
 SELECT col AS "column", round(count(*) FILTER (regexp_matches(x, '^[0-9]+$'))::DOUBLE / count(*), 6) AS numeric_share,
   round(count(*) FILTER (x IN ('yes', 'no', 'true', 'false', 'y', 'n', '0', '1'))::DOUBLE / count(*), 6) AS boolish_share,
   round(count(DISTINCT x)::DOUBLE / count(*), 6) AS distinct_share, round(1 - count(*) / any_value(n), 6) AS null_share FROM v, n GROUP BY col""",
+    # the longest code of the table that begins the item's own
+    "hsn_enrichment": """
+WITH p AS (SELECT p_partkey AS k, lpad(CAST(p_partkey * 7919 % 100000000 AS VARCHAR), 8, '0') AS whole FROM part),
+i AS (SELECT k, CASE k % 5 WHEN 0 THEN whole WHEN 1 THEN substr(whole, 1, 6) WHEN 2 THEN substr(whole, 1, 4) WHEN 3 THEN substr(whole, 1, 2) END AS code FROM p),
+e AS (SELECT substr(whole, 1, CAST(2 + 2 * (k % 4) AS INTEGER)) AS code, min(k % 5 * 6) AS rate FROM p WHERE k % 3 = 0 GROUP BY 1),
+r AS (SELECT i.k, e.code, e.rate, row_number() OVER (PARTITION BY i.k ORDER BY length(e.code) DESC NULLS LAST) AS n FROM i LEFT JOIN e ON starts_with(i.code, e.code))
+SELECT k + 1 AS source_row, code AS hsn_matched, CAST(rate AS DECIMAL(20,6)) AS hsn_gst_rate, 'HSN ' || code AS hsn_description FROM r WHERE n = 1""",
+    "trial_balance": """
+WITH c AS (SELECT c_custkey AS k, CAST(c_acctbal AS DECIMAL(20,2)) AS ours,
+    CASE WHEN c_custkey % 11 <> 4 THEN CAST(c_acctbal AS DECIMAL(20,2)) + CASE c_custkey % 7 WHEN 3 THEN 1.5 WHEN 5 THEN 0.01 ELSE 0 END END AS theirs FROM customer)
+SELECT CASE WHEN theirs IS NULL THEN 'only_ours' WHEN abs(ours - theirs) <= 0.01 THEN 'equal' ELSE 'different' END AS status,
+  CASE WHEN theirs IS NULL THEN NULL WHEN k % 9 <> 8 AND k % 5 <> 0 THEN 'code' ELSE 'name' END AS matched_by,
+  coalesce(CASE WHEN k % 9 <> 8 THEN CAST(k AS VARCHAR) END, CASE WHEN theirs IS NOT NULL AND k % 5 <> 0 THEN CAST(k AS VARCHAR) END) AS code,
+  CAST(ours AS DECIMAL(38,6)) AS our_amount, CAST(theirs AS DECIMAL(38,6)) AS their_amount, CAST(ours - coalesce(theirs, 0) AS DECIMAL(38,6)) AS difference,
+  CAST(2 AS BIGINT) AS our_postings, CAST(CASE WHEN theirs IS NULL THEN 0 ELSE 1 END AS BIGINT) AS their_postings FROM c
+UNION ALL SELECT 'only_theirs', NULL, 'S' || CAST(s_suppkey AS VARCHAR), NULL, CAST(CAST(s_acctbal AS DECIMAL(20,2)) AS DECIMAL(38,6)),
+  CAST(-CAST(s_acctbal AS DECIMAL(20,2)) AS DECIMAL(38,6)), 0, 1 FROM supplier""",
+    # the headers are labels or synonyms of their fields, so the scores that count are 1; tests hold all others against a plain version
+    "suggest_mapping": """
+SELECT * FROM (VALUES
+  ('address', false, NULL, 0.0::DOUBLE, 'unmapped', 'fuzzy', 'Under|Ledger Name|Random Notes'),
+  ('country', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Under|Random Notes|Opening Bal'),
+  ('credit_limit', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Opening Bal|Random Notes|Ledger Name'),
+  ('email', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Billwise|Ledger Name|Opening Bal'),
+  ('gst_registration_type', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Random Notes|Ledger Name|Opening Bal'),
+  ('gstin', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Ledger Name|Random Notes|Under'),
+  ('is_billwise', false, 'Billwise', 1.0, 'auto_accept', 'fuzzy', 'Opening Bal|Ledger Name|Random Notes'),
+  ('mailing_name', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Ledger Name|Opening Bal|Billwise'),
+  ('name', true, 'Ledger Name', 1.0, 'needs_confirm', 'fuzzy', 'Opening Bal|Under|Random Notes'),
+  ('opening_balance', false, 'Opening Bal', 1.0, 'auto_accept', 'fuzzy', 'Random Notes|Billwise|Ledger Name'),
+  ('opening_balance_drcr', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Opening Bal|Under|Ledger Name'),
+  ('pan', false, NULL, round(10 / 18.0, 4), 'unmapped', 'fuzzy', 'Opening Bal|Ledger Name|Under'),
+  ('parent', true, 'Under', 1.0, 'needs_confirm', 'fuzzy', 'Ledger Name|Random Notes|Opening Bal'),
+  ('phone', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Billwise|Under|Opening Bal'),
+  ('pincode', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Under|Opening Bal|Random Notes'),
+  ('state', false, NULL, 0.0, 'unmapped', 'fuzzy', 'Billwise|Ledger Name|Opening Bal')
+) AS x (target_field, required, source_column, confidence, status, method, alternatives)""",
+    # the template names mailing_name, state, and a column that is gone; 'Ledger Name' then feeds two fields
+    "overlay_template": """
+SELECT * FROM (VALUES
+  ('address', NULL, 0.0::DOUBLE, 'unmapped', 'fuzzy', false), ('country', NULL, 0.0, 'unmapped', 'fuzzy', false),
+  ('credit_limit', NULL, 0.0, 'unmapped', 'fuzzy', false), ('email', NULL, 0.0, 'unmapped', 'fuzzy', false),
+  ('gst_registration_type', NULL, 0.0, 'unmapped', 'fuzzy', false), ('gstin', NULL, 0.0, 'unmapped', 'fuzzy', false),
+  ('is_billwise', 'Billwise', 1.0, 'auto_accept', 'fuzzy', false), ('mailing_name', 'Ledger Name', 0.99, 'auto_accept', 'template', true),
+  ('name', 'Ledger Name', 1.0, 'needs_confirm', 'fuzzy', true), ('opening_balance', 'Opening Bal', 1.0, 'auto_accept', 'fuzzy', false),
+  ('opening_balance_drcr', NULL, 0.0, 'unmapped', 'fuzzy', false), ('pan', NULL, round(10 / 18.0, 4), 'unmapped', 'fuzzy', false),
+  ('parent', 'Under', 1.0, 'needs_confirm', 'fuzzy', false), ('phone', NULL, 0.0, 'unmapped', 'fuzzy', false),
+  ('pincode', NULL, 0.0, 'unmapped', 'fuzzy', false), ('state', 'Random Notes', 0.99, 'auto_accept', 'template', false)
+) AS x (target_field, source_column, confidence, status, method, shared)""",
+    # 'opening' is 7 letters of 'opening bal' (11) and all of a synonym of the side field; its values are no numbers, so the balance field loses
+    "mapping_plan": """
+SELECT * FROM (VALUES
+  ('nameless', 'Billwise', 'is_billwise', 1.0::DOUBLE, 'fuzzy'), ('nameless', 'Under', 'parent', 1.0, 'fuzzy'),
+  ('plain', 'GSTIN', 'gstin', 1.0, 'fuzzy'), ('plain', 'Ledger Name', 'name', 1.0, 'fuzzy'), ('plain', 'Opening Bal', 'opening_balance', 1.0, 'fuzzy'),
+  ('plain', 'Under', 'parent', 1.0, 'fuzzy'), ('twofold', 'Group Name', 'parent', 1.0, 'fuzzy'),
+  ('twofold', 'Opening Bal', 'opening_balance_drcr', round(14 / 18.0, 4), 'fuzzy'), ('twofold', 'Party', 'name', 1.0, 'fuzzy'),
+  ('twofold', 'Pin Code', 'pincode', 1.0, 'fuzzy')
+) AS x (upload, source_column, target_field, confidence, method)""",
+    # required fields are never accepted without a look
+    "mapping_stats": """
+SELECT * FROM (VALUES ('nameless', 1::BIGINT, 1::BIGINT, 1::BIGINT), ('plain', 2, 2, 0), ('twofold', 1, 3, 0)
+) AS x (upload, auto_accepted, needs_confirm, unmapped_required)""",
+    "mapping_leftovers": """
+SELECT * FROM (VALUES ('nameless', 'column', 'Foobar'), ('nameless', 'required', 'name'), ('plain', 'column', 'Random Notes')) AS x (upload, kind, name)""",
 }

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.operators import emit, masters, vouchers
+from ledgerweave.operators import emit, hsn, mapping, masters, reconcile, vouchers
 from ledgerweave.operators.emit import POSITION
 from ledgerweave.operators.profile import profile
 from ledgerweave.operators.validate import validate
@@ -154,7 +154,70 @@ def profile_shares(spark: S, d: str) -> DataFrame:
     return made.select("column", *[F.round(c, 6).alias(c) for c in ("numeric_share", "boolish_share", "distinct_share", "null_share")])
 
 
+
+def _mapping_uploads(spark: S, d: str) -> DataFrame:
+    """Profiles of three uploads of the same customers: plain headers, headers that fit two fields, and one without a name."""
+    customers = shapes.numbered(spark, d, "customer")
+    key, name, segment = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    uploads = {
+        "plain": customers.select("source_row", name.alias("Ledger Name"), segment.alias("Under"), shapes.money("c_acctbal").cast("string").alias("Opening Bal"),
+                                  F.lit("29ABCDE1234F1Z5").alias("GSTIN"), segment.alias("Random Notes")),
+        "twofold": customers.select("source_row", name.alias("Party"), segment.alias("Group Name"), F.lit("560001").alias("Pin Code"), segment.alias("Opening Bal")),
+        "nameless": customers.select("source_row", segment.alias("Foobar"), segment.alias("Under"), F.when(key % 2 == 0, F.lit("Yes")).alias("Billwise")),
+    }
+    made = None
+    for upload, rows in uploads.items():
+        part = profile(rows).withColumn("upload", F.lit(upload))
+        made = part if made is None else made.unionByName(part)
+    return made
+
+
+def mapping_plan(spark: S, d: str) -> DataFrame:
+    return mapping.mapping_plan(mapping.suggest_mapping(_mapping_uploads(spark, d), "ledger"))
+
+
+def mapping_stats(spark: S, d: str) -> DataFrame:
+    return mapping.proposal_stats(mapping.suggest_mapping(_mapping_uploads(spark, d), "ledger"))
+
+
+def mapping_leftovers(spark: S, d: str) -> DataFrame:
+    """Columns that no field takes, and required fields without a column."""
+    profiles = _mapping_uploads(spark, d)
+    found = mapping.suggest_mapping(profiles, "ledger")
+    columns = mapping.unmapped_sources(profiles, found).select("upload", F.lit("column").alias("kind"), F.col("column").alias("name"))
+    return columns.unionByName(mapping.unmapped_required(found).select("upload", F.lit("required").alias("kind"), F.col("target_field").alias("name")))
+
+
+def hsn_enrichment(spark: S, d: str) -> DataFrame:
+    """Parts with codes of all lengths against a code table made from every third part."""
+    key, parts = F.col("p_partkey"), shapes.table(spark, d, "part")
+    full = F.lpad((key * 7919 % 100000000).cast("string"), 8, "0")
+    code = (
+        F.when(key % 5 == 0, full).when(key % 5 == 1, F.substring(full, 1, 6)).when(key % 5 == 2, F.concat(F.substring(full, 1, 2), F.lit("."), F.substring(full, 3, 2)))
+        .when(key % 5 == 3, F.substring(full, 1, 2)).otherwise(F.lit("12AB"))
+    )
+    items = parts.select((key + 1).alias("source_row"), F.col("p_name").alias("name"), code.alias("hsn"))
+    own = F.substr(full, F.lit(1), 2 + 2 * (key % 4).cast("int"))
+    codes = parts.filter(key % 3 == 0).select(own.alias("hsn"), (key % 5 * 6).alias("gst_rate"), F.concat(F.lit("HSN "), own).alias("description"))
+    return hsn.enrich(items, codes).select("source_row", "hsn_matched", "hsn_gst_rate", "hsn_description")
+
+
+def trial_balance(spark: S, d: str) -> DataFrame:
+    """Customers' balances, posted in two parts, against a second book that lacks codes, spells names otherwise, and has other amounts and accounts."""
+    key, amount, customers = F.col("c_custkey"), shapes.money("c_acctbal"), shapes.table(spark, d, "customer")
+    code, name = F.when(key % 9 != 8, key.cast("string")).alias("code"), F.col("c_name").alias("name")
+    ours = customers.select(code, name, (amount - 10).alias("amount")).unionByName(customers.select(code, name, F.lit(10).cast("decimal(20,2)").alias("amount")))
+    moved = F.when(key % 7 == 3, F.lit("1.5")).when(key % 7 == 5, F.lit("0.01")).otherwise(F.lit("0")).cast("decimal(10,2)")
+    theirs = customers.filter(key % 11 != 4).select(
+        F.when(key % 5 != 0, key.cast("string")).alias("code"), F.concat(F.lit("  "), F.upper("c_name")).alias("name"), (amount + moved).alias("amount"))
+    other = shapes.table(spark, d, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("code"), F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string")).alias("name"),
+        shapes.money("s_acctbal").alias("amount"))
+    return reconcile.compare_balances(ours, theirs.unionByName(other)).drop("our_name", "their_name")
+
+
 QUERIES = {f.__name__: f for f in (
     delimited_customers, validate_stock_items, validate_units, validate_suppliers, emit_unit_xml, emit_group_xml, emit_renamed_xml,
     emit_invoice_xml, voucher_envelope, unreadable_cells, vouchers_beside_unreadable_cells, responses_with_cdata, profile_shares,
+    mapping_plan, mapping_stats, mapping_leftovers, hsn_enrichment, trial_balance,
 )}

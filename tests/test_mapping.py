@@ -128,3 +128,119 @@ def test_the_last_change_of_a_batch_counts(spark):
     rows = upsert_templates(empty, changes).collect()
     assert [(r.template_id, r.mapping) for r in rows] == [("t1", {"name": "X"})]
     assert upsert_templates(empty, changes.drop("seq")).first().template_id == "t2"
+
+
+# --- the whole proposal against a plain version ---------------------------------------------------
+
+def common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def plain_token_set(a, b):
+    left, right = set(a.split()), set(b.split())
+    if not left or not right:
+        return 0.0
+    join = lambda words: " ".join(sorted(words))
+    both, whole_a, whole_b = join(left & right), " ".join(filter(None, [join(left & right), join(left - right)])), " ".join(filter(None, [join(left & right), join(right - left)]))
+    if both and (left <= right or right <= left):
+        return 1.0
+    share = lambda x, y: 2 * common(x, y) / (len(x) + len(y))
+    if not both:
+        return share(whole_a, whole_b)
+    # the shared words stand in front on both sides and are aligned with themselves
+    head = len(both) + 1
+    return max((2 * head + 2 * common(whole_a[head:], whole_b[head:])) / (len(whole_a) + len(whole_b)), share(both, whole_a), share(both, whole_b))
+
+
+def plain_proposal(profiles, entity):
+    """Fields to (column, confidence, status, alternatives): every assignment of fields to columns is tried."""
+    rows = sorted(profiles, key=lambda r: r.position)
+    grid = []
+    for f in CATALOG[entity]:
+        targets = [t.lower() for t in (f.label, f.key, *f.synonyms)]
+        line = []
+        for r in rows:
+            fit = 1.0
+            if r.n and f.dtype in ("amount", "decimal", "integer"):
+                fit = 1.0 if r.numeric_share >= 0.8 else 0.8 if r.numeric_share >= 0.4 else 0.3
+            elif r.n and f.dtype == "bool":
+                fit = 1.0 if r.boolish_share >= 0.8 else 0.5
+            elif r.n and f.unique:
+                fit = 1.0 if r.distinct_share >= 0.95 and r.null_share <= 0.05 else 0.6 if r.distinct_share < 0.5 else 0.9
+            line.append(fit * max(plain_token_set(r.column.lower(), t) for t in targets))
+        grid.append(line)
+    n, m = len(grid), len(rows)
+    best = max(itertools.permutations(range(n), m), key=lambda fs: sum(grid[f][c] for c, f in enumerate(fs)))
+    total = sum(grid[f][c] for c, f in enumerate(best))
+    out = {}
+    for k, f in enumerate(CATALOG[entity]):
+        order = sorted(range(m), key=lambda c: (-grid[k][c], c))
+        mine = best.index(k) if k in best else None
+        score = 0.0 if mine is None else grid[k][mine]
+        tie = m > 1 and grid[k][order[0]] - grid[k][order[1]] < 0.07 and grid[k][order[1]] >= 0.62
+        status = "unmapped" if score < 0.62 else "needs_confirm" if score < 0.85 or tie or f.required else "auto_accept"
+        others = [rows[c].column for c in order[:4] if c != mine][:3]
+        out[f.key] = (rows[mine].column if score >= 0.62 else None, round(score, 4), status, others)
+    return out, total
+
+
+@pytest.mark.parametrize(("entity", "columns"), [
+    ("group", {"Group": ["A", "B", "C"], "Parent Group": ["x", "x", "y"], "Revenue?": ["Yes", "No", "Yes"]}),
+    ("unit", {"UOM": ["Pcs", "Kg", "Nos"], "Decimals": ["2", "a", "3"], "Simple": ["Yes", "", "No"], "Base": ["", "", ""]}),
+    ("group", {"Name": ["A", "A", "A"], "Under Name": ["p", "q", "r"], "Remarks": ["1", "2", "3"]}),
+    ("unit", {"Unit": ["Pcs", "Kg", "Nos"], "Unit Name": ["Pieces", "Kilo", "Numbers"], "Conversion Factor": ["1", "2", ""]}),
+])
+def test_proposal_against_plain_version(spark, entity, columns):
+    profiles, suggestions, got = suggest(spark, columns, entity)
+    want, total = plain_proposal(profiles.collect(), entity)
+    scores = {(r.target_field, r.column): r.confidence for r in M.mapping_scores(profiles, entity).collect()}
+    assigned = M.assign_columns(M.mapping_scores(profiles, entity)).collect()
+    assert sum(scores[r.target_field, r.assigned] for r in assigned) == pytest.approx(total)
+    for key, (column, confidence, status, others) in want.items():
+        row = got[key]
+        # equal totals may be reached in several ways where scores are low; what is shown agrees
+        assert (row.source_column, row.status) == (column, status)
+        if column is not None:
+            assert row.confidence == pytest.approx(confidence, abs=1e-4)
+            assert [a.column for a in row.alternatives] == others
+
+
+# --- HSN codes and trial balances ------------------------------------------------------------------
+
+def test_hsn_takes_the_longest_code(spark):
+    from ledgerweave.operators import hsn
+
+    codes = spark.createDataFrame([("61", "5", "wear"), ("6105", "12", "shirts"), ("61052010", "18", "of yarn"), ("61052010", "12", "of yarn too"), ("610520", "x", "bad rate"), ("123", "1", "odd"), (None, "2", "none")],
+                                  "hsn string, gst_rate string, description string")
+    codes = codes.selectExpr("hsn", "try_cast(gst_rate as decimal(20,6)) as gst_rate", "description")
+    rows = [(1, "61052010", "12"), (2, "6105 20 99", "5"), (3, "6105.30", "12"), (4, "61", "18"), (5, "62", "5"), (6, "6105201", "12"), (7, None, "1"), (8, "-", "1"), (9, "61AB", "1"), (10, "5", "1"), (1, "61052010", "12")]
+    items = spark.createDataFrame([(k, c, r, "clash") for k, c, r in rows], "source_row long, hsn string, gst_rate string, codes string")
+    made = hsn.enrich(items, codes)
+    got = sorted((r.source_row, r.hsn_matched, None if r.hsn_gst_rate is None else float(r.hsn_gst_rate), r.codes) for r in made.collect())
+    want = [(1, "61052010", 12.0), (1, "61052010", 12.0), (2, "610520", None), (3, "6105", 12.0), (4, "61", 5.0), (5, None, None), (6, "610520", None), (7, None, None), (8, None, None), (9, None, None), (10, None, None)]
+    assert got == [(*w, "clash") for w in want]
+    warned = hsn.rate_differences(made).collect()
+    assert [(r.source_row, r.severity, r.message) for r in warned] == [(4, "warning", "The rate of HSN 61 is 5.00.")]
+    assert hsn.enrich(items.limit(0), codes).count() == 0 and hsn.enrich(items, codes.limit(0)).where("hsn_matched is not null").count() == 0
+
+
+def test_trial_balances(spark):
+    from ledgerweave.operators import reconcile
+
+    schema = "code string, name string, amount string"
+    ours = spark.createDataFrame([("1", "Cash", "10"), ("1", "Cash", "5.5"), (None, "HDFC Bank", "100"), ("3", "Rent", "7"), ("4", "Sundry Creditors Ltd", "-3"), (None, None, None), ("6", "Twin", "1"), ("7", "Twin", "1")], schema)
+    theirs = spark.createDataFrame([("1", "Petty cash", "15.50"), ("2", " hdfc  bank ", "100.01"), ("3", "Rent", "9"), (None, "Sundry Creditor Ltd", "-3"), ("8", "Twin", "1"), ("9", "Alone", None)], schema)
+    found = {(r.our_name, r.their_name): (r.status, r.matched_by, float(r.difference), r.our_postings, r.their_postings) for r in reconcile.compare_balances(ours, theirs, similar=True).collect()}
+    assert found == {
+        ("Cash", "Petty cash"): ("equal", "code", 0.0, 2, 1), ("HDFC Bank", "hdfc  bank"): ("equal", "name", -0.01, 1, 1), ("Rent", "Rent"): ("different", "code", -2.0, 1, 1),
+        ("Sundry Creditors Ltd", "Sundry Creditor Ltd"): ("equal", "similar name", 0.0, 1, 1), (None, None): ("only_ours", None, 0.0, 1, 0), ("Twin", None): ("only_ours", None, 1.0, 1, 0),
+        (None, "Twin"): ("only_theirs", None, -1.0, 0, 1), (None, "Alone"): ("only_theirs", None, 0.0, 0, 1),
+    }
+    plain = reconcile.compare_balances(ours, theirs)
+    assert {r.status: (r.accounts, float(r.difference)) for r in reconcile.summary(plain).collect()} == {"equal": (2, -0.01), "different": (1, -2.0), "only_ours": (4, -1.0), "only_theirs": (3, 2.0)}
+    assert reconcile.compare_balances(ours.limit(0), theirs.limit(0)).count() == 0
