@@ -19,6 +19,9 @@ FROM k WHERE value NOT IN (SELECT p_name FROM k) GROUP BY value""",
     "delimited_customers": """
 SELECT CAST(c_custkey AS VARCHAR) AS "Key", CASE WHEN c_custkey % 3 <> 1 THEN c_name END AS "Name", c_mktsegment AS "Under",
   CASE WHEN c_custkey % 3 <> 0 THEN 'say "' || c_name || '", or; not' END AS "Note" FROM customer""",
+    "delimited_encodings": """
+SELECT CAST(c_custkey AS VARCHAR) AS "Key", c_name AS "Name", 'Café' || chr(10) || c_name || chr(10) || '"' || c_mktsegment || '", or; not' AS "Note"
+FROM customer""",
     "validate_stock_items": """
 WITH r AS (SELECT p_partkey AS k, p_partkey + 1 AS source_row, p_brand,
     CASE WHEN p_partkey % 40 = 7 THEN 'long' WHEN p_partkey % 41 = 8 THEN 'twice' WHEN p_partkey % 43 = 9 THEN 'blank' ELSE 'plain' END AS kind FROM part),

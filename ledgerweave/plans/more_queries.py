@@ -38,6 +38,17 @@ def delimited_customers(spark: S, d: str) -> DataFrame:
     return read.data.select("Key", "Name", "Under", "Note")
 
 
+def delimited_encodings(spark: S, d: str) -> DataFrame:
+    """Customers in files of three encodings, two of them with a byte order mark, and with line breaks and quotes in a cell."""
+    folder = posixpath.join(ensure_checkpoint_dir(spark), f"files-{uuid.uuid4().hex}")
+    note = F.concat(F.lit("Café\n"), "c_name", F.lit('\n"'), "c_mktsegment", F.lit('", or; not'))
+    for k, (encoding, mark) in enumerate((("UTF-16LE", "\ufeff"), ("UTF-8", "\ufeff"), ("ISO-8859-1", ""))):
+        rows = shapes.table(spark, d, "customer").filter(F.col("c_custkey") % 3 == k).select(
+            F.col("c_custkey").cast("string").alias(mark + "Key"), F.col("c_name").alias("Name"), note.alias("Note"))
+        rows.write.options(header="true", encoding=encoding, quote='"', escape='"').csv(posixpath.join(folder, str(k)))
+    return read_delimited(spark, [posixpath.join(folder, str(k), "*.csv") for k in range(3)]).data.select("Key", "Name", "Note")
+
+
 def validate_stock_items(spark: S, d: str) -> DataFrame:
     key, parts = F.col("p_partkey"), shapes.table(spark, d, "part")
     rows = parts.select(
@@ -217,7 +228,7 @@ def trial_balance(spark: S, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    delimited_customers, validate_stock_items, validate_units, validate_suppliers, emit_unit_xml, emit_group_xml, emit_renamed_xml,
+    delimited_customers, delimited_encodings, validate_stock_items, validate_units, validate_suppliers, emit_unit_xml, emit_group_xml, emit_renamed_xml,
     emit_invoice_xml, voucher_envelope, unreadable_cells, vouchers_beside_unreadable_cells, responses_with_cdata, profile_shares,
     mapping_plan, mapping_stats, mapping_leftovers, hsn_enrichment, trial_balance,
 )}

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ledgerweave import errors as E
 from ledgerweave.errors import StageResult
 from ledgerweave.sources.row_numbers import with_file_row, with_source_row
+from ledgerweave.sources.split_records import number_records, read_records
 
 # Separators that are tried (earlier wins a tie), texts read as null, limits.
 DELIMITERS = (",", ";", "\t", "|")
@@ -24,6 +25,9 @@ NULL_TEXTS = (
 MAX_ROWS, MAX_COLUMNS = 200_000, 1_000
 _BOM = "\ufeff"
 _OVERFLOW = "_overflow"
+#: Encodings in which line feeds, quotes and separators are single bytes, so that files split anywhere.
+BYTEWISE = ("UTF-8", "ISO-8859-1", "US-ASCII")
+_MARKS = {"EFBBBF": "UTF-8", "FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
 _UNNAMED = re.compile(r"^Unnamed: \d+$")
 
 
@@ -37,42 +41,60 @@ def delimiter_of(line: Column) -> Column:
     return choice
 
 
-def encoding_of(content: Column) -> Column:
-    """Encoding of a file's bytes: byte order mark, else UTF-8 if the bytes are valid, else ISO-8859-1."""
-    head = F.hex(F.substring(content, 1, 3))
-    return (
-        F.when(head.startswith("EFBBBF"), F.lit("UTF-8"))
-        .when(head.startswith("FFFE"), F.lit("UTF-16LE"))
-        .when(head.startswith("FEFF"), F.lit("UTF-16BE"))
-        .when(F.is_valid_utf8(content.cast("string")), F.lit("UTF-8"))
-        .otherwise(F.lit("ISO-8859-1"))
+def _heads(spark: SparkSession, paths: str | list[str], encoding: str | None) -> list[tuple[str, str, str]]:
+    """(file, encoding, first line that is not blank) of each file with a byte in it.
+
+    Without an encoding, a byte order mark decides, else UTF-8 if all lines are valid, else ISO-8859-1: a line never ends
+    inside a character of UTF-8, so lines are checked one by one, wherever a file is split. Two scans of lines, no file
+    is held as one value; the driver sees one row per file.
+    """
+    reader = spark.read.option("lineSep", "\n")
+    if encoding is not None and encoding not in BYTEWISE:
+        reader = reader.option("encoding", encoding)
+    raw = F.col("value").cast("binary")
+    lines = reader.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        (F.col("value") if encoding is None else F.decode(raw, encoding)).alias("text"), raw.alias("raw"), F.monotonically_increasing_id().alias("at"),
+    )
+    mark, at = F.hex(F.substring("raw", 1, 3)), F.col("at")
+    splits = lines.groupBy("file", "block").agg(
+        F.min("at").alias("first"), F.min(F.when(F.regexp_replace("text", f"^{_BOM}", "").rlike(r"\S"), at)).alias("filled"),
+        *[F.min(F.when(mark.startswith(m), at)).alias(m) for m in _MARKS], F.bool_and(F.is_valid_utf8("text")).alias("valid"),
     )
+    top = F.col("filled").isNotNull()
+    files = splits.groupBy("file").agg(
+        F.min_by("filled", F.when(top, F.col("block"))).alias("at"), F.bool_and("valid").alias("valid"),
+        *[F.min_by(F.coalesce(F.col(m) == F.col("first"), F.lit(False)), "block").alias(m) for m in _MARKS],
+    )
+    kind = F.lit(encoding)
+    if encoding is None:
+        kind = F.when(F.col("valid"), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))
+        for m, name in _MARKS.items():
+            kind = F.when(F.col(m), F.lit(name)).otherwise(kind)
+    found = files.select("file", kind.alias("encoding"), "at").collect()
+    own = spark.createDataFrame([(r["at"],) for r in found if r["at"] is not None], "at long")
+    texts = {r["at"]: bytes(r["raw"]) for r in lines.join(F.broadcast(own), "at").select("at", "raw").collect()}
+    return [(r["file"], r["encoding"], texts.get(r["at"], b"").decode(r["encoding"], "replace").lstrip(_BOM)) for r in found]
 
 
 def sniff(spark: SparkSession, paths: str | list[str], encoding: str | None = None) -> DataFrame:
-    """(file, encoding, delimiter, header, empty) per file, one row each.
+    """(file, encoding, header, line_end, delimiter, empty) per file, one row each. Files without a byte have none.
 
-    Uploads are small files; pass `encoding` for large ones, then only their
-    lines are streamed and no file is held as one value.
+    A file whose first line holds carriage returns ends its lines with them alone.
     """
+    found = _heads(spark, paths, encoding)
     if encoding is None:
-        files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content")
-        files = files.withColumn("encoding", encoding_of(F.col("content")))
-        text = F.coalesce(*[F.when(F.col("encoding") == e, F.decode("content", e)) for e in
-                            ("UTF-8", "UTF-16LE", "UTF-16BE", "ISO-8859-1")])
-        lines = files.select("file", "encoding", F.regexp_replace(text, f"^{_BOM}", "").alias("text"))
-        header = F.regexp_extract("text", r"(?m)^[^\r\n]*\S[^\r\n]*", 0)
-        found = lines.select("file", "encoding", header.alias("header"))
-    else:
-        lines = spark.read.option("encoding", encoding).text(paths).select(
-            F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")
-        )
-        filled = F.when(F.trim("value") != "", F.col("at"))
-        found = lines.groupBy("file").agg(F.min_by("value", filled).alias("header")).select(
-            "file", F.lit(encoding).alias("encoding"),
-            F.regexp_replace(F.coalesce("header", F.lit("")), f"^{_BOM}", "").alias("header"),
-        )
-    return found.withColumns({"delimiter": delimiter_of(F.col("header")), "empty": F.trim("header") == ""})
+        wide: dict[str, list[str]] = {}
+        for file, kind, _ in found:
+            if kind not in BYTEWISE:
+                wide.setdefault(kind, []).append(_reader_path(file))
+        found = [f for f in found if f[1] in BYTEWISE] + [f for kind, own in wide.items() for f in _heads(spark, own, kind)]
+    rows = []
+    for file, kind, line in found:
+        parts = [p for p in line.rstrip("\r").split("\r") if p.strip()]
+        rows.append((file, kind, parts[0] if parts else "", "\r" if "\r" in line.rstrip("\r") else "\n"))
+    table = spark.createDataFrame(rows, "file string, encoding string, header string, line_end string")
+    return table.withColumns({"delimiter": delimiter_of(F.col("header")), "empty": F.trim("header") == ""})
 
 
 def header_names(raw: list[str | None]) -> list[str]:
@@ -117,24 +139,25 @@ def read_delimited(
     columns of all files are aligned by name (null where a file lacks one). With more than one file the table and the
     errors have `upload`, the path, and rows are numbered per file. The driver sees one row per file.
 
-    `multi_line` allows line breaks in quoted cells and reads each file in one task; turn it off for large files, which then
-    split. Records with too few fields are padded with null.
+    `multi_line` allows line breaks in quoted cells. Files still split (`split_records`), but for those in UTF-16, which are
+    read in one task each. A record above `split_records.MAX_RECORD` bytes is an error row: most likely a quote was never
+    closed. Records with too few fields are padded with null.
     """
     files = sniff(spark, paths, encoding).orderBy("file").collect()
     # files without a byte yield no row; the listing has them
     seen = {_plain_path(f["file"]) for f in files}
-    bare = [f for f in spark.read.format("binaryFile").load(paths).inputFiles() if _plain_path(f) not in seen]
+    bare = [f for f in spark.read.text(paths).inputFiles() if _plain_path(f) not in seen]
     many = len(files) + len(bare) > 1
     empty = [f["file"] for f in files if f["empty"]] + bare
     variants: dict[tuple, list[str]] = {}
     for f in files:
         if not f["empty"]:
-            variants.setdefault((delimiter or f["delimiter"], f["encoding"], f["header"]), []).append(f["file"])
+            variants.setdefault((delimiter or f["delimiter"], f["encoding"], f["line_end"], f["header"]), []).append(_reader_path(f["file"]))
     problems = [{"code": E.EMPTY_FILE, "message": "The file is empty.", "upload": f if many else None} for f in empty or ([] if files else [None])]
     nothing = spark.createDataFrame([], "source_row long, upload string" if many else "source_row long")
     data, errors = [], [E.literal_errors(spark, problems, "parse", None)]
-    for (separator, kind, _), own in variants.items():
-        one = _read_alike(spark, own, separator, kind, multi_line, many)
+    for (separator, kind, line_end, _), own in variants.items():
+        one = _read_alike(spark, own, separator, kind, line_end, multi_line, many)
         data.append(one.data)
         errors.append(one.errors)
     if len(data) == 1:
@@ -147,33 +170,52 @@ def _plain_path(path: str) -> str:
     return re.sub(r"^(\w+):/+", r"\1:/", unquote(path))
 
 
-def _read_alike(spark: SparkSession, paths: list[str], delimiter: str, encoding: str, multi_line: bool, by_file: bool) -> StageResult:
-    """Files with one encoding, delimiter and header."""
+def _reader_path(path: str) -> str:
+    """A path of `_metadata` as readers take it."""
+    return unquote(path)
+
+
+def _read_alike(spark: SparkSession, paths: list[str], delimiter: str, encoding: str, line_end: str, multi_line: bool, by_file: bool) -> StageResult:
+    """Files with one encoding, delimiter, line end and header."""
     options = {
-        "sep": delimiter, "encoding": encoding, "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE",
-        "quote": '"', "escape": '"', "inferSchema": "false", "nullValue": "", "emptyValue": "",
+        "sep": delimiter, "multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "",
     }
+    scan = spark.read.options(encoding=encoding, inferSchema="false", **options)
     # the header record alone; quoted line breaks in it are handled by the same reader
-    record = spark.read.options(header="false", **options).csv(paths).first()
+    record = scan.option("header", "false").csv(paths).first()
     raw = [(c or "").replace(_BOM, "") if i == 0 else c for i, c in enumerate(record)]
     names = header_names(raw)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
                           + [T.StructField(_OVERFLOW, T.StringType())])
-    table = spark.read.schema(schema).options(header="true", enforceSchema="true", **options).csv(paths)
     cells = [
         F.when(~F.col(f"c{i}").isin(*NULL_TEXTS), F.col(f"c{i}")).alias(f"c{i}") for i in range(len(names))
     ]
-    place = [F.col("_metadata.file_path").alias("upload"), F.col("_metadata.file_block_start").alias("_block")] if by_file else []
-    filled = table.select(*cells, _OVERFLOW, *place).filter(
-        F.coalesce(*[F.col(f"c{i}") for i in range(len(names))], F.col(_OVERFLOW)).isNotNull()
-    )
-    numbered = with_file_row(filled, "upload", "_block") if by_file else with_source_row(filled)
-    ragged = F.when(
+    filled = F.coalesce(*[F.col(f"c{i}") for i in range(len(names))], F.col(_OVERFLOW)).isNotNull()
+    long = F.lit(False)
+    if multi_line and encoding in BYTEWISE:
+        long = F.col("_long")
+
+        def parsed(records: DataFrame) -> DataFrame:
+            text = F.regexp_replace(F.decode("text", encoding) if encoding != "UTF-8" else F.col("text").cast("string"), r"\r\z", "")
+            row = F.from_csv(text, schema.simpleString()[7:-1].replace(":", " "), options)
+            table = records.select("file", "block", F.col("long").alias("_long"), row.alias("row")).select("file", "block", "_long", "row.*")
+            return table.select("file", "block", "_long", *cells, _OVERFLOW).filter(filled)
+
+        whole, crossing = read_records(spark, paths, delimiter, line_end)
+        # the header is the first record of a file, and counts as one unless all of its names read as null
+        skip = int(any(c is not None and c not in NULL_TEXTS for c in raw))
+        numbered = number_records(parsed(whole), None if crossing is None else parsed(crossing), "source_row", skip).withColumnRenamed("file", "upload")
+    else:
+        table = scan.schema(schema).options(header="true", enforceSchema="true").csv(paths)
+        place = [F.col("_metadata.file_path").alias("upload"), F.col("_metadata.file_block_start").alias("_block")] if by_file else []
+        rows = table.select(*cells, _OVERFLOW, *place).filter(filled)
+        numbered = with_file_row(rows, "upload", "_block") if by_file else with_source_row(rows)
+    ragged = F.when(long, E.issue(E.PARSE_FAILED, None, "The record is too long; a quote may not be closed.", raw=F.col("c0"))).when(
         F.col(_OVERFLOW).isNotNull(),
         E.issue(E.PARSE_FAILED, None, "The record has more fields than the header.", raw=F.col(_OVERFLOW)),
     )
     errors = E.error_rows(numbered, F.array(ragged), "parse", None)
-    good = numbered.filter(F.col(_OVERFLOW).isNull())
+    good = numbered.filter(F.col(_OVERFLOW).isNull() & ~long)
     lead = ["source_row", *["upload"] * by_file]
     data = good.select(*lead, *[F.col(f"c{i}") for i in range(len(names))]).toDF(*lead, *names)
     return StageResult(data, errors)

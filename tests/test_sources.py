@@ -175,3 +175,84 @@ def test_retention_touches_only_folders_with_expired_rows(spark, tmp_path):
     assert sorted((r.org_id, r.job_id, r.order_id) for r in left.collect()) == [("a", "j1", "2"), ("b", "j1", "4")]
     assert set(glob.glob(path + "/org_id=b/*/*.parquet")) == before and not glob.glob(path + "/org_id=a/job_id=j2")
     assert expire_in_place(spark, path, "2024-03-02 00:00:00") == 0
+
+
+def _quoted_file(rng, n, end):
+    """Records with every kind of cell that quotes allow, in the form a careful writer gives them."""
+    pieces = ["a", "b c", ",", ";", '"', "\n", "\r\n", "é", "", " ", "x" * 30]
+    lines, wanted = ["k,v,w"], []
+    for i in range(n):
+        cells = [f"r{i}", *("".join(rng.choice(pieces) for _ in range(rng.randint(0, 6))) for _ in range(2))]
+        if i % 50 == 7:
+            cells[1] = "long\n" * 150 + "end"
+        wanted.append(tuple(cells))
+        lines.append(",".join('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r') or rng.random() < 0.2 else c for c in cells))
+        if i % 31 == 5:
+            lines.append("")
+    return end.join(lines) + end * rng.randint(0, 1), wanted
+
+
+@pytest.mark.parametrize(("end", "encoding"), [("\n", "utf-8"), ("\r\n", "utf-8"), ("\n", "latin-1"), ("\n", "utf-8-sig")])
+def test_a_file_with_line_breaks_in_cells_is_read_by_many_tasks(spark, tmp_path, end, encoding):
+    """Splits far smaller than some records; the result is that of a reader that sees each file whole."""
+    import csv
+    import io
+    import random
+    from ledgerweave.sources import split_records
+    rng = random.Random(len(end) + len(encoding))
+    made = {f"{n}.csv": _quoted_file(rng, n, end) for n in (120, 61)}
+    for name, (text, _) in made.items():
+        put(tmp_path, text.encode(encoding), name)
+    nulls = ("", "NA")
+    want = sorted((name, i, *(None if c in nulls else c for c in row)) for name, (text, _) in made.items()
+                  for i, row in enumerate([r for r in csv.reader(io.StringIO(text, newline="")) if r][1:], 1))
+    assert [w[2:] for w in want if w[0] == "61.csv"] == [tuple(c or None for c in r) for r in made["61.csv"][1]]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert split_records.lines_of(spark, str(tmp_path)).select("file", "block").distinct().count() > 20
+        result = read_delimited(spark, str(tmp_path))
+        got = sorted((r.upload.rsplit("/", 1)[1], r.source_row, r.k, r.v, r.w) for r in result.data.collect())
+        assert result.errors.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert got == want
+
+
+def test_encodings_and_line_ends_of_one_call(spark, tmp_path):
+    text = 'name,note\nCafé,"two\nlines"\nB,x\n'
+    files = {"utf16le": b"\xff\xfe" + text.encode("utf-16-le"), "utf16be": b"\xfe\xff" + text.encode("utf-16-be"), "bom": text.encode("utf-8-sig"),
+             "latin": text.encode("latin-1"), "plain file": text.encode(), "mac": text.replace("\n", "\r").encode()}
+    for name, content in files.items():
+        put(tmp_path, content, name + ".csv")
+    kinds = {r.file.rsplit("/", 1)[1]: (r.encoding, r.line_end) for r in sniff(spark, str(tmp_path)).collect()}
+    assert kinds == {"utf16le.csv": ("UTF-16LE", "\n"), "utf16be.csv": ("UTF-16BE", "\n"), "bom.csv": ("UTF-8", "\n"),
+                     "latin.csv": ("ISO-8859-1", "\n"), "plain%20file.csv": ("UTF-8", "\n"), "mac.csv": ("UTF-8", "\r")}
+    made = read_delimited(spark, str(tmp_path))
+    got = {}
+    for r in made.data.orderBy("source_row").collect():
+        got.setdefault(r.upload.rsplit("/", 1)[1], []).append((r.source_row, r.name, r.note.replace("\r", "\n")))
+    assert got == {name: [(1, "Café", "two\nlines"), (2, "B", "x")] for name in kinds}
+    assert made.errors.count() == 0
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path, monkeypatch):
+    from ledgerweave.sources import split_records
+    path = put(tmp_path, 'a,b\n1,2\n3,"open\n' + "x,y\n" * 200)
+    whole = read_delimited(spark, path).data.orderBy("source_row").collect()
+    assert [(r.a, r.b.strip()) for r in whole] == [("1", "2"), ("3", "open\n" + "x,y\n" * 199 + "x,y")]
+    monkeypatch.setattr(split_records, "MAX_RECORD", 100)
+    monkeypatch.setattr(split_records, "CUT", 10)
+    result = read_delimited(spark, path)
+    assert rows(result.data) == [("1", "2")]
+    assert [(e.source_row, e.code) for e in result.errors.collect()] == [(2, E.PARSE_FAILED)]
+
+
+@pytest.mark.parametrize(("line", "outside", "inside"), [
+    (b"a,b", False, True), (b'"a', True, False), (b'a,"b""', True, False), (b'"a","b', True, True), (b'a"b,c', False, False), (b'"a""', True, False),
+    (b'x","y"', False, False), (b"", False, True), (b'""', False, True), (b'a,""', False, True)])
+def test_ends_inside(line, outside, inside):
+    from ledgerweave.sources.split_records import ends_inside
+    assert (ends_inside(line, False, b","), ends_inside(line, True, b",")) == (outside, inside)
