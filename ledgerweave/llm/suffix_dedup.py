@@ -1,18 +1,18 @@
-"""Substring dedup by prefix doubling over synchronised positions.
+"""Substring dedup by names of strings over synchronised positions, in place of prefix doubling.
 
-Every byte that a string of `length` bytes covers which also starts anywhere else is removed. Doubling ranks positions by
-ever longer strings and keeps those whose rank is shared:
+Every byte that a string of `length` bytes covers which also starts anywhere else is removed. A name is a hash of a string's
+bytes, read from prefix sums; it has 128 bits where it decides, and is the same in every task. No ranks are doubled, and
+Spark sorts no pairs of ranks:
 
-1. Positions that synchronise windows are ranked by their first `key` bytes; Spark groups the ranks. A position of unique
-   rank is done: no window around it is repeated.
-2. The rest are ranked by all that their windows touch, past the threshold. Shared ranks are repeated as a whole.
-3. What is left are places where copies begin, end or differ. There every window start is ranked: groups of one key are
-   sorted together by pairs of ranks at growing offsets (key, 2 key, 4 key, ... up to the length), each round keeping only
-   starts that share their rank. Groups too large for one task go through Spark window by window.
+1. Positions that synchronise windows are named by their first `key` bytes; Spark groups the names. A position whose name
+   is unique is done: no window around it is repeated.
+2. The rest are named by all that their windows touch, past the threshold. Shared names are repeated as a whole.
+3. What is left are places where copies begin, end or differ. There window starts are named at growing lengths (key, 2 key,
+   4 key, ... up to the length), in one task for a group of one key. The last length alone decides; shorter ones drop
+   unique starts early. Groups too large for one task go through Spark window by window.
 
-Ranks are names of strings (128 bits where they decide), equal for equal strings in every task and round, so a rank of twice the length
-needs no join: it is the name of two names. Ranking all byte positions this way would move sixteen bytes or more for each
-byte of text in every round; the synchronised ones are about one in 170.
+Doubling over all byte positions would move sixteen bytes or more for each byte of text in every round; the synchronised
+positions are about one in 170.
 
 Null texts are empty. Texts shorter than the threshold stay whole. Rows that agree in id and text are copies of each
 other. Bytes are counted on UTF-8; `kept_sha256` digests what is left.
