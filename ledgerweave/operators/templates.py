@@ -6,9 +6,11 @@ source_columns. Table operations return the new state of the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.joins import hot_safe_join
+
 # Least overlap of a template with an upload.
 MIN_COLUMNS, MIN_SHARE = 2, 0.6
 # The built-in template.
@@ -84,20 +86,49 @@ def delete_templates(templates: DataFrame, org_id: str, template_id: str) -> Dat
 def best_template(uploads: DataFrame, templates: DataFrame) -> DataFrame:
     """The best template of each upload, for uploads that have one.
 
-    uploads: upload, org_id, entity, columns (array). A template needs two source
-    columns and 60 percent of them present; ties go to the first name. Templates
-    join on tenant and entity; the ranking keeps one row per upload before its
-    shuffle.
+    uploads: upload, org_id, entity, columns (array). A template needs two source columns and 60 percent of them
+    present; ties go to the first name. A column that a template lists twice counts twice.
+
+    Tenants with many uploads and templates do not meet pair by pair. Uploads with the same columns are one header, and of
+    templates with the same columns only the first by name can win. Headers and templates then join on a column, of which
+    a template offers only its rarest: those before the rest of its list weighs less than 60 percent, since an
+    upload that has none of them cannot reach the share. Pairs that meet are compared in full.
     """
-    listed = templates.select(
-        "org_id", "entity", "name", "mapping", "constants",
-        F.filter("source_columns", lambda c: c.isNotNull() & (c != "")).alias("wanted"),
-    ).filter(F.size("wanted") >= MIN_COLUMNS)
-    pairs = uploads.join(listed, ["org_id", "entity"])
-    hits = F.size(F.filter("wanted", lambda c: F.array_contains("columns", c)))
-    scored = pairs.withColumn("score", hits / F.size("wanted")).filter(F.col("score") >= MIN_SHARE)
-    order = Window.partitionBy("upload").orderBy(F.desc("score"), "name")
+    tenant = ["org_id", "entity"]
+    real = uploads.filter(F.col("org_id").isNotNull() & F.col("entity").isNotNull()).select(
+        "upload", *tenant, F.array_sort(F.array_distinct(F.filter("columns", lambda c: c.isNotNull() & (c != "")))).alias("present"))
+    heads = real.select(*tenant, "present").distinct().withColumn("head", _digest(*tenant, "present"))
+    wanted = F.array_sort(F.filter("source_columns", lambda c: c.isNotNull() & (c != "")))
+    kinds = (
+        templates.select(*tenant, "name", "mapping", "constants", wanted.alias("wanted"))
+        .filter((F.size("wanted") >= MIN_COLUMNS) & F.col("org_id").isNotNull() & F.col("entity").isNotNull())
+        .groupBy(*tenant, "wanted")
+        .agg(F.min_by(F.struct("name", "mapping", "constants"), F.coalesce("name", F.lit(""))).alias("template"))
+        .withColumn("kind", _digest(*tenant, "wanted"))
+    )
+    offered = heads.select("head", *tenant, F.explode("present").alias("column"))
+    rarity = offered.groupBy(*tenant, "column").count()
+    weighed = kinds.select("kind", *tenant, F.size("wanted").alias("total"), F.explode("wanted").alias("column"))
+    weighed = weighed.groupBy("kind", *tenant, "column").agg(F.count("*").alias("weight"), F.min("total").alias("total"))
+    weighed = hot_safe_join(weighed, rarity, [*tenant, "column"], "left")
+    onward = Window.partitionBy("kind").orderBy(F.coalesce("count", F.lit(0)), "column").rowsBetween(0, Window.unboundedFollowing)
+    # one row of state per column of one template
+    leading = weighed.withColumn("rest", F.sum("weight").over(onward) / F.col("total")).filter(F.col("rest") >= MIN_SHARE)
+    met = hot_safe_join(offered, leading.select("kind", *tenant, "column"), [*tenant, "column"]).select("head", "kind").distinct()
+    pairs = hot_safe_join(met, heads.select("head", "present"), ["head"])
+    pairs = hot_safe_join(pairs, kinds.select("kind", "wanted", F.col("template.name").alias("name")), ["kind"])
+    hits = F.size(F.filter("wanted", lambda c: F.array_contains("present", c)))
+    scored = pairs.select("head", "kind", "name", (hits / F.size("wanted")).alias("score")).filter(F.col("score") >= MIN_SHARE)
+    rank = F.struct((-F.col("score")).alias("score"), F.coalesce("name", F.lit("")).alias("name"), "kind")
+    best = scored.groupBy("head").agg(F.min(rank).alias("rank")).select("head", "rank.kind", (-F.col("rank.score")).alias("score"))
+    best = best.join(kinds.select("kind", "template"), "kind").select("head", "score", "template.*")
+    chosen = hot_safe_join(real.withColumn("head", _digest(*tenant, "present")).select("upload", "head"), best, ["head"])
+    first = F.struct(-F.col("score"), F.coalesce("name", F.lit("")), "head")
     return (
-        scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == 1)
-        .select("upload", "name", "score", "mapping", "constants")
+        chosen.groupBy("upload").agg(F.min_by(F.struct("name", "score", "mapping", "constants"), first).alias("best"))
+        .select("upload", "best.*")
     )
+
+
+def _digest(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns)), 256)

@@ -244,3 +244,33 @@ def test_trial_balances(spark):
     plain = reconcile.compare_balances(ours, theirs)
     assert {r.status: (r.accounts, float(r.difference)) for r in reconcile.summary(plain).collect()} == {"equal": (2, -0.01), "different": (1, -2.0), "only_ours": (4, -1.0), "only_theirs": (3, 2.0)}
     assert reconcile.compare_balances(ours.limit(0), theirs.limit(0)).count() == 0
+
+
+def test_best_template_equals_all_pairs(spark):
+    """A busy tenant with many alike headers and templates, double and empty columns, ties and missing tenants."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"c{i}" for i in range(9)]
+    pick = lambda low, high: [rng.choice([*words[:3], *words, "", None]) for _ in range(rng.randint(low, high))]
+    orgs = ["hot"] * 6 + ["cold", None]
+    uploads = [(f"u{i}", rng.choice(orgs), "ledger", pick(0, 8)) for i in range(300)]
+    saved = [(f"t{i}", rng.choice(orgs), rng.choice(["ledger", "ledger", "unit"]), f"n{rng.randint(0, 10**6)}-{i}", {"name": f"m{i}"}, {}, pick(0, 7))
+             for i in range(120)]
+    expected = {}
+    for upload, org, entity, columns in uploads:
+        scored = []
+        for _, o, e, name, mapping, _, listed in saved:
+            wanted = [c for c in listed if c]
+            if org is not None and (o, e) == (org, entity) and len(wanted) >= 2:
+                share = sum(c in columns for c in wanted) / len(wanted)
+                if share >= 0.6:
+                    scored.append((-share, name, mapping))
+        if scored:
+            share, name, mapping = min(scored, key=lambda x: x[:2])
+            expected[upload] = (name, -share, mapping)
+    table = spark.createDataFrame(uploads, "upload string, org_id string, entity string, columns array<string>")
+    got = best_template(table, spark.createDataFrame(saved, SCHEMA))
+    assert {r.upload: (r.name, r.score, r.mapping) for r in got.collect()} == expected and len(expected) > 50
+    assert best_template(table.limit(0), spark.createDataFrame(saved, SCHEMA)).columns == got.columns
+    assert best_template(table, spark.createDataFrame([], SCHEMA)).count() == 0
