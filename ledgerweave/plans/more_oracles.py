@@ -8,6 +8,26 @@ _NUMBER = r"regexp_replace(CAST(CAST({} AS DECIMAL(18,6)) AS VARCHAR), '\.?0+$',
 _ENTRY = """'<LEDGERNAME>' || {0} || '</LEDGERNAME><ISDEEMEDPOSITIVE>' || CASE WHEN {1} THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE><AMOUNT>' ||
   CASE WHEN {1} THEN '-' ELSE '' END || CAST(CAST({2} AS DECIMAL(18,2)) AS VARCHAR) || '</AMOUNT>'"""
 
+_UNITS = f"""
+WITH p AS (SELECT p_partkey AS k, 'U&lt;' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_size + 10 AS VARCHAR) || '.5' AS conv FROM part),
+units AS (SELECT k + 1 AS row, {_MESSAGE} || '<UNIT NAME="' || name || '" ACTION="Create"><NAME>' || name || '</NAME>' ||
+  CASE WHEN k % 3 = 0 THEN '<ISSIMPLEUNIT>No</ISSIMPLEUNIT><BASEUNITS>Pcs</BASEUNITS><ADDITIONALUNITS>Box</ADDITIONALUNITS><CONVERSION>' || conv || '</CONVERSION>'
+    ELSE '<ISSIMPLEUNIT>Yes</ISSIMPLEUNIT><DECIMALPLACES>' || CAST(k % 4 AS VARCHAR) || '</DECIMALPLACES>' END || '</UNIT></TALLYMESSAGE>' AS xml FROM p)
+"""
+
+# parts of the envelopes with vouchers
+_PLACED = "lpad(CAST(first_row AS VARCHAR), 20, '0') AS place, strftime(dl, '%Y%m%d') AS day"
+_OUTER = """
+  (-1, '', -9, '<ENVELOPE><HEADER><TALLYREQUEST>Import Data</TALLYREQUEST></HEADER><BODY>'), (99, chr(1114111), 99, '</BODY></ENVELOPE>')"""
+_REQUEST = "'<IMPORTDATA><REQUESTDESC><REPORTNAME>{}</REPORTNAME><STATICVARIABLES><SVCURRENTCOMPANY>A &amp; B</SVCURRENTCOMPANY>{}</STATICVARIABLES></REQUESTDESC><REQUESTDATA>'"
+_VOUCHERS = f"(6, '', -9, {_REQUEST.format('Vouchers', '')}), (6, chr(1114111), 99, '</REQUESTDATA></IMPORTDATA>')"
+_MASTERS = f"(0, '', -9, {_REQUEST.format('All Masters', '<IMPORTDUPS>@@DupModify</IMPORTDUPS>')}), (5, chr(1114111), 99, '</REQUESTDATA></IMPORTDATA>')"
+_VOUCHER_ROWS = f"""UNION ALL SELECT ok.chunk, 6, place, -1, 0, 0, {_MESSAGE} || '<VOUCHER VCHTYPE="' || vtype || '" ACTION="Create" OBJVIEW="Accounting Voucher View"><DATE>' || day || '</DATE><EFFECTIVEDATE>' || day ||
+  '</EFFECTIVEDATE><VOUCHERTYPENAME>' || vtype || '</VOUCHERTYPENAME><VOUCHERNUMBER>' || voucher_key || '</VOUCHERNUMBER><PARTYLEDGERNAME>' || party || '</PARTYLEDGERNAME>' FROM ok
+UNION ALL SELECT ok.chunk, 6, place, 9, 0, 0, '</VOUCHER></TALLYMESSAGE>' FROM ok
+UNION ALL SELECT ok.chunk, 6, place, 0, source_row, 0, '<ALLLEDGERENTRIES.LIST>' || {_ENTRY.format('ledger', 'kept.dr', 'amt')} || '</ALLLEDGERENTRIES.LIST>' FROM kept JOIN ok USING (voucher_key)
+UNION ALL SELECT ok.chunk, 6, place, 2, first_row, 0, '<ALLLEDGERENTRIES.LIST>' || {_ENTRY.format("'Round Off'", 'ro > 0', 'abs(ro)')} || '</ALLLEDGERENTRIES.LIST>' FROM ok WHERE ro IS NOT NULL"""
+
 ORACLES: dict[str, str] = {
     # a name of n letters that lost one shares 2n - 2 of 2n - 1 letters with itself, and no other part name comes closer
     "did_you_mean": """
@@ -43,11 +63,7 @@ UNION ALL SELECT s_suppkey + 1, 'value_not_allowed', 'warning', 'email' FROM sup
 UNION ALL SELECT s_suppkey + 1, 'value_not_allowed', 'warning', 'state' FROM supplier WHERE s_suppkey % 11 = 2
 UNION ALL SELECT s_suppkey + 1, 'value_not_allowed', 'warning', 'opening_balance_drcr' FROM supplier WHERE s_suppkey % 13 = 3
 UNION ALL SELECT NULL, 'missing_column', 'error', 'parent'""",
-    "emit_unit_xml": f"""
-WITH p AS (SELECT p_partkey AS k, 'U&lt;' || CAST(p_partkey AS VARCHAR) AS name, CAST(p_size + 10 AS VARCHAR) || '.5' AS conv FROM part)
-SELECT k + 1 AS row, {_MESSAGE} || '<UNIT NAME="' || name || '" ACTION="Create"><NAME>' || name || '</NAME>' ||
-  CASE WHEN k % 3 = 0 THEN '<ISSIMPLEUNIT>No</ISSIMPLEUNIT><BASEUNITS>Pcs</BASEUNITS><ADDITIONALUNITS>Box</ADDITIONALUNITS><CONVERSION>' || conv || '</CONVERSION>'
-    ELSE '<ISSIMPLEUNIT>Yes</ISSIMPLEUNIT><DECIMALPLACES>' || CAST(k % 4 AS VARCHAR) || '</DECIMALPLACES>' END || '</UNIT></TALLYMESSAGE>' AS xml FROM p""",
+    "emit_unit_xml": _UNITS + "SELECT row, xml FROM units",
     "emit_group_xml": f"""
 WITH g AS (
   SELECT CAST(r_regionkey AS BIGINT) AS source_row, r_name AS name, 'Primary' AS parent FROM region
@@ -71,17 +87,18 @@ UNION ALL SELECT voucher_key, 0, r * 2 - 1, 0, '<ALLINVENTORYENTRIES.LIST><STOCK
   rate_text || '</RATE><AMOUNT>' || CAST(amt AS VARCHAR) || '</AMOUNT><ACTUALQTY>' || qty_text || '</ACTUALQTY><BILLEDQTY>' || qty_text || '</BILLEDQTY><ACCOUNTINGALLOCATIONS.LIST>' ||
   {_ENTRY.format("'Sales'", 'false', 'amt')} || '</ACCOUNTINGALLOCATIONS.LIST></ALLINVENTORYENTRIES.LIST>' FROM texts
 UNION ALL SELECT voucher_key, 0, r * 2, 0, '<LEDGERENTRIES.LIST>' || {_ENTRY.format("'Customer'", 'true', 'amt')} || '</LEDGERENTRIES.LIST>' FROM texts""",
-    "voucher_envelope": _JOURNAL + f""", ok AS (SELECT *, lpad(CAST(first_row AS VARCHAR), 20, '0') AS place, strftime(dl, '%Y%m%d') AS day FROM judged WHERE blocking IS NULL AND balanced),
-frames(section, place, part, xml) AS (VALUES
-  (-1, '', -9, '<ENVELOPE><HEADER><TALLYREQUEST>Import Data</TALLYREQUEST></HEADER><BODY>'), (99, chr(1114111), 99, '</BODY></ENVELOPE>'),
-  (6, '', -9, '<IMPORTDATA><REQUESTDESC><REPORTNAME>Vouchers</REPORTNAME><STATICVARIABLES><SVCURRENTCOMPANY>A &amp; B</SVCURRENTCOMPANY></STATICVARIABLES></REQUESTDESC><REQUESTDATA>'),
-  (6, chr(1114111), 99, '</REQUESTDATA></IMPORTDATA>'))
+    "voucher_envelope": _JOURNAL + f""", ok AS (SELECT *, 0 AS chunk, {_PLACED} FROM judged WHERE blocking IS NULL AND balanced), frames(section, place, part, xml) AS (VALUES {_OUTER}, {_VOUCHERS})
 SELECT 0 AS chunk, section, place, part, CAST(0 AS BIGINT) AS row, 0 AS seq, xml FROM frames
-UNION ALL SELECT 0, 6, place, -1, 0, 0, {_MESSAGE} || '<VOUCHER VCHTYPE="' || vtype || '" ACTION="Create" OBJVIEW="Accounting Voucher View"><DATE>' || day || '</DATE><EFFECTIVEDATE>' || day ||
-  '</EFFECTIVEDATE><VOUCHERTYPENAME>' || vtype || '</VOUCHERTYPENAME><VOUCHERNUMBER>' || voucher_key || '</VOUCHERNUMBER><PARTYLEDGERNAME>' || party || '</PARTYLEDGERNAME>' FROM ok
-UNION ALL SELECT 0, 6, place, 9, 0, 0, '</VOUCHER></TALLYMESSAGE>' FROM ok
-UNION ALL SELECT 0, 6, place, 0, source_row, 0, '<ALLLEDGERENTRIES.LIST>' || {_ENTRY.format('ledger', 'kept.dr', 'amt')} || '</ALLLEDGERENTRIES.LIST>' FROM kept JOIN ok USING (voucher_key)
-UNION ALL SELECT 0, 6, place, 2, first_row, 0, '<ALLLEDGERENTRIES.LIST>' || {_ENTRY.format("'Round Off'", 'ro > 0', 'abs(ro)')} || '</ALLLEDGERENTRIES.LIST>' FROM ok WHERE ro IS NOT NULL""",
+""" + _VOUCHER_ROWS,
+    # vouchers in the order of their first rows, 200 to an envelope; units go before the vouchers of the first
+    "unified_chunks": _UNITS.replace("WITH p", _JOURNAL + ", p", 1) + f""", ok AS (
+  SELECT *, CAST((row_number() OVER (ORDER BY first_row) - 1) // 200 AS INTEGER) AS chunk, {_PLACED} FROM judged WHERE blocking IS NULL AND balanced),
+frames(section, place, part, xml) AS (VALUES {_OUTER}, {_VOUCHERS}),
+mframes(section, place, part, xml) AS (VALUES {_MASTERS})
+SELECT chunk, section, place, part, CAST(0 AS BIGINT) AS row, 0 AS seq, xml FROM frames, (SELECT DISTINCT chunk FROM ok)
+UNION ALL SELECT 0, section, place, part, 0, 0, xml FROM mframes
+UNION ALL SELECT 0, 1, lpad(CAST(row AS VARCHAR), 20, '0'), 0, row, 0, xml FROM units
+""" + _VOUCHER_ROWS,
     "unreadable_cells": """
 WITH o AS (SELECT o_orderkey % 9 AS m, row_number() OVER () AS r FROM orders)
 SELECT r * 2 - 1 AS source_row, CASE WHEN m = 4 THEN 'value_not_allowed' ELSE 'bad_decimal' END AS code, 'error' AS severity,

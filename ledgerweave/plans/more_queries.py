@@ -16,6 +16,7 @@ from ledgerweave.plans import shapes
 from ledgerweave.plans.imports import import_vouchers
 from ledgerweave.sources import responses
 from ledgerweave.sources.delimited import read_delimited
+from ledgerweave.sources.envelopes import envelope_rows
 from ledgerweave.sources.shared_folder import ensure_checkpoint_dir
 
 S = SparkSession
@@ -82,13 +83,16 @@ def validate_suppliers(spark: S, d: str) -> DataFrame:
     return _found(validate(rows, "ledger", known_states=["Goa", "Kerala"]).errors)
 
 
-def emit_unit_xml(spark: S, d: str) -> DataFrame:
+def _unit_rows(spark: S, d: str) -> DataFrame:
     key = F.col("p_partkey")
-    rows = shapes.table(spark, d, "part").select(
+    return shapes.table(spark, d, "part").select(
         (key + 1).alias("source_row"), F.concat(F.lit("U<"), key.cast("string")).alias("name"), (key % 4).cast("string").alias("decimal_places"),
         F.when(key % 3 == 0, F.lit("Pcs")).alias("base_units"), F.when(key % 3 == 0, F.lit("Box")).alias("additional_units"),
         F.when(key % 3 == 0, F.concat((F.col("p_size") + 10).cast("string"), F.lit(".50"))).alias("conversion"))
-    return emit.master_fragments(masters.to_units(rows).data, "unit").select("row", "xml")
+
+
+def emit_unit_xml(spark: S, d: str) -> DataFrame:
+    return emit.master_fragments(masters.to_units(_unit_rows(spark, d)).data, "unit").select("row", "xml")
 
 
 def emit_group_xml(spark: S, d: str) -> DataFrame:
@@ -116,6 +120,13 @@ def voucher_envelope(spark: S, d: str) -> DataFrame:
     return import_vouchers(shapes.journal_rows(spark, d), "A & B").envelope.select("chunk", *POSITION, "xml")
 
 
+def unified_chunks(spark: S, d: str) -> DataFrame:
+    """Units and journals in envelopes of 200 vouchers in source order."""
+    built = vouchers.build_vouchers(shapes.journal_rows(spark, d), store=True)
+    units = masters.to_units(_unit_rows(spark, d)).data
+    return envelope_rows("A & B", {"unit": units}, (built.vouchers, built.lines), chunk=200)
+
+
 def _wild_rows(spark: S, d: str) -> DataFrame:
     """One invoice line per order and its party line; quantities, rates and taxes beyond what fits, and control characters."""
     orders, key, side = shapes.spread(shapes.numbered(spark, d, "orders")), F.col("o_orderkey"), F.col("side")
@@ -229,6 +240,6 @@ def trial_balance(spark: S, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     delimited_customers, delimited_encodings, validate_stock_items, validate_units, validate_suppliers, emit_unit_xml, emit_group_xml, emit_renamed_xml,
-    emit_invoice_xml, voucher_envelope, unreadable_cells, vouchers_beside_unreadable_cells, responses_with_cdata, profile_shares,
+    emit_invoice_xml, voucher_envelope, unified_chunks, unreadable_cells, vouchers_beside_unreadable_cells, responses_with_cdata, profile_shares,
     mapping_plan, mapping_stats, mapping_leftovers, hsn_enrichment, trial_balance,
 )}

@@ -15,8 +15,11 @@ from ledgerweave.operators.emit import (
     VOUCHER_SECTION,
     master_fragments,
     voucher_fragments,
+    voucher_place,
 )
 from ledgerweave.operators.groups import group_depths
+from ledgerweave.operators.joins import hot_safe_join
+from ledgerweave.sources.row_numbers import with_ordinal
 
 _LAST = 99
 
@@ -73,9 +76,9 @@ def envelope_rows(
 ) -> DataFrame:
     """All text rows of the envelopes, with `chunk` and the POSITION columns to sort by.
 
-    `chunk=None` gives one envelope. A number gives complete envelopes of about
-    that many vouchers; masters travel in the first one. Vouchers are numbered
-    by hashing into as many chunks as needed, so no global numbering is required.
+    `chunk=None` gives one envelope. A number gives complete envelopes of exactly that many vouchers in source order, the
+    last one of the rest; masters travel in the first one. The keys of the vouchers are then sorted and numbered when this is called
+    (`with_ordinal`); their texts are not. No vouchers give no voucher section.
     """
     parts = []
     section_open, filled = 0, []
@@ -88,10 +91,15 @@ def envelope_rows(
                   _frame_rows(some, 5, "", _CLOSE).filter("part > 0")]
     if vouchers:
         heads, lines = vouchers
-        chunks = 1 if chunk is None else max(1, -(-heads.count() // chunk))
-        number = F.pmod(F.xxhash64("voucher_key"), F.lit(chunks)).cast("int")
-        body = voucher_fragments(heads, lines).withColumn("chunk", number).drop("voucher_key")
-        numbers = heads.select(number.alias("chunk")).distinct()
+        if chunk is None:
+            heads, lines = (df.withColumn("chunk", F.lit(0)) for df in (heads, lines))
+            numbers = heads.select("chunk").distinct()
+        else:
+            keys = with_ordinal(heads.select("voucher_key", voucher_place(heads).alias("place")), ["place", "voucher_key"])
+            keys = keys.select("voucher_key", F.expr(f"cast(ordinal div {int(chunk)} as int)").alias("chunk"))
+            numbers = keys.select("chunk").distinct()
+            heads, lines = (hot_safe_join(df, keys, ["voucher_key"]) for df in (heads, lines))
+        body = voucher_fragments(heads, lines)
         filled.append(numbers)
         frame = _frame_rows(numbers, VOUCHER_SECTION, _open("Vouchers", company, None), _CLOSE)
         parts += [body, frame]
@@ -104,14 +112,19 @@ def envelope_rows(
     return body.unionByName(outer.select(*columns))
 
 
-def write_envelopes(rows: DataFrame, path: str) -> None:
-    """Write the rows as text, one folder per chunk, ordered within and across its part files.
+def write_envelopes(rows: DataFrame, path: str, folders: int = 1000) -> None:
+    """Write the rows as text, ordered within and across the part files of a folder.
 
-    The sort is a range partitioning over the full position, so a voucher with very
-    many lines spreads over several files. Line breaks fall between elements only.
+    Up to `folders` chunks have a folder each (`chunk=<number>`). More share them: a folder then holds a range of chunks in order,
+    each a complete envelope that begins on a line of its own, and is named after the first. The sort is a range partitioning over the full position,
+    so a voucher with very many lines spreads over several files. Line breaks fall between elements only.
     """
+    last = rows.filter("section = -1").agg(F.max("chunk")).first()[0]  # opening rows only, one per chunk
+    span = 1 if last is None else -(-(last + 1) // folders)
     (
-        rows.orderBy("chunk", *POSITION)
+        rows.withColumn("number", F.col("chunk"))
+        .withColumn("chunk", F.expr(f"cast(chunk - chunk % {span} as int)"))
+        .orderBy("chunk", "number", *POSITION)
         .select("chunk", F.col("xml").alias("value"))
         .write.partitionBy("chunk").text(path)
     )

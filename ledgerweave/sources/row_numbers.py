@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.sources.shared_folder import stored
+
 _POSITION_BITS = 33  # monotonically_increasing_id keeps the row inside its partition in the low 33 bits
 
 
@@ -52,6 +54,21 @@ def with_file_row(df: DataFrame, file: str, block: str, name: str = "source_row"
     return numbered.join(table, [file, block]).withColumn(name, F.col("_id") + F.col("_shift") + 1).drop("_id", "_shift", block)
 
 
+def with_ordinal(df: DataFrame, by: list[str], name: str = "ordinal") -> DataFrame:
+    """Number rows from 0 in the order of `by`, without one task that sees them all.
+
+    A range sort is written to the shared folder with the slice and the place of each row in it; a prefix sum over
+    slices, one row each, gives where a slice begins. The sort runs when this is called. Rows that tie in `by` are numbered
+    in any order.
+    """
+    slices = df.repartitionByRange(*by).sortWithinPartitions(*by).select(
+        "*", F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).alias("_at"))
+    slices = stored(slices)
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
+    starts = slices.groupBy("_slice").count().select("_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return slices.join(starts, "_slice").withColumn(name, F.col("_start") + F.col("_at")).drop("_slice", "_at", "_start")
+
+
 def read_parquet_numbered(spark: SparkSession, path: str, name: str = "source_row") -> DataFrame:
     """Read parquet with 1-based row numbers taken from the files' own row index.
 

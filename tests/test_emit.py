@@ -2,6 +2,8 @@ import os
 from decimal import Decimal
 from xml.etree import ElementTree
 
+from pyspark.sql import functions as F
+
 from ledgerweave import errors as E
 from ledgerweave.operators.emit import POSITION
 from ledgerweave.operators.masters import conversion_counts, convert_masters, to_groups, to_ledgers, to_stock_items, to_units
@@ -125,3 +127,42 @@ def test_conversion_errors(spark):
     }
     counts = conversion_counts(df, df.limit(0), result).first()
     assert (counts.generated, counts.held, counts.skipped, counts.errors, counts.ok) == (2, 0, 3, 6, True)
+
+
+def test_chunks_are_exact_and_in_order(spark, tmp_path):
+    rows = []
+    for n in range(23):
+        # numbers fall while rows rise, so the order by number, by key and by row differ
+        rows += [entry(f"V{90 - n}", "Cash", "100", "Dr"), entry(f"V{90 - n}", "Sales", "100", "Cr")]
+    built = build_vouchers(frame(spark, rows))
+    units = to_units(frame(spark, [dict(name="Nos")])).data
+    made = envelope_rows("T", {"unit": units}, (built.vouchers, built.lines), chunk=5)
+    folder = str(tmp_path / "ranges")
+    write_envelopes(made, folder, folders=2)
+    names = sorted(d for d in os.listdir(folder) if d.startswith("chunk="))
+    assert names == ["chunk=0", "chunk=3"]
+    found = []
+    for name in names:
+        parts = sorted(f for f in os.listdir(f"{folder}/{name}") if f.startswith("part"))
+        whole = "".join(open(f"{folder}/{name}/{f}", encoding="utf-8").read() for f in parts)
+        found += [ElementTree.fromstring(f"<ENVELOPE>{t}") for t in whole.split("<ENVELOPE>")[1:]]
+    assert [[v.findtext("VOUCHERNUMBER") for v in e.iter("VOUCHER")] for e in found] == [
+        [f"V{90 - n}" for n in range(first, min(first + 5, 23))] for first in range(0, 23, 5)]
+    assert [[u.get("NAME") for u in e.iter("UNIT")] for e in found] == [["Nos"], [], [], [], []]
+    assert all(len(v.findall("ALLLEDGERENTRIES.LIST")) == 2 for e in found for v in e.iter("VOUCHER"))
+    nothing = envelope_rows("T", None, (built.vouchers.limit(0), built.lines.limit(0)), chunk=5)
+    assert nothing.count() == 0
+    write_envelopes(nothing, str(tmp_path / "none"))
+
+
+def test_vouchers_of_several_uploads_do_not_mix(spark):
+    rows = [entry(n, ledger, "10", side) for n in "12" for ledger, side in (("Cash", "Dr"), ("Sales", "Cr"))]
+    one = frame(spark, rows)
+    both = one.withColumn("upload", F.lit("b")).unionByName(one.withColumn("upload", F.lit("a")))
+    built = build_vouchers(both)
+    found = []
+    chunks = envelope_rows("T", None, (built.vouchers, built.lines), chunk=3).orderBy("chunk", *POSITION).collect()
+    for number in (0, 1):
+        root = ElementTree.fromstring("".join(r.xml for r in chunks if r.chunk == number))
+        found.append([(v.findtext("VOUCHERNUMBER"), len(v.findall("ALLLEDGERENTRIES.LIST"))) for v in root.iter("VOUCHER")])
+    assert found == [[("1", 2), ("2", 2), ("1", 2)], [("2", 2)]]

@@ -19,7 +19,7 @@ CHECKED = [
     "coerce_dates", "profile_customer", "best_template", "upsert_templates", "validate_ledgers", "resolve_customers",
     "ordered_groups", "convert_ledgers", "emit_stock_item_xml", "parse_responses", "stage_records", "did_you_mean", "resolve_summary",
     "delimited_customers", "delimited_encodings", "validate_stock_items", "validate_units", "validate_suppliers", "emit_unit_xml", "emit_group_xml", "emit_renamed_xml",
-    "emit_invoice_xml", "voucher_envelope", "unreadable_cells", "vouchers_beside_unreadable_cells", "responses_with_cdata", "profile_shares",
+    "emit_invoice_xml", "voucher_envelope", "unified_chunks", "unreadable_cells", "vouchers_beside_unreadable_cells", "responses_with_cdata", "profile_shares",
     "suggest_mapping", "overlay_template", "mapping_plan", "mapping_stats", "mapping_leftovers", "hsn_enrichment", "trial_balance",
 ]
 
