@@ -2,9 +2,12 @@
 
 The work is done on distinct (name, parent) keys, not on rows, so copies of a
 name cost nothing. Candidates share a block (name prefix or sound code). A block
-may hold a third of all names, so blocks are cut into tiles of bounded size; a
-task scores one tile at a time as arrays and passes on at most three candidates
-per incoming key. No pair list is ever emitted, and every pair is still scored.
+may hold nearly all names, so the existing keys of a block are dealt to tiles by
+their letters (names with the same letters stand together). An incoming key first
+meets the tile with the most alike letters; the third score found there is a
+floor. It then meets only the tiles in which some set of letters can still reach
+the floor: what two names share is bounded by their letters. The best three are
+those of scoring every pair in the block. No pair list is ever emitted.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from ledgerweave.functions.similarity import code_points, jaro_winkler_codes, metaphone
 from ledgerweave.functions.text import norm_or_empty
 from ledgerweave.operators.joins import hot_safe_join
+from ledgerweave.sources.shared_folder import stored
 
 # Weights and thresholds of the match score.
 W_EXACT, W_SIMILAR, W_PARENT = 0.60, 0.30, 0.10
@@ -26,12 +30,15 @@ MATCH, CONFLICT, NAME_CONFLICT, AMBIGUOUS_GAP = 0.95, 0.85, 0.90, 0.05
 TOP = 3
 PREFIX = 4
 
-_TILE = 2048  # incoming keys, and existing keys, of one tile
+_TILE = 2048  # existing keys of one tile; a tile with more incoming keys than that is copied for each so many
+_SETS = 4096  # sets of letters that are compared with so many others at once
+_LARGE = 50_000  # a tile with more pairs goes by sets of letters first
 _PAIRS = 200_000  # pairs scored in one array operation
 _PROBES = 8  # pairs per incoming key that set the score to beat
 _LETTERS = 64  # classes of letters in the bound
 _DIGITS = 10  # scores are compared to this many digits, so float noise cannot order them
 
+_KEY = ["in_name", "in_parent"]
 _PAIR_SCHEMA = "in_name string, in_parent string, ex_name string, ex_parent string, jw double, score double, ex_first long"
 
 
@@ -70,35 +77,112 @@ def _existing_keys(existing: DataFrame) -> DataFrame:
     )
 
 
-def _tiles(inc: DataFrame, ex: DataFrame, kinds) -> DataFrame:
-    """Both sides placed into tiles: block, tile row, tile column, side, key."""
-    left = inc.select("name", "parent", F.explode(block_keys(F.col("name"), kinds)).alias("block"))
-    right = ex.select("name", "parent", "ex_first", F.explode(block_keys(F.col("name"), kinds)).alias("block"))
-    # only blocks that exceed one tile need splitting: their number is bounded by keys / _TILE
-    sizes = (
-        left.select("block", F.lit(1).alias("i"), F.lit(0).alias("e"))
-        .unionByName(right.select("block", F.lit(0).alias("i"), F.lit(1).alias("e")))
-        .groupBy("block")
-        .agg(F.sum("i").alias("i"), F.sum("e").alias("e"))
-    )
-    cut = lambda c: F.ceil(F.col(c) / _TILE).cast("int")
-    big = sizes.filter((F.col("i") > _TILE) | (F.col("e") > _TILE)).select(
-        "block", F.greatest(cut("i"), F.lit(1)).alias("rows"), F.greatest(cut("e"), F.lit(1)).alias("cols")
-    )
+def _letters_of(name: Column) -> Column:
+    """The characters of a name in order: equal for names with the same letters."""
+    return F.array_join(F.array_sort(F.split(name, "")), "")
+
+
+def _in_blocks(keys: DataFrame, kinds, *more: str) -> DataFrame:
+    placed = keys.select("name", "parent", *more, F.explode(block_keys(F.col("name"), kinds)).alias("block"))
+    return placed.withColumns({"letters": _letters_of(F.col("name")), "size": F.length("name")})
 
-    def placed(side: DataFrame, tag: int) -> DataFrame:
-        # a big block is rare but holds many keys: the broadcast or the skew split of adaptive execution serves both
-        sized = hot_safe_join(side, big, ["block"], "left")
-        rows, cols = F.coalesce("rows", F.lit(1)), F.coalesce("cols", F.lit(1))
-        spot = F.pmod(F.xxhash64("name", "parent"), rows if tag else cols).cast("int")
-        other = F.explode(F.sequence(F.lit(0), (cols if tag else rows) - 1))
-        first = F.lit(None).cast("long") if tag else F.col("ex_first")
-        return sized.select(
-            "block", (spot if tag else other).alias("r"), (other if tag else spot).alias("c"),
-            F.lit(tag).alias("side"), "name", "parent", first.alias("ex_first"),
-        )
 
-    return placed(left, 1).unionByName(placed(right, 0))
+def _dealt(right: DataFrame) -> DataFrame:
+    """Existing keys with their tile `c`, and whether their block has `several`.
+
+    Names with the same letters go to one tile; if they exceed it, to several.
+    """
+    sets = right.groupBy("block", "letters", "size").agg(F.count("*").alias("alike"))
+    big = sets.groupBy("block").agg(F.sum("alike").alias("e")).filter(F.col("e") > _TILE)
+    # a big block is rare but holds many keys: the broadcast or the skew split of adaptive execution serves both
+    sized = hot_safe_join(right, big, ["block"], "left")
+    sized = hot_safe_join(sized, sets.filter(F.col("alike") > _TILE), ["block", "letters", "size"], "left")
+    deal = F.pmod(F.xxhash64("letters", "size"), F.ceil(F.col("e") / _TILE))
+    part = F.pmod(F.xxhash64("name", "parent"), F.coalesce(F.ceil(F.col("alike") / _TILE), F.lit(1)))
+    tile = F.when(F.col("e").isNull(), F.lit(0)).otherwise(F.shiftleft(deal, 24).bitwiseOR(part)).cast("long")
+    return sized.select("block", "letters", "size", tile.alias("c"), F.col("e").isNotNull().alias("several"), "name", "parent", "ex_first")
+
+
+def _routed(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """block, letters, size, c, bound: tiles for each set of letters of incoming names, and the best score but for the parent in them.
+
+    wanted: block, letters, size, floor. Without a floor it is the tile with the highest bound; else all tiles that reach it.
+    """
+    counts = [side.groupBy("block").agg(F.ceil(F.count("*") / _SETS).alias(name)) for side, name in ((wanted, "rows"), (sets, "cols"))]
+    shape = hot_safe_join(counts[0], counts[1], ["block"])
+    cell = F.xxhash64("letters", "size")
+    left = hot_safe_join(wanted, shape, ["block"]).withColumns(
+        {"r": F.pmod(cell, F.col("rows")), "g": F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1))})
+    right = hot_safe_join(sets, shape, ["block"]).withColumns(
+        {"g": F.pmod(cell, F.col("cols")), "r": F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))})
+    cut = ["block", "r", "g"]
+    left, right = left.select(*cut, "letters", "size", "floor"), right.select(*cut, "letters", "size", "c")
+    schema = "block string, letters string, size int, c long, bound double"
+    return left.groupBy(*cut).cogroup(right.groupBy(*cut)).applyInPandas(_route, schema=schema)
+
+
+def _route(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Bounds of all sets of letters of one side with those of the other."""
+    names = ["block", "letters", "size", "c", "bound"]
+    if not len(left) or not len(right):
+        return pd.DataFrame({n: [] for n in names})
+    right = right.sort_values("c", kind="stable")
+    codes, lengths = code_points([*left["letters"], *right["letters"]])
+    counts, n = _letter_counts(codes, lengths), len(left)
+    size = np.concatenate([left["size"].to_numpy(), right["size"].to_numpy()]).astype(np.int64)
+    same = pd.factorize(np.concatenate([left["letters"].to_numpy(), right["letters"].to_numpy()]))[0]
+    tiles, first = np.unique(right["c"].to_numpy(), return_index=True)
+    floor = left["floor"].to_numpy(dtype=np.float64)
+    out = []
+    for low in range(0, n, 256):
+        some = slice(low, min(low + 256, n))
+        bound = W_SIMILAR * _set_bounds(counts[some], size[some], counts[n:], size[n:])
+        bound += W_EXACT * (same[some][:, None] == same[None, n:])
+        best = np.maximum.reduceat(bound, first, axis=1)
+        ask = floor[some]
+        take = best + W_PARENT >= ask[:, None]
+        top = best.argmax(axis=1)
+        new = np.isnan(ask)
+        take[new] = False
+        take[new, top[new]] = True
+        a, b = np.nonzero(take)
+        out.append((a + low, tiles[b], best[a, b]))
+    a, c, bound = (np.concatenate(part) for part in zip(*out))
+    return pd.DataFrame({**{name: left[name].to_numpy()[a] for name in names[:3]}, "c": c, "bound": bound})
+
+
+def _set_bounds(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler from above for every row of a with every row of b: names share no more than their letters."""
+    shared = np.zeros((len(a), len(b)), dtype=np.int32)
+    for letter in range(a.shape[1]):
+        if a[:, letter].any() and b[:, letter].any():
+            shared += np.minimum(a[:, letter, None], b[None, :, letter])
+    la, lb = la[:, None].astype(np.float64), lb[None, :].astype(np.float64)
+    shared = np.minimum(shared, np.minimum(la, lb))
+    jaro = np.where(shared > 0, (shared / la + shared / lb + 1.0) / 3.0, 0.0)
+    return np.where(jaro > 0.7, jaro + 0.1 * PREFIX * (1.0 - jaro), jaro) + 1e-9
+
+
+def _scored(keys: DataFrame, members: DataFrame) -> DataFrame:
+    """The best three of each tile for each of its incoming keys.
+
+    keys: block, c, name, parent, floor. members: block, c, name, parent, ex_first.
+    """
+    crowds = keys.groupBy("block", "c").agg(F.ceil(F.count("*") / _TILE).alias("rows")).filter(F.col("rows") > 1)
+    rows = F.coalesce("rows", F.lit(1).cast("long"))
+    cut = ["block", "c"]
+    left = hot_safe_join(keys, crowds, cut, "left").select(
+        *cut, F.pmod(F.xxhash64("name", "parent"), rows).alias("r"), F.lit(1).alias("side"), "name", "parent",
+        F.lit(None).cast("long").alias("ex_first"), "floor")
+    met = hot_safe_join(members, keys.select(*cut).distinct(), cut)
+    right = hot_safe_join(met, crowds, cut, "left").select(
+        *cut, F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("r"), F.lit(0).alias("side"), "name", "parent",
+        "ex_first", F.lit(None).cast("double").alias("floor"))
+    # a fixed number keeps adaptive execution from merging tasks by their bytes: tiles are small but costly
+    spark = keys.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    ordered = left.unionByName(right).repartition(tasks, "block", "r", "c").sortWithinPartitions("block", "r", "c", "side")
+    return ordered.mapInPandas(_score_tiles, schema=_PAIR_SCHEMA)
 
 
 def _score_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,6 +251,15 @@ def _score(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Score all tiles in `data`: existing keys (side 0) come before incoming keys (side 1) in each tile."""
     tile = data.groupby(["block", "r", "c"], sort=False).ngroup().to_numpy()
     side = data["side"].to_numpy()
+    most = np.bincount(tile[side == 0], minlength=tile.max() + 1) * np.bincount(tile[side == 1], minlength=tile.max() + 1)
+    if (most > _LARGE).any():
+        for large in np.flatnonzero(most > _LARGE):
+            low, high = np.searchsorted(tile, [large, large + 1])
+            yield from _score_large(data.iloc[low:high])
+        data = data[most[tile] <= _LARGE].reset_index(drop=True)
+        if len(data):
+            yield from _score(data)
+        return
     names, parents = data["name"].to_numpy(), data["parent"].to_numpy()
     firsts = data["ex_first"].to_numpy()
     sound = data["block"].str.startswith("m:").to_numpy()
@@ -203,28 +296,189 @@ def _score(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
         left, right, fixed = left[need], right[need], fixed[need]
         jw = jaro_winkler_codes(codes[left], lengths[left], codes[right], lengths[right])
         score = np.round(fixed + W_SIMILAR * jw, _DIGITS)
-        order = np.lexsort((firsts[right], -score, left))
-        left, right, jw, score = left[order], right[order], jw[order], score[order]
-        keep = _rank_in_runs(left) < TOP
-        left, right = left[keep], right[keep]
-        yield pd.DataFrame(
-            {
-                "in_name": names[left], "in_parent": parents[left], "ex_name": names[right], "ex_parent": parents[right],
-                "jw": jw[keep], "score": score[keep], "ex_first": firsts[right].astype(np.int64),
-            }
+        yield _best(left, right, jw, score, names, parents, firsts)
+
+
+def _best(left, right, jw, score, names, parents, firsts) -> pd.DataFrame:
+    """The best three pairs of each incoming key."""
+    order = np.lexsort((firsts[right], -score, left))
+    left, right, jw, score = left[order], right[order], jw[order], score[order]
+    keep = _rank_in_runs(left) < TOP
+    left, right = left[keep], right[keep]
+    return pd.DataFrame(
+        {
+            "in_name": names[left], "in_parent": parents[left], "ex_name": names[right], "ex_parent": parents[right],
+            "jw": jw[keep], "score": score[keep], "ex_first": firsts[right].astype(np.int64),
+        }
+    )
+
+
+def _score_large(data: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Score one tile: keys meet the sets of letters that can reach their floor, and in those the names that can.
+
+    A key without a floor takes the third score among a few names with the most alike letters.
+    """
+    names, parents = data["name"].to_numpy(), data["parent"].to_numpy()
+    firsts, floors = data["ex_first"].to_numpy(), data["floor"].to_numpy(dtype=np.float64)
+    sound = bool(data["block"].iloc[0].startswith("m:"))
+    side = data["side"].to_numpy()
+    codes, lengths = code_points(names)
+    counts = _letter_counts(codes, lengths)
+    k = min(PREFIX, codes.shape[1])
+    name_ids, parent_ids = (pd.factorize(v)[0].astype(np.int64) for v in (names, parents))
+    has_parent = parents != ""
+    rows = np.ascontiguousarray(np.column_stack([lengths.astype(np.uint16), counts.astype(np.uint16)]))
+    _, first, sets = np.unique(rows.view(f"V{rows.shape[1] * 2}").ravel(), return_index=True, return_inverse=True)
+    ex, inc = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    ex_sets, in_sets = np.unique(sets[ex]), np.unique(sets[inc])
+    # existing keys by set, then parent: a set, and a parent in a set, is a range; so is a name in the order by name
+    span = int(parent_ids.max()) + 1
+    place = np.searchsorted(ex_sets, sets[ex]) * span + parent_ids[ex]
+    by_set = ex[np.argsort(place, kind="stable")]
+    place = np.sort(place)
+    by_name = ex[np.argsort(name_ids[ex], kind="stable")]
+
+    def ranges(order: np.ndarray, values: np.ndarray, low: np.ndarray, high: np.ndarray, keys: np.ndarray):
+        """(key, existing) pairs of the ranges [low, high) of sorted values, in pieces of bounded size."""
+        begin, end = np.searchsorted(values, low), np.searchsorted(values, high)
+        n = end - begin
+        done = 0
+        total = np.cumsum(n)
+        while done < len(keys):
+            spent = total[done - 1] if done else 0
+            stop = max(done + 1, int(np.searchsorted(total, spent + _PAIRS, side="right")))
+            m = n[done:stop]
+            left = np.repeat(keys[done:stop], m)
+            right = order[np.repeat(begin[done:stop] - np.cumsum(m) + m, m) + np.arange(len(left))]
+            done = stop
+            if sound:  # a pair that shares its prefix is scored in the prefix block
+                fresh = ~(codes[left, :k] == codes[right, :k]).all(axis=1)
+                left, right = left[fresh], right[fresh]
+            if len(left):
+                yield left, right
+
+    def fixed(left, right):
+        same = name_ids[left] == name_ids[right]
+        return W_EXACT * same + W_PARENT * ((parent_ids[left] == parent_ids[right]) & has_parent[left])
+
+    def scores(left, right):
+        jw = jaro_winkler_codes(codes[left], lengths[left], codes[right], lengths[right])
+        return jw, np.round(fixed(left, right) + W_SIMILAR * jw, _DIGITS)
+
+    best_of: list[pd.DataFrame] = []
+    step = max(1, 2_000_000 // max(1, len(ex_sets)))
+    at = np.searchsorted(in_sets, sets[inc])
+    inc, at = inc[np.argsort(at, kind="stable")], np.sort(at)
+    for low in range(0, len(in_sets), step):
+        some = in_sets[low : low + step]
+        bound = W_SIMILAR * _set_bounds(counts[first[some]], lengths[first[some]], counts[first[ex_sets]], lengths[first[ex_sets]])
+        begin, end = np.searchsorted(at, [low, low + len(some)])
+        keys, own = inc[begin:end], at[begin:end] - low
+        floor = floors[keys]
+        ask = np.flatnonzero(np.isnan(floor))
+        floor[ask] = -1.0
+        if len(ask):
+            top = bound.argmax(axis=1)[own[ask]]
+            spot = top * span + parent_ids[keys[ask]]
+            enough = has_parent[keys[ask]] & (np.searchsorted(place, spot + 1) - np.searchsorted(place, spot) > TOP)
+            few = min(_PROBES, len(ex_sets))
+            nearest = np.argpartition(-bound, few - 1, axis=1)[:, :few]
+            wide = ask[~enough]
+            spots = nearest[own[wide]].ravel()
+            probes = (
+                ranges(by_set, place, spot[enough], spot[enough] + 1, keys[ask[enough]]),
+                ranges(by_set, place, spots * span, (spots + 1) * span, np.repeat(keys[wide], few)),
+            )
+            found = np.full(len(names), -1.0)
+            for pieces in probes:
+                for left, right in pieces:
+                    bounds = _pair_bounds(left, right, fixed(left, right), codes, lengths, counts)
+                    best, third = _probe(left, right, bounds, scores)
+                    found[best] = np.maximum(found[best], third)
+            floor[ask] = found[keys[ask]]
+        # the parent counts for what has it, the name for what has it; all else needs the letters alone
+        wide_a, wide_b = np.nonzero(bound[own] >= floor[:, None])
+        near_a, near_b = np.nonzero((bound[own] + W_PARENT >= floor[:, None]) & has_parent[keys][:, None])
+        floor_of = np.full(len(names), -1.0)
+        floor_of[keys] = floor
+        spots = near_b * span + parent_ids[keys[near_a]]
+        parts = (
+            ("name", ranges(by_name, name_ids[by_name], name_ids[keys], name_ids[keys] + 1, keys)),
+            ("parent", ranges(by_set, place, spots, spots + 1, keys[near_a])),
+            ("letters", ranges(by_set, place, wide_b * span, (wide_b + 1) * span, keys[wide_a])),
         )
+        for part, pieces in parts:
+            for left, right in pieces:
+                if part != "name":
+                    new = name_ids[left] != name_ids[right]
+                    if part == "letters":
+                        new &= (parent_ids[left] != parent_ids[right]) | ~has_parent[left]
+                    left, right = left[new], right[new]
+                need = _pair_bounds(left, right, fixed(left, right), codes, lengths, counts) >= floor_of[left]
+                left, right = left[need], right[need]
+                if len(left):
+                    jw, score = scores(left, right)
+                    best_of.append(_best(left, right, jw, score, names, parents, firsts))
+                    if len(best_of) > 64:
+                        best_of = [pd.concat(best_of, ignore_index=True)]
+    if best_of:
+        made = pd.concat(best_of, ignore_index=True).sort_values(["score", "ex_first"], ascending=[False, True], kind="stable")
+        yield made[made.groupby(_KEY, sort=False).cumcount() < TOP].reset_index(drop=True)
+
+
+def _pair_bounds(left, right, fixed, codes, lengths, letters) -> np.ndarray:
+    """Scores from above. With the same letters, either all characters match in their order, or one at least does not match."""
+    la, lb = lengths[left].astype(np.float64), lengths[right].astype(np.float64)
+    shared = np.minimum(letters[left], letters[right]).sum(axis=1, dtype=np.int32).astype(np.float64)
+    shared = np.minimum(shared, np.minimum(la, lb))
+    whole = (la == lb) & (shared == la)
+    moved = (codes[left] != codes[right]).sum(axis=1) // 2
+    jaro = np.where(shared > 0, (shared / la + shared / lb + 1.0) / 3.0, 0.0)
+    jaro = np.where(whole, (2.0 + np.maximum((la - moved) / la, 1.0 - 2.0 / la)) / 3.0, jaro)
+    return fixed + W_SIMILAR * np.where(jaro > 0.7, jaro + 0.1 * PREFIX * (1.0 - jaro), jaro) + 1e-9
+
+
+def _probe(left, right, bound, scores) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the third score among the pairs of a key with the highest bounds."""
+    order = np.lexsort((-bound, left))
+    order = order[_rank_in_runs(left[order]) < _PROBES]
+    left, right = left[order], right[order]
+    score = scores(left, right)[1]
+    order = np.lexsort((-score, left))
+    third = order[_rank_in_runs(left[order]) == TOP - 1]
+    return left[third], score[third]
 
 
 def _top_rows(inc: DataFrame, ex: DataFrame, kinds) -> DataFrame:
     """Best three existing rows per incoming key, ranked by (score desc, row id)."""
     if set(kinds) == {"sound"}:
         raise ValueError("The sound block extends the prefix block; ask for both or for the prefix alone.")
-    tiles = _tiles(inc, ex, kinds)
-    # a fixed number keeps adaptive execution from merging tasks by their bytes: tiles are small but costly
-    spark = inc.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    ordered = tiles.repartition(tasks, "block", "r", "c").sortWithinPartitions("block", "r", "c", "side")
-    pairs = ordered.mapInPandas(_score_tiles, schema=_PAIR_SCHEMA)
+    left = stored(_in_blocks(inc, kinds))
+    right = stored(_dealt(_in_blocks(ex, kinds, "ex_first")))
+    # only blocks of several tiles need to know which; all keys of another block have one
+    several = right.filter("several").select("block").distinct()
+    sets = right.filter("several").select("block", "letters", "size", "c").distinct()
+    by_set = ["block", "letters", "size"]
+    placed = hot_safe_join(left, several.withColumn("several", F.lit(True)), ["block"], "left")
+    wanted = placed.filter("several").select(*by_set, F.lit(None).cast("double").alias("floor")).distinct()
+    best = F.max(F.struct("bound", -F.col("c")))
+    nearest = _routed(wanted, sets).groupBy(*by_set).agg((-best["col2"]).alias("c"))
+    unknown = F.lit(None).cast("double").alias("floor")
+    one = placed.filter("several is null").select("block", F.lit(0).cast("long").alias("c"), "name", "parent", unknown)
+    first = stored(hot_safe_join(placed.filter("several"), nearest, by_set).select("block", "letters", "size", "c", "name", "parent"))
+    members = right.select("block", "c", "name", "parent", "ex_first")
+    pairs = stored(_scored(one.unionByName(first.select("block", "c", "name", "parent", unknown)), members))
+    # the third score of a key over all its blocks; then the other tiles of its blocks that can reach it
+    order = Window.partitionBy(*_KEY).orderBy(F.desc("score"), "ex_first")
+    floors = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == TOP).select(
+        F.col("in_name").alias("name"), F.col("in_parent").alias("parent"), F.col("score").alias("floor"))
+    open_keys = stored(hot_safe_join(first, floors, ["name", "parent"], "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0))))
+    more = _routed(open_keys.groupBy(*by_set).agg(F.min("floor").alias("floor")), sets)
+    more = more.groupBy(*by_set, "c").agg(F.max("bound").alias("bound"))
+    again = hot_safe_join(open_keys.withColumnRenamed("c", "done"), more, by_set).filter(
+        (F.col("c") != F.col("done")) & (F.col("bound") + W_PARENT >= F.col("floor")))
+    rest = _scored(stored(again.select("block", "c", "name", "parent", "floor")), members)
+    pairs = pairs.unionByName(rest)
     by_key = Window.partitionBy("in_name", "in_parent").orderBy(F.desc("score"), "ex_first")
     keys = pairs.withColumn("key_rank", F.row_number().over(by_key)).filter(F.col("key_rank") <= TOP)
     ids = ex.select(F.col("name").alias("ex_name"), F.col("parent").alias("ex_parent"), "ex_ids")

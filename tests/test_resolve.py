@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+
 from ledgerweave.functions import similarity as sim
 from ledgerweave.functions.text import norm
 from ledgerweave.operators import resolve as R
@@ -80,6 +83,26 @@ def test_tiles_match_brute_force(spark, monkeypatch):
         assert row.decision == expected
 
 
+def test_large_tile_ranks_few_pairs(monkeypatch):
+    """Names that differ in a few digits: the best three of every key are those of all pairs, yet few pairs are made."""
+    rng = random.Random(3)
+    members = [(f"customer#{i:09d}", "pqrst"[rng.randrange(5)], i) for i in rng.sample(range(10000), 1500)]
+    keys = [(n if i % 2 else n[:4] + n[5:], p) for n, p, i in members[:300]] + [("customers", ""), ("custom", "p")]
+    row = lambda side, name, parent, first: ("p:cust", 0, 0, side, name, parent, first, np.nan)
+    data = pd.DataFrame([row(0, *m) for m in members] + [row(1, *k, None) for k in keys],
+                        columns=["block", "c", "r", "side", "name", "parent", "ex_first", "floor"])
+    done = []
+    plain = R._rank_in_runs
+    monkeypatch.setattr(R, "_rank_in_runs", lambda values: done.append(len(values)) or plain(values))
+    got = pd.concat(R._score_tiles(iter([data])))
+    best = {k: sorted(zip(-g["score"], g["ex_first"])) for k, g in got.groupby(["in_name", "in_parent"])}
+    assert len(best) == len(set(keys)) and sum(done) < 0.25 * len(keys) * len(members), sum(done)
+    for name, parent in keys:
+        jw = sim.jaro_winkler([name] * len(members), [m[0] for m in members])
+        every = sorted((-round(0.6 * (name == n) + 0.1 * (parent == p and p != "") + 0.3 * float(x), 10), i) for x, (n, p, i) in zip(jw, members))
+        assert [i for _, i in best[name, parent]] == [i for _, i in every[:3]]
+
+
 def test_apply(spark):
     incoming = frame(spark, [dict(name="cash", parent="x"), dict(name="HDFC Bnk", parent="y"), dict(name="New", parent="z")])
     marks = R.resolve(incoming, masters(spark, EXISTING))
