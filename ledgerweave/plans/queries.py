@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import errors as E
 from ledgerweave import functions as fn
+from ledgerweave.functions.gst import same_state
 from ledgerweave.operators import emit, mapping, masters, resolve, rollups, templates, vouchers
 from ledgerweave.operators.groups import cyclic_groups, order_groups
 from ledgerweave.operators.profile import profile
@@ -43,12 +44,13 @@ def _errors(df: DataFrame) -> DataFrame:
 
 
 # --- vouchers -----------------------------------------------------------------------------------
-def _sales(spark: S, d: str) -> vouchers.VoucherResult:
-    return vouchers.build_vouchers(shapes.sale_lines(spark, d))
+def _sales(spark: S, d: str, store: bool = False) -> vouchers.VoucherResult:
+    """With `store`, the line items are joined and parsed once for headers and lines."""
+    return vouchers.build_vouchers(shapes.sale_lines(spark, d), store=store, store_issues=False)
 
 
 def voucher_lines_gst(spark: S, d: str) -> DataFrame:
-    return _lines(_sales(spark, d).lines)
+    return _lines(_sales(spark, d, store=True).lines)
 
 
 def voucher_headers(spark: S, d: str) -> DataFrame:
@@ -60,14 +62,14 @@ def refunds_credit_notes(spark: S, d: str) -> DataFrame:
 
 
 def b2c_daily(spark: S, d: str) -> DataFrame:
-    built = _sales(spark, d)
+    built = _sales(spark, d, store=True)
     _, lines = rollups.b2c_daily(built.vouchers, built.lines)
     summary = lines.filter(F.col("voucher_key").startswith("b2c-"))
     return summary.select("voucher_key", _day("date"), "ledger_name", "is_debit", _money("amount"))
 
 
 def b2c_daily_headers(spark: S, d: str) -> DataFrame:
-    built = _sales(spark, d)
+    built = _sales(spark, d, store=True)
     heads, _ = rollups.b2c_daily(built.vouchers, built.lines)
     return heads.select("voucher_key", "reference", "voucher_type", _day("date"), "party_ledger", "n_lines", _money("debit_total"))
 
@@ -78,7 +80,7 @@ def control_totals(spark: S, d: str) -> DataFrame:
 
 
 def preview_100(spark: S, d: str) -> DataFrame:
-    built = _sales(spark, d)
+    built = _sales(spark, d, store=True)
     shown = rollups.preview(built.vouchers, built.lines, 100)
     return shown.select("reference", _day("date"), "voucher_type", "party_ledger", _money("debit_total"), _money("credit_total"),
                         "section", "source_row", "seq", "ledger_name", "dr_cr", _money("amount"))
@@ -167,7 +169,7 @@ def gst_components(spark: S, d: str) -> DataFrame:
         "buyer": F.when(F.col("l_partkey") % 2 == 0, fn.state_of_gstin(F.concat(code, F.lit("ABCDE1234F1Z5")))).otherwise(code),
         "home": F.when(F.col("l_partkey") % 3 == 0, F.lit("MH")).otherwise(F.lit("  maharashtra ")),
     }).withColumns({"buyer": fn.norm_state("buyer"), "home": fn.norm_state("home")})
-    split = fn.gst_split(shapes.money("l_extendedprice"), F.col("l_tax").cast("decimal(6,2)") * 100, fn.is_intra("buyer", "home"))
+    split = fn.gst_split(shapes.money("l_extendedprice"), F.col("l_tax").cast("decimal(6,2)") * 100, same_state(F.col("buyer"), F.col("home")))
     return lines.withColumn("g", split).groupBy("buyer", "home", F.col("g.intra").alias("intra")).agg(
         F.count("*").alias("n"), F.sum("g.taxable").cast("double").alias("taxable"), F.sum("g.cgst").cast("double").alias("cgst"),
         F.sum("g.sgst").cast("double").alias("sgst"), F.sum("g.igst").cast("double").alias("igst"),
@@ -382,7 +384,7 @@ def emit_stock_item_xml(spark: S, d: str) -> DataFrame:
 
 
 def emit_voucher_xml(spark: S, d: str) -> DataFrame:
-    built = _sales(spark, d)
+    built = _sales(spark, d, store=True)
     rows = emit.voucher_fragments(built.vouchers, built.lines)
     return rows.select("voucher_key", "part", "row", "seq", "xml")
 

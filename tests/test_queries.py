@@ -10,6 +10,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import TABLES, compare
+from ledgerweave.functions.gst import STATE_BY_CODE, norm_state
 from ledgerweave.functions.similarity import weighted_ratio
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +73,22 @@ def test_did_you_mean_against_brute_force(spark):
             expected[value] = min(k for k in known if weighted_ratio(value, k) == best)
     got = {r.value: r.suggestion for r in queries()["did_you_mean"](spark, SF).collect()}
     assert got == expected
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["voucher_lines_gst", "b2c_daily", "b2c_daily_headers", "preview_100", "emit_voucher_xml", "emit_invoice_xml"])
+def test_line_items_are_parsed_once(spark, name):
+    """Headers and lines read stored rows: nothing of the plan goes back to the line items."""
+    assert not [f for f in queries()[name](spark, SF).inputFiles() if "lineitem" in f]
+
+
+@needs_data
+def test_states_are_looked_up_once(spark):
+    """A state in canonical form is not normalized again, and names come from a list rather than from title case."""
+    plan = queries()["gst_components"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "initcap" not in plan.lower() and all(norm_states(spark)[s.lower()] == s for s in STATE_BY_CODE)
+
+
+def norm_states(spark):
+    cells = spark.createDataFrame([(s.lower(),) for s in STATE_BY_CODE], "t string")
+    return {r.t: r.s for r in cells.select("t", norm_state("t").alias("s")).collect()}
