@@ -325,11 +325,15 @@ def _not_excluded(index: DataFrame, items: Items, least: np.ndarray) -> DataFram
     return index.mapInArrow(run, "row_id long, row_hash long, wanted binary").dropDuplicates(["row_id", "row_hash"])
 
 
-def _scored(docs: DataFrame, wanted: DataFrame, items: Items, least: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(item, doc_id, row_id, score) of wanted items and documents with at least the threshold, on whole texts."""
+def _scored(docs: DataFrame, wanted: DataFrame, items: Items, least: np.ndarray, id_col: str, text_col: str, few: bool = False) -> DataFrame:
+    """(item, doc_id, row_id, score) of wanted items and documents with at least the threshold, on whole texts.
+
+    `few` says that the number of items bounds the wanted rows, whatever the number of documents.
+    """
     wanted = stored(wanted)
     rows, keys = rows_of(docs, id_col, text_col), ["row_id", "row_hash"]
-    joined = rows.join(F.broadcast(wanted), keys) if wanted.count() <= SENT else hot_safe_join(rows, wanted, keys)
+    # one way for all sizes: a broadcast that gives way to a shuffle of texts would make disk jump as tables grow
+    joined = rows.join(F.broadcast(wanted), keys) if few else hot_safe_join(rows, wanted.hint("merge"), keys)
     sent = _sent(docs, items=vars(items), least=least)
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -369,7 +373,7 @@ def search_block(items: Items, docs: DataFrame, index: DataFrame, top: int = TOP
     first = _highest(index, items, top).groupBy("row_id", "row_hash").agg(F.collect_set("item").alias("listed"))
     # all items of the documents taken are scored; more scores only raise the threshold
     everyone = F.lit(np.packbits(np.ones(every, dtype=bool), bitorder="little").tobytes())
-    tried = _best(_scored(docs, first.select("row_id", "row_hash", everyone.alias("wanted")), items, least, id_col, text_col), top)
+    tried = _best(_scored(docs, first.select("row_id", "row_hash", everyone.alias("wanted")), items, least, id_col, text_col, few=every * top <= SENT), top)
     for row in tried.where(F.col("rank") == top).select("item", "score").collect():
         least[row["item"]] = row["score"]
     return _best(_scored(docs, _not_excluded(index, items, least), items, least, id_col, text_col), top).select("item", F.col("rank").cast("int").alias("rank"), "doc_id", "score")

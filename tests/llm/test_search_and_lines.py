@@ -226,3 +226,10 @@ def test_large_components_are_exact(spark):
 def test_no_vectors(spark):
     assert threshold_mining.mine(embeddings(spark, [], 1)).count() == 0
     assert threshold_mining.mine(embeddings(spark, [(100, None, 1), (200, [None], 1)], 1)).count() == 0
+
+
+def test_texts_meet_candidates_in_one_way(spark, docs):
+    """Whether texts are shuffled does not depend on how many candidates there are; only what the items bound is broadcast."""
+    made = bloom_search.search(docs, asked(spark, ITEMS), 5)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
