@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 0.8 of their five-word shingles, directly or by way of others, the one with the smallest id stays.
 
-    The stage keeps its name; op3's fingerprints miss nearly all of these pairs but exact copies, so pairs come from `near_copies`.
+    SimHash fingerprints and pivot tables give the first candidates; what lies further apart than three bits comes from a prefix filter (`near_copies`).
     """
     return near_copies.keep_one(docs)
 

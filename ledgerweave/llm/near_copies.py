@@ -3,10 +3,12 @@
 A text's set holds the 64-bit names of its runs of `WORDS` words (ASCII letters in lower case; a shorter text is one run). Two sets
 are linked if they share at least `SIMILAR` of their union:
 
-1. Names stand in one order for all texts, rarest first. Two sets that are similar enough share a name in the first
-   n - ceil(n * similarity) + 1 of each, so every such pair meets in the bucket of one of these names. SimHash cannot promise that: at five words
-   and 0.8 fingerprints differ in ten of 64 bits on average, and blocks of equal bits are exact for three.
-2. Names that a sample of the texts holds often come last in the order. The sample decides what buckets cost, never what is found.
+1. SimHash comes first: sets with one fingerprint (64 bits, of their names), and fingerprints that differ in three bits or fewer, found by
+   blocks of equal bits and pivot tables as in `simhash`, are candidates. What is verified on whole sets is joined and not compared again.
+2. SimHash alone would lose links: at five words and 0.8 fingerprints differ in ten of 64 bits on average, and blocks of equal bits are exact for
+   three. So the sets that are not joined meet once more. Names stand in one order for all texts, rarest first. Two sets that are similar enough share
+   a name in the first n - ceil(n * similarity) + 1 of each, so every such pair meets in the bucket of one of these names.
+   Names that a sample of the texts holds often come last in the order. The sample decides what buckets cost, never what is found.
 3. Pairs of a bucket of up to `BUCKET` sets are written if their sizes allow the similarity. In larger ones a set that leads is compared with all
    others, in `ROUNDS` rounds with another leader each, which joins large groups without their pairs. Then all pairs of a bucket that are not joined
    are compared by size and by parities, a lower bound on how many names they differ in; only pairs that may be similar are written.
@@ -29,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.llm import simhash
 from ledgerweave.llm.batches import id_and_text, over_batches, row_key, texts_of
 from ledgerweave.llm.components import components
 from ledgerweave.llm.repeats import packed_texts, unpacked
@@ -69,16 +72,17 @@ def alike(shared, n, m, similar: Fraction = SIMILAR):
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, the key of the row, the digest of its set, the set's size and its parities."""
+    """doc_id, the key of the row, the digest of its set, the set's size, its parities and its fingerprint."""
 
     def work(batch: pa.RecordBatch) -> dict:
-        made = [(_digest(names), len(names), parities(names)) for names in shingles(texts_of(batch), words)]
+        made = [(_digest(names), len(names), parities(names), simhash.majority(names)) for names in shingles(texts_of(batch), words)]
         return {
             **{name: batch.column(name) for name in ("doc_id", "row_id", "row_hash")},
             "node": pa.array([m[0] for m in made], pa.int64()), "n": pa.array([m[1] for m in made], pa.int64()), "bits": pa.array([m[2] for m in made], pa.binary()),
+            "fp": np.array([m[3] for m in made], dtype=np.uint64).view(np.int64),
         }
 
-    return over_batches(docs, work, "doc_id long, row_id long, row_hash long, node long, n long, bits binary", 128)
+    return over_batches(docs, work, "doc_id long, row_id long, row_hash long, node long, n long, bits binary, fp long", 128)
 
 
 def common_names(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -244,14 +248,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int,
     return written(both.repartition("u", "part").sortWithinPartitions("u", "part", "kind").mapInArrow(run, "u long, v long"))
 
 
+def by_fingerprint(marks: DataFrame) -> DataFrame:
+    """(u, v): sets of one fingerprint with the smallest of them, and the smallest sets of linked fingerprints."""
+    filled = marks.where("n > 0").select("fp", "node")
+    least = written(filled.groupBy("fp").agg(F.min("node").alias("least")))
+    same = hot_safe_join(filled, least, ["fp"]).select(F.col("node").alias("u"), F.col("least").alias("v")).where("u <> v")
+    near = simhash.links(least.select("fp"))
+    for end in "uv":
+        near = near.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_node")), end)
+    return same.unionByName(near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+
+
+def _unjoined(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component yet."""
+    for end in "uv":
+        pairs = hot_safe_join(pairs, joined.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), [end], "left")
+    return pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def links(docs: DataFrame, prints: DataFrame, words: int = WORDS, similar: Fraction = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """Links between sets that join all that are similar enough. `docs` has text and the key of the row."""
     met = stored(_met(docs, common_names(docs, words), words, similar, bucket))
     pairs = met.where("v is not null").select("u", "v").distinct()
     hot = met.where("v is null").select("name", F.col("u").alias("node"), "n")
-    marks = stored(prints.select("node", "n", "bits").dropDuplicates(["node"]))
+    marks = stored(prints.select("node", "n", "bits", "fp").dropDuplicates(["node"]))
     verified = lambda some: _verified(_possible(some, marks, similar), docs, prints, words, similar)
-    found = verified(pairs)  # the first round: buckets are led by their smallest node
+    found = verified(by_fingerprint(marks))
+    # the first round of the rest: buckets are led by their smallest node
+    found = found.unionByName(verified(_unjoined(pairs, components(found))))
     for turn in range(1, ROUNDS):
         joined = components(found)
         found = joined.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))

@@ -5,6 +5,8 @@ import random
 import sys
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import plain
@@ -85,3 +87,19 @@ def test_parities_bound_the_difference():
         for b in sets:
             bits = int.from_bytes(near_copies.parities(a)) ^ int.from_bytes(near_copies.parities(b))
             assert bits.bit_count() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_fingerprints_find_copies_first(spark, monkeypatch):
+    """Copies with few changed words are joined by fingerprints alone, and what fingerprints say is verified."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(9000)}" for _ in range(4000)]
+    rows = [(1, " ".join(words), "en"), (2, " ".join([*words[:2000], "other", *words[2001:]]), "en"), (3, " ".join(words[:2000] + words[2001:]), "en")]
+    rows += [(10, "a b c d e f g", "en"), (11, "q r s t u v w", "en")]
+    source = plain.table(spark, rows)
+    marks = near_copies.sets_of(near_copies.id_and_text(source).select("doc_id", "text", *near_copies.row_key()))
+    assert marks.select("fp").distinct().count() >= 2
+    none = near_copies._met(source.limit(0), near_copies.common_names(source.limit(0).select("text", F.lit(0).alias("row_hash"))), 5, near_copies.SIMILAR, 8)
+    monkeypatch.setattr(near_copies, "_met", lambda *_: none)  # nothing from the prefix filter
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, source, "").collect()) == [1, 10, 11]
+    monkeypatch.setattr(near_copies, "by_fingerprint", lambda marks: marks.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy()).alias("v")).where("u <> v"))
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, source, "").collect()) == [1, 10, 11]
