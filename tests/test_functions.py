@@ -114,3 +114,10 @@ def test_formats(spark):
     assert one(spark, ["100", "1.50", "0", "1e3", "10.05"], lambda c: fn.fmt_number(fn.to_decimal(c))) == [
         "100", "1.5", "0", "1000", "10.05",
     ]
+
+
+def test_short_ways_of_dates(spark):
+    cells = {"2 Jan 1998": "1998-01-02", "31 dec 2020": "2020-12-31", "30 Feb 2001": None, "2 Xyz 1998": None, "2 Ebm 1998": None, "2001-02-29": None,
+             "2000-02-29": "2000-02-29", "1 Jan 0000": "0000-01-01", "0000-01-01": "0000-01-01", "01/01/0000": "0000-01-01", "2 Jan 98": "1998-01-02", "2 January 1998": "1998-01-02"}
+    rows = spark.createDataFrame([(c,) for c in cells], "c string").select("c", fn.to_date_dayfirst("c").cast("string").alias("d"))
+    assert {r.c: r.d for r in rows.collect()} == cells
