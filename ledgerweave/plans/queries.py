@@ -91,11 +91,11 @@ def journal_vouchers(spark: S, d: str) -> DataFrame:
 
 
 def journal_lines(spark: S, d: str) -> DataFrame:
-    return _lines(vouchers.build_vouchers(shapes.journal_rows(spark, d)).lines)
+    return _lines(vouchers.build_vouchers(shapes.journal_rows(spark, d), store=True, store_issues=False).lines)
 
 
 def journal_errors(spark: S, d: str) -> DataFrame:
-    return _errors(vouchers.build_vouchers(shapes.journal_rows(spark, d)).errors)
+    return _errors(vouchers.build_vouchers(shapes.journal_rows(spark, d), store=True).errors)
 
 
 def journal_error_summary(spark: S, d: str) -> DataFrame:
@@ -104,13 +104,13 @@ def journal_error_summary(spark: S, d: str) -> DataFrame:
 
 
 def invoice_lines(spark: S, d: str) -> DataFrame:
-    lines = vouchers.build_vouchers(shapes.invoice_rows(spark, d)).lines
+    lines = vouchers.build_vouchers(shapes.invoice_rows(spark, d), store=True, store_issues=False).lines
     return lines.select("voucher_key", "source_row", "ledger_name", "is_debit", _money("amount"), "stock_item",
                         _money("quantity"), _money("rate"), "unit", _day("date"))
 
 
 def invoice_errors(spark: S, d: str) -> DataFrame:
-    return _errors(vouchers.build_vouchers(shapes.invoice_rows(spark, d)).errors)
+    return _errors(vouchers.build_vouchers(shapes.invoice_rows(spark, d), store=True).errors)
 
 
 def settlements(spark: S, d: str) -> DataFrame:

@@ -92,3 +92,11 @@ def test_states_are_looked_up_once(spark):
 def norm_states(spark):
     cells = spark.createDataFrame([(s.lower(),) for s in STATE_BY_CODE], "t string")
     return {r.t: r.s for r in cells.select("t", norm_state("t").alias("s")).collect()}
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["invoice_lines", "invoice_errors", "journal_lines", "journal_errors"])
+def test_rows_are_parsed_once(spark, name):
+    """Headers and lines, or headers and errors, read the parsed rows and not the input."""
+    plan = queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan and "RLIKE" not in plan.upper().split("VOUCHER_KEY", 1)[0]
