@@ -8,11 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerweave.llm import fm_decontam, near_copies, packing, quality_rules, secret_scans
+from ledgerweave.llm.batches import small_batches
 from ledgerweave.sources.shared_folder import ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
@@ -21,21 +23,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     SimHash fingerprints and pivot tables give the first candidates; what lies further apart than three bits comes from a prefix filter (`near_copies`).
     """
+    small_batches(spark)
     return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go if a twentieth of their words or more stand in passages of the benchmark."""
+    small_batches(spark)
     return fm_decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay."""
+    small_batches(spark)
     return secret_scans.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: one row per piece of a document with its place."""
+    small_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.batches import free_name, id_and_text, over_batches, row_key, texts_of
+from ledgerweave.llm.batches import free_name, frugal, id_and_text, over_batches, row_key, texts_of
 from ledgerweave.llm.shared import stored
 from ledgerweave.llm.tokens import spread
 from ledgerweave.llm.words import ALPHANUMERIC, Words, words_of
@@ -314,4 +314,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 n_hit = np.array([sum(b - a for a, b in s) for s in spans], dtype=np.int64)
                 yield batch.filter(pa.array(~contaminated(n_hit, counts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

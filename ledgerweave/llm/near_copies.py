@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import simhash
-from ledgerweave.llm.batches import id_and_text, over_batches, row_key, texts_of
+from ledgerweave.llm.batches import frugal, id_and_text, over_batches, row_key, texts_of
 from ledgerweave.llm.components import components
 from ledgerweave.llm.repeats import packed_texts, unpacked
 from ledgerweave.llm.shared import hot_safe_join, stored, written
@@ -153,9 +153,9 @@ def _met(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], words: int, sim
                 kept = [c[:0] for c in kept]
         yield from _bucket_pairs(*kept, similar, bucket)
 
-    every = docs.select("text").mapInArrow(run, "name long, node long, n int")
+    every = docs.select("text").mapInArrow(frugal(run), "name long, node long, n int")
     dealt = every.repartition("name").sortWithinPartitions("name", "node")
-    return dealt.mapInArrow(meet, "name long, u long, n long, v long, m long")
+    return dealt.mapInArrow(frugal(meet), "name long, u long, n long, v long, m long")
 
 
 def _once(name: np.ndarray, node: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -245,7 +245,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int,
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "uv"], names=["u", "v"])
 
     # a set leads its partners in every partition
-    return written(both.repartition("u", "part").sortWithinPartitions("u", "part", "kind").mapInArrow(run, "u long, v long"))
+    return written(both.repartition("u", "part").sortWithinPartitions("u", "part", "kind").mapInArrow(frugal(run), "u long, v long"))
 
 
 def by_fingerprint(marks: DataFrame) -> DataFrame:
@@ -361,7 +361,7 @@ def _across(now: DataFrame, marks: DataFrame, similar: Fraction) -> DataFrame:
     tiled = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiled = tiled.withColumn("tile", F.least("part", "other").cast("long") * F.col("parts") + F.greatest("part", "other"))
     dealt = tiled.select("name", "tile", "part", "node", "n", "root", "bits").repartition("name", "tile")
-    return dealt.sortWithinPartitions("name", "tile", "n", "node").mapInArrow(meet, "u long, v long")
+    return dealt.sortWithinPartitions("name", "tile", "n", "node").mapInArrow(frugal(meet), "u long, v long")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similar: Fraction = SIMILAR, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.batches import over_batches, texts_of
+from ledgerweave.llm.batches import frugal, over_batches, texts_of
 from ledgerweave.llm.synchronise import U, mix
 from ledgerweave.llm.tokens import sentence_pieces
 from ledgerweave.llm.words import NOT_SPACE, covered, per_text, windows, words_of
@@ -146,10 +146,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", v
 
     def run(batches):
         for whole in batches:
-            for low in range(0, whole.num_rows, 512):
-                batch = whole.slice(low, 512)
+            for low in range(0, whole.num_rows, 128):
+                batch = whole.slice(low, 128)
                 texts = [t or b"" for t in batch.column(names.index(text_col)).cast(pa.binary()).to_pylist()]
                 languages = batch.column(names.index(lang_col)).to_pylist() if lang_col in names else [None] * len(texts)
                 yield batch.filter(pa.array(measure(texts, languages, vocabulary, chosen)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

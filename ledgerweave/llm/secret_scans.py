@@ -20,7 +20,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerweave.llm.batches import id_and_text, over_batches, texts_of
+from ledgerweave.llm.batches import frugal, id_and_text, over_batches, texts_of
 
 KINDS = ("assign", "access", "hex", "pair")
 # The shapes that the result must contain.
@@ -199,4 +199,4 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
                     arrays[k] = pa.array([c if n == o else len(n) for c, n, o in zip(kept, new, old)], batch.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.batches import free_name, id_and_text, over_batches, row_key, texts_of
+from ledgerweave.llm.batches import free_name, frugal, id_and_text, over_batches, row_key, texts_of
 from ledgerweave.llm.components import components
 from ledgerweave.llm.shared import hot_safe_join, written
 
@@ -170,7 +170,7 @@ def _links_in(members: DataFrame, most: int) -> DataFrame:
         signed = fp.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(signed[pairs[:, 0]]), pa.array(signed[pairs[:, 1]])], names=["u", "v"])
 
-    return members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInArrow(run, "u long, v long")
+    return members.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp").mapInArrow(frugal(run), "u long, v long")
 
 
 def links(fps: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:

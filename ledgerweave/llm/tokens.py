@@ -13,7 +13,7 @@ from ledgerweave.llm.synchronise import U, Prefix, byte_values
 from ledgerweave.llm.words import NOT_SPACE, Words, words_of
 
 #: Distinct words a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1 << 19
 NONE = 1 << 30
 
 
