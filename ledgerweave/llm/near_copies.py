@@ -14,7 +14,8 @@ are linked if they share at least `SIMILAR` of their union:
    are compared by size and by parities, a lower bound on how many names they differ in; only pairs that may be similar are written.
    Buckets are read as a stream, and their pairs are compared in tiles of at most `TILE` sets on a side, so no task holds a bucket.
 4. Pairs whose parities allow the similarity are verified on whole sets, made again from the texts that have a pair. Pairs are grouped by
-   their first set, which is made once for up to `MEMBERS` of its partners; partners stream by.
+   their first set, which is made once for up to `MEMBERS` of its partners; partners stream by. Texts that have no pair are left out before the
+   shuffle, by a bitmap of `MARKED` bits on their hashes: it may let others pass, which then meet no pair.
 
 Equal sets are one node, so exact copies never multiply pairs. Null texts are empty texts; those without words are one group. Rows that agree
 in id and text are one row; rows without an id stay only where no other row of the group has one. Empty tables give empty results.
@@ -28,13 +29,14 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import simhash
 from ledgerweave.llm.batches import frugal, id_and_text, over_batches, row_key, texts_of
 from ledgerweave.llm.components import components
-from ledgerweave.llm.repeats import packed_texts, unpacked
+from ledgerweave.llm.repeats import unpacked
 from ledgerweave.llm.shared import hot_safe_join, stored, written
 from ledgerweave.llm.simhash import first_of_each
 from ledgerweave.llm.words import NOT_SPACE, windows, words_of
@@ -48,6 +50,8 @@ ROUNDS, BITS = 2, 1024
 TILE, MEMBERS, SEEN = 4096, 256, 100_000
 #: One in so many sets is read for the order of names; names that it holds `COMMON` times or more come last, at most `LISTED`.
 SAMPLE, COMMON, LISTED = 16, 4, 1 << 17
+#: Bits of the map of texts that have a pair, 64 at least. It stays this large; where it fills up, more texts travel.
+MARKED = 1 << 24
 
 
 def shingles(texts: list[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
@@ -211,10 +215,30 @@ def _possible(pairs: DataFrame, marks: DataFrame, similar: Fraction) -> DataFram
     return stored(over_batches(joined.select("u", "v", "n_u", "n_v", "bits_u", "bits_v"), work, "u long, v long", 4096))
 
 
+def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row_id, row_hash, z): compressed texts of all rows whose hash is wanted, and of few others."""
+    size = MARKED
+    slot = F.col("row_hash").bitwiseAND(F.lit(size - 1))
+    words = wanted.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(row_hash & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marked = np.zeros(size // 64, dtype=np.uint64)
+    marked[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(marked)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        own = batch.column("row_hash").to_numpy() & (size - 1)
+        hit = (sent.value[own >> 6] >> (own & 63).astype(np.uint64)) & np.uint64(1)
+        batch = batch.filter(pa.array(hit.astype(bool)))
+        squeeze = zstandard.ZstdCompressor(level=1)
+        return {**{n: batch.column(n) for n in ("row_id", "row_hash")}, "z": pa.array([squeeze.compress(t) for t in texts_of(batch)], pa.binary())}
+
+    return over_batches(docs.select("text", "row_id", "row_hash"), work, "row_id long, row_hash long, z binary")
+
+
 def _contents(docs: DataFrame, prints: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, z): one compressed text of each wanted node."""
     least = prints.select("node", "row_id", "row_hash").join(wanted.distinct(), "node").groupBy("node").agg(F.min(F.struct("row_id", "row_hash")).alias("k"))
-    joined = packed_texts(docs).join(least.select("node", "k.row_id", "k.row_hash"), ["row_id", "row_hash"])
+    least = written(least.select("node", "k.row_id", "k.row_hash"))
+    joined = _packed(docs, least).join(least, ["row_id", "row_hash"])
     # rows that agree in id and text have the same set
     return stored(joined.select("node", "z").dropDuplicates(["node"]))
 

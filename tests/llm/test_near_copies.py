@@ -103,3 +103,15 @@ def test_fingerprints_find_copies_first(spark, monkeypatch):
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, source, "").collect()) == [1, 10, 11]
     monkeypatch.setattr(near_copies, "by_fingerprint", lambda marks: marks.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy()).alias("v")).where("u <> v"))
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, source, "").collect()) == [1, 10, 11]
+
+
+def test_only_texts_with_a_pair_travel(spark, monkeypatch):
+    source = near_copies.id_and_text(plain.table(spark, [(k, f"text {k} " * 9, "en") for k in range(2000)], 3)).select("doc_id", "text", *near_copies.row_key())
+    wanted = source.where("doc_id % 100 = 0").select("row_hash")
+    ids = {r.row_id for r in near_copies._packed(source, wanted).collect()}
+    assert {k for k in range(2000) if k % 100 == 0} <= ids and len(ids) < 40
+    assert near_copies._packed(source, wanted.limit(0)).count() == 0
+    monkeypatch.setattr(near_copies, "MARKED", 64)  # a map that is full: all may travel, the result stays
+    rows = plain.documents() + edited()[:30]
+    made = corpus_pipeline.near_dedup(spark, plain.table(spark, rows), "")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in made.select("doc_id").collect()) == kept_ids(rows)
