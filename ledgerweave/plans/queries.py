@@ -95,7 +95,7 @@ def journal_lines(spark: S, d: str) -> DataFrame:
 
 
 def journal_errors(spark: S, d: str) -> DataFrame:
-    return _errors(vouchers.build_vouchers(shapes.journal_rows(spark, d), store=True).errors)
+    return _errors(vouchers.build_vouchers(shapes.journal_rows(spark, d), store=True, store_lines=False).errors)
 
 
 def journal_error_summary(spark: S, d: str) -> DataFrame:
@@ -110,7 +110,7 @@ def invoice_lines(spark: S, d: str) -> DataFrame:
 
 
 def invoice_errors(spark: S, d: str) -> DataFrame:
-    return _errors(vouchers.build_vouchers(shapes.invoice_rows(spark, d), store=True).errors)
+    return _errors(vouchers.build_vouchers(shapes.invoice_rows(spark, d), store=True, store_lines=False).errors)
 
 
 def settlements(spark: S, d: str) -> DataFrame:
